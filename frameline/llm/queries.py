@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameline.llm.common import doc_mod, table
+from frameline.llm.common import doc_mod, scratch_path, table
+from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.token_counts import count_tokens
+from frameline.llm.warc import archive_pages
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), "html", keep=["page_id", "url"])
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (doc_mod("doc_id", 4) == 2).alias("held_out"))
     profile = fit_profiles(docs.filter(~F.col("held_out")), "text", "lang")
@@ -29,9 +40,23 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extract": op2_html_extract,
     "op4_token_counts": op4_token_counts,
+    "op6_warc": op6_warc,
     "op8_language_id": op8_language_id,
     "op9_piece_codec": op9_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH r AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), w AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM r
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+        FROM w
+    """,
+}
