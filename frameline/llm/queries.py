@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 from frameline.llm.common import doc_mod, scratch_path, table
 from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
+from frameline.llm.lm_mixing import score_texts
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.warc import archive_pages
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (doc_mod("doc_id", 5) != 1).alias("in_training"))
+    scores = score_texts(docs, "text", "in_training", ["doc_id"])
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), "html", keep=["page_id", "url"])
 
@@ -40,6 +47,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extract": op2_html_extract,
     "op4_token_counts": op4_token_counts,
     "op6_warc": op6_warc,
