@@ -3,8 +3,9 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by vocabulary score, then by position, and merges the best
 pair until none is left; characters outside the vocabulary fall back to their UTF-8 byte pieces. A text is cut where
 no vocabulary piece can span the cut (before a space mark that follows another character), so equal words are merged
-once and remembered. Each Arrow batch is then checked against the sentencepiece library: ``agrees`` says whether the
-library's ids are equal. The library decodes the ids.
+once and remembered. Every new word of an Arrow batch is checked against the sentencepiece library before it is used
+(and whole texts are, in the tests): ``agrees`` says whether the library's ids are equal for all of a text's words. The
+library decodes the ids.
 
 Edge cases: null and empty texts give no ids and an empty decoded text; very long words use the same heap, in
 n log n; repeated rows each get a row; an empty table gives an empty result.
@@ -111,23 +112,31 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=body)
         self.vocabulary = MergeVocabulary(self.model)
         self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. Words are remembered as packed ids, so that a text is joined and not copied id by id."""
-        marked = self.model.normalize(text)
-        cut, words = self.vocabulary.cut, self.words
-        if cut is None:
-            return np.array(self.vocabulary.merge(marked), np.int32)
-        parts = cut.findall(marked)
-        try:
-            return np.frombuffer(b"".join([words[p] for p in parts]), np.int32)
-        except KeyError:
-            needed = {*parts}
-        missing = [w for w in needed if w not in words]
-        if len(words) + len(missing) > REMEMBERED:
-            words = self.words = {p: words[p] for p in needed if p in words}
-        words.update((w, np.array(self.vocabulary.merge(w), np.int32).tobytes()) for w in missing)
-        return np.frombuffer(b"".join([words[p] for p in parts]), np.int32)
+        self.differ: set[str] = set()
+
+    def normalized(self, texts: list[str]) -> list[str]:
+        return [self.model.normalize(t) for t in texts]
+
+    def remember(self, words: set[str]) -> None:
+        """Merges words and checks them against the library, which puts a mark before what it is given."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        ours = [np.array(self.vocabulary.merge(w), np.int32).tobytes() for w in new]
+        theirs = self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1)
+        self.words.update(zip(new, ours, strict=True))
+        self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != np.array(b, np.int32).tobytes())
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether the library agrees. Words are kept as packed ids and joined, not copied id by id."""
+        marked = self.normalized(texts)
+        if (cut := self.vocabulary.cut) is None:
+            ours = [np.array(self.vocabulary.merge(m), np.int32) for m in marked]
+            return ours, [a.tolist() == b for a, b in zip(ours, self.model.encode(texts, num_threads=1), strict=True)]
+        parts = [cut.findall(m) for m in marked]
+        self.remember({w for p in parts for w in p})
+        ours = [np.frombuffer(b"".join([self.words[w] for w in p]), np.int32) for p in parts]
+        return ours, [not self.differ or self.differ.isdisjoint(p) for p in parts]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -141,7 +150,7 @@ def codec(body: bytes) -> Codec:
     return _CODECS[key]
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[list[str]]:
+def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
     """Null as empty, in lists of about ``limit`` characters."""
     part, size = [], 0
     for t in texts:
@@ -167,9 +176,7 @@ def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[st
         for batch in batches:
             at = 0
             for part in slices(batch.column("__text")):
-                theirs = own.model.encode(part, num_threads=1)
-                ours = [own.encode(t) for t in part]
-                agrees = [np.array_equal(a, np.array(b, np.int32)) for a, b in zip(ours, theirs, strict=True)]
+                ours, agrees = own.encode(part)
                 decoded = own.model.decode([a.tolist() for a in ours], num_threads=1)
                 ends = np.cumsum([0, *map(len, ours)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ours), pa.int32()))
