@@ -10,6 +10,7 @@ from frameline.llm.common import doc_mod, scratch_path, table
 from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.lm_mixing import score_texts
+from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.warc import archive_pages
@@ -30,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", n=3, num=90, den=100)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extract": op2_html_extract,
     "op4_token_counts": op4_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
     "op8_language_id": op8_language_id,
     "op9_piece_codec": op9_piece_codec,
