@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameline.llm.ann_index import nearest
 from frameline.llm.common import doc_mod, scratch_path, table
+from frameline.llm.decontaminate import find_leaks
 from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.lm_mixing import score_texts
 from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.piece_codec import encode_pieces, piece_digests
+from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.warc import archive_pages
 
@@ -26,6 +29,13 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), "html", keep=["page_id", "url"])
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = clean_turns(table(spark, sf_dir, "conversations"))
+    rows = format_preferences(turns, pairs_by_opening(turns))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.format_string("%d-%d", s["start"], s["stop"])), ",")
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), spans(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -40,6 +50,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (doc_mod("doc_id", 4) == 2).alias("held_out"))
     profile = fit_profiles(docs.filter(~F.col("held_out")), "text", "lang")
@@ -51,14 +65,21 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encoded, ["doc_id"])
 
 
+def op10_ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extract": op2_html_extract,
+    "op3_preference_format": op3_preference_format,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_piece_codec": op9_piece_codec,
+    "op10_ann_index": op10_ann_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
