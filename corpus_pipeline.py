@@ -20,7 +20,7 @@ from frameline.llm.language_id import UNDETERMINED, fit_profiles, predict_langua
 from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 
-LEAST_COSINE = 0.1  # below it a text is like no language that was learned
+LEAST_COSINE = 0.0  # a text whose cosine with every prototype is 0 or less is like no language that was learned
 SMALL_SIDE = 2_000_000  # ids that may be broadcast; more are joined by shuffle
 
 
@@ -33,7 +33,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Leaves out texts without a letter and texts that are like no learned language."""
     profile = fit_profiles(docs.filter(doc_mod("doc_id", 4) != 2), "text", "lang")
     rows = predict_language(docs.select(F.struct("*").alias("row"), "text"), "text", profile, keep=["row"])
-    return rows.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    return rows.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_COSINE)).select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
