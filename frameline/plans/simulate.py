@@ -1,0 +1,124 @@
+"""Reference motions as column expressions over time: closed forms, and folds for motions that need steps.
+
+Each function takes columns and gives columns; rows are made by ``frames``. Parameters may be columns or numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def frames(params: DataFrame, count: int, fps: float = 24.0) -> DataFrame:
+    """A row for each parameter row and frame from 1, with time ``t``."""
+    return params.select("*", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("frame")).withColumn("t", (F.col("frame") - 1) / fps)
+
+
+def free_fall(t: Column, h0: Column, g: Column, floor: float = 0.0) -> Column:
+    return F.greatest(h0 - 0.5 * g * t * t, F.lit(floor))
+
+
+def slide(t: Column, v0: Column, mu: Column, g: float = 9.81) -> Column:
+    """Way travelled under friction until it stops."""
+    u = F.least(t, v0 / (mu * g))
+    return v0 * u - 0.5 * mu * g * u * u
+
+
+def ramp_then_floor(t: Column, length: Column, degrees: Column, mu: Column, g: float = 9.81) -> Column:
+    """Way travelled down a ramp and along the floor until it stops; the ramp's acceleration is 0.08 at least."""
+    a = F.greatest(g * (F.sin(F.radians(degrees)) - mu * F.cos(F.radians(degrees))), F.lit(0.08))
+    down = F.sqrt(2 * length / a)
+    return F.when(t <= down, 0.5 * a * t * t).otherwise(length + slide(t - down, a * down, mu, g))
+
+
+def damped_pendulum(t: Column, angle0: Column, length: Column, gamma: Column, g: float = 9.81) -> Column:
+    """Angle of a slightly damped pendulum released at rest."""
+    half = gamma / 2
+    omega = F.sqrt(F.greatest(g / length - half * half, F.lit(0.05)))
+    return angle0 * F.exp(-half * t) * (F.cos(omega * t) + half / omega * F.sin(omega * t))
+
+
+def damped_spring(t: Column, x0: Column, k: Column, c: Column) -> Column:
+    """Displacement of a unit mass on a spring released at rest."""
+    return damped_pendulum(t, x0, 1 / k, c, 1.0)
+
+
+def friction_zones(t: Column, v0: Column, mu1: Column, mu2: Column, boundary: Column, g: float = 9.81) -> Column:
+    """Way travelled with one friction up to the boundary and another beyond it."""
+    reach = v0 * v0 / (2 * mu1 * g)
+    left = F.sqrt(F.greatest(v0 * v0 - 2 * mu1 * g * boundary, F.lit(0.0)))
+    arrival = (v0 - left) / (mu1 * g)
+    return F.when((reach <= boundary) | (t <= arrival), slide(t, v0, mu1, g)).otherwise(boundary + slide(t - arrival, left, mu2, g))
+
+
+def rolling_down(t: Column, degrees: Column, g: float = 9.81) -> Column:
+    """Way of a solid sphere that rolls without slipping."""
+    return 0.5 * (5.0 / 7.0) * g * F.sin(F.radians(degrees)) * t * t
+
+
+def two_balls(t: Column, v: Column, gap: Column, e: Column, drag: Column) -> tuple[Column, Column]:
+    """Places of two equal balls: the first runs into the second, and both are slowed by linear drag afterwards."""
+    hit = gap / v
+    first, second = v * (1 - e) / 2, v * (1 + e) / 2
+    after = (1 - F.exp(-drag * (t - hit))) / drag
+    return F.when(t <= hit, v * t).otherwise(gap + first * after), F.when(t <= hit, gap).otherwise(gap + second * after)
+
+
+def bounce_chain(t: Column, h0: Column, e: Column, g: float = 9.81, stop: float = 0.04, most: int = 60) -> Column:
+    """Height of a ball dropped from rest that keeps the share ``e`` of its speed at each bounce; below ``stop`` it rests.
+
+    The fold walks the bounces up to the time asked for; nothing is kept but the current flight.
+    """
+    fall = F.sqrt(2 * h0 / g)
+    start = F.struct(fall.alias("at"), (e * g * fall).alias("v"))
+
+    def next_flight(s: Column, _: Column) -> Column:
+        ends = s["at"] + 2 * s["v"] / g
+        on = (s["v"] >= stop) & (t > ends)
+        return F.struct(F.when(on, ends).otherwise(s["at"]).alias("at"), F.when(on, e * s["v"]).otherwise(s["v"]).alias("v"))
+
+    flight = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, next_flight)
+    since = t - flight["at"]
+    return F.when(t <= fall, h0 - 0.5 * g * t * t).when(flight["v"] < stop, 0.0).otherwise(F.greatest(flight["v"] * since - 0.5 * g * since * since, F.lit(0.0)))
+
+
+def rk4_pendulum(count: int, angle0: Column, length: Column, gamma: Column, force: float = 0.0, drive: float = 0.0, substeps: int = 4, fps: float = 24.0, g: float = 9.81) -> Column:
+    """Array of a nonlinear, perhaps driven pendulum's angles at each frame, by classical Runge-Kutta steps."""
+    dt = 1.0 / (fps * substeps)
+
+    def pull(time: Column, a: Column, w: Column) -> Column:
+        return -(g / length) * F.sin(a) - gamma * w + (force * F.cos(drive * time) if force else 0.0)
+
+    def step(s: Column, _: Column) -> Column:
+        time, a, w = s["t"], s["a"], s["w"]
+        k1a, k1w = w, pull(time, a, w)
+        k2a, k2w = w + dt / 2 * k1w, pull(time + dt / 2, a + dt / 2 * k1a, w + dt / 2 * k1w)
+        k3a, k3w = w + dt / 2 * k2w, pull(time + dt / 2, a + dt / 2 * k2a, w + dt / 2 * k2w)
+        k4a, k4w = w + dt * k3w, pull(time + dt, a + dt * k3a, w + dt * k3w)
+        return F.struct((time + dt).alias("t"), (a + dt / 6 * (k1a + 2 * k2a + 2 * k3a + k4a)).alias("a"), (w + dt / 6 * (k1w + 2 * k2w + 2 * k3w + k4w)).alias("w"))
+
+    return _folded(count, substeps, angle0, step)
+
+
+def euler_pendulum(count: int, angle0: Column, length: Column, gamma: Column, zone: float = 0.2, substeps: int = 4, fps: float = 24.0, g: float = 9.81) -> Column:
+    """Array of angles of a pendulum that is damped only within ``zone`` of the lowest point, by semi-implicit Euler steps."""
+    dt = 1.0 / (fps * substeps)
+
+    def step(s: Column, _: Column) -> Column:
+        damping = F.when(F.abs(s["a"]) <= zone, gamma).otherwise(0.0)
+        w = s["w"] + dt * (-(g / length) * F.sin(s["a"]) - damping * s["w"])
+        return F.struct((s["t"] + dt).alias("t"), (s["a"] + dt * w).alias("a"), w.alias("w"))
+
+    return _folded(count, substeps, angle0, step)
+
+
+def _folded(count: int, substeps: int, angle0: Column, step) -> Column:
+    """Angles at frames 1 to ``count``: one fold over frames with a fold over substeps inside."""
+    start = F.struct(F.struct(F.lit(0.0).alias("t"), angle0.cast("double").alias("a"), F.lit(0.0).alias("w")).alias("s"), F.array(angle0.cast("double")).alias("out"))
+
+    def frame(state: Column, _: Column) -> Column:
+        after = F.aggregate(F.sequence(F.lit(1), F.lit(substeps)), state["s"], step)
+        # Bound by an array of one, so that the inner fold runs once for both uses.
+        return F.get(F.transform(F.array(after), lambda a: F.struct(a.alias("s"), F.concat(state["out"], F.array(a["a"])).alias("out"))), 0)
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(count)), start, frame, lambda s: s["out"])

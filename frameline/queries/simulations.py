@@ -1,0 +1,148 @@
+"""Reference motions for every part as a parameter row, and parameters recovered from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frameline.operators import fits
+from frameline.plans import simulate as S
+from frameline.views import table
+
+COUNT = 24
+
+
+def r9(c: Column | str) -> Column:
+    """Nine decimals: exact results of six or seven stay as they are."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(0.0)
+
+KEY = ["p_partkey", "frame"]
+
+
+def _params(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size").cast("double")
+    return table(spark, d, "part").select("p_partkey", s.alias("s"), (0.05 + s / 100).alias("mu"), (1 + s / 10).alias("v"), (0.3 + s / 100).alias("e"))
+
+
+def _motion(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    return S.frames(_params(spark, d), COUNT).select(*KEY, *[r9(c).alias(n) for n, c in columns.items()])
+
+
+t, s, mu, v, e = (F.col(c) for c in ("t", "s", "mu", "v", "e"))
+
+
+def sim_freefall(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, z=S.free_fall(t, v, 2 + s / 4))
+
+
+def sim_slide(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.frames(_params(spark, d), COUNT)
+    return rows.select(*KEY, F.round(S.slide(t, v, mu), 11).alias("x"))
+
+
+def sim_ramp_floor(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, x=S.ramp_then_floor(t, 0.2 + s / 100, 20 + s / 2, mu))
+
+
+def sim_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, angle=S.damped_pendulum(t, F.lit(0.4), v, mu))
+
+
+def sim_spring(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, x=S.damped_spring(t, F.lit(1.0), 5 + s, mu))
+
+
+def sim_friction_zones(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, x=S.friction_zones(t, v, mu, mu * 2, F.lit(0.5)))
+
+
+def sim_rolling(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, x=S.rolling_down(t, 5 + s / 2))
+
+
+def sim_two_ball(spark: SparkSession, d: str) -> DataFrame:
+    a, b = S.two_balls(t, v, F.lit(0.4), e, mu)
+    return _motion(spark, d, a=a, b=b)
+
+
+def sim_rotation(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, x=F.cos(v * t), y=F.sin(v * t))
+
+
+def sim_bounce_chain(spark: SparkSession, d: str) -> DataFrame:
+    return _motion(spark, d, z=S.bounce_chain(t, F.lit(0.3), e))
+
+
+def _angles(spark: SparkSession, d: str, angles: Column) -> DataFrame:
+    rows = _params(spark, d).select("p_partkey", F.posexplode(angles).alias("at", "angle"))
+    return rows.select("p_partkey", (F.col("at") + 1).alias("frame"), r9("angle").alias("angle"))
+
+
+def sim_rk4_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    return _angles(spark, d, S.rk4_pendulum(COUNT, F.lit(0.9), v, mu))
+
+
+def sim_forced_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    return _angles(spark, d, S.rk4_pendulum(COUNT, F.lit(0.2), v, mu, force=0.5, drive=2.0))
+
+
+def sim_zone_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    return _angles(spark, d, S.euler_pendulum(COUNT, F.lit(0.5), v, mu))
+
+
+def gravity_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Gravity from the frames before contact of each simulated fall."""
+    rows = S.frames(_params(spark, d), COUNT).withColumn("z", S.free_fall(t, v, 2 + s / 4)).filter("z > 0")
+    return fits.quadratic_fit(rows, ["p_partkey"], "t", "z").select("p_partkey", F.round(-2 * F.col("a"), 4).alias("g"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (sim_freefall, sim_slide, sim_ramp_floor, sim_pendulum, sim_spring, sim_friction_zones, sim_rolling, sim_two_ball, sim_rotation, sim_bounce_chain, sim_rk4_pendulum, sim_forced_pendulum, sim_zone_pendulum, gravity_recovery)
+}
+_P = """p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, 0.05::DOUBLE + p_size / 100.0::DOUBLE AS mu, 1 + p_size / 10.0::DOUBLE AS v, 0.3::DOUBLE + p_size / 100.0::DOUBLE AS e FROM part),
+    f AS (SELECT p.*, CAST(n AS INTEGER) AS frame, (n - 1) / 24.0::DOUBLE AS t FROM p, (SELECT unnest(range(1, 25)) AS n))"""
+
+
+def _slide(t: str, v: str, mu: str) -> str:
+    u = f"least({t}, ({v}) / (({mu}) * 9.81::DOUBLE))"
+    return f"(({v}) * {u} - 0.5::DOUBLE * ({mu}) * 9.81::DOUBLE * {u} * {u})"
+
+
+def _pend(x0: str, ratio: str, c: str) -> str:
+    om = f"sqrt(greatest({ratio} - ({c}) / 2 * ({c}) / 2, 0.05))"
+    return f"({x0} * exp(-({c}) / 2 * t) * (cos({om} * t) + ({c}) / 2 / {om} * sin({om} * t)))"
+
+
+def _sql(expr: str, name: str, more: str = "f") -> str:
+    return f"WITH {_P} SELECT p_partkey, frame, round({expr}, 9) + 0.0 AS {name} FROM {more}"
+
+
+_RK = """WITH RECURSIVE {p}, r AS (
+    SELECT p_partkey, v, mu, 0 AS i, 0.0::DOUBLE AS tt, {a0}::DOUBLE AS a, 0.0::DOUBLE AS w FROM p
+    UNION ALL
+    SELECT p_partkey, v, mu, i + 1, tt + h, a + h/6*(w + 2*(w + h/2*k1) + 2*(w + h/2*k2) + (w + h*k3)), w + h/6*(k1 + 2*k2 + 2*k3 + k4) FROM (
+        SELECT *, -(9.81::DOUBLE/v)*sin(a + h*(w + h/2*k2)) - mu*(w + h*k3) + {f}*cos(2*(tt + h)) AS k4 FROM (
+        SELECT *, -(9.81::DOUBLE/v)*sin(a + h/2*(w + h/2*k1)) - mu*(w + h/2*k2) + {f}*cos(2*(tt + h/2)) AS k3 FROM (
+        SELECT *, -(9.81::DOUBLE/v)*sin(a + h/2*w) - mu*(w + h/2*k1) + {f}*cos(2*(tt + h/2)) AS k2 FROM (
+        SELECT *, 1/96.0::DOUBLE AS h, -(9.81::DOUBLE/v)*sin(a) - mu*w + {f}*cos(2*tt) AS k1 FROM r WHERE i < 92)))))
+    SELECT p_partkey, CAST(i // 4 + 1 AS INTEGER) AS frame, round(a, 9) AS angle FROM r WHERE i % 4 = 0"""
+_DOWN = "greatest(9.81::DOUBLE * (sin(radians(20 + s/2)) - mu * cos(radians(20 + s/2))), 0.08)"
+ORACLE_SQL = {
+    "sim_freefall": _sql("greatest(v - 0.5::DOUBLE * (2 + s/4) * t * t, 0)", "z"),
+    "sim_slide": f"WITH {_P} SELECT p_partkey, frame, round({_slide('t', 'v', 'mu')}, 11) AS x FROM f",
+    "sim_ramp_floor": _sql(f"CASE WHEN t <= dn THEN 0.5::DOUBLE * a * t * t ELSE l + {_slide('(t - dn)', 'a * dn', 'mu')} END", "x", f"(SELECT *, sqrt(2 * l / a) AS dn FROM (SELECT *, 0.2::DOUBLE + s/100 AS l, {_DOWN} AS a FROM f))"),
+    "sim_pendulum": _sql(_pend("0.4::DOUBLE", "9.81::DOUBLE / v", "mu"), "angle"),
+    "sim_spring": _sql(_pend("1.0::DOUBLE", "(5 + s)", "mu"), "x"),
+    "sim_friction_zones": _sql(f"CASE WHEN v*v/(2*mu*9.81::DOUBLE) <= 0.5 OR t <= ar THEN {_slide('t', 'v', 'mu')} ELSE 0.5::DOUBLE + {_slide('(t - ar)', 'lv', 'mu * 2')} END", "x", "(SELECT *, (v - lv) / (mu * 9.81::DOUBLE) AS ar FROM (SELECT *, sqrt(greatest(v*v - 2*mu*9.81::DOUBLE*0.5::DOUBLE, 0)) AS lv FROM f))"),
+    "sim_rolling": _sql("0.5::DOUBLE * (5.0::DOUBLE / 7.0::DOUBLE) * 9.81::DOUBLE * sin(radians(5 + s/2)) * t * t", "x"),
+    "sim_two_ball": f"WITH {_P}, h AS (SELECT *, 0.4::DOUBLE / v AS hit FROM f), g AS (SELECT *, (1 - exp(-mu * (t - hit))) / mu AS k FROM h) SELECT p_partkey, frame, round(CASE WHEN t <= hit THEN v * t ELSE 0.4::DOUBLE + v * (1 - e) / 2 * k END, 9) AS a, round(CASE WHEN t <= hit THEN 0.4::DOUBLE ELSE 0.4::DOUBLE + v * (1 + e) / 2 * k END, 9) AS b FROM g",
+    "sim_rotation": f"WITH {_P} SELECT p_partkey, frame, round(cos(v * t), 9) + 0.0 AS x, round(sin(v * t), 9) + 0.0 AS y FROM f",
+    "sim_rk4_pendulum": _RK.format(p=_P.split(",\n    f AS")[0], a0="0.9", f="0.0::DOUBLE"),
+    "sim_forced_pendulum": _RK.format(p=_P.split(",\n    f AS")[0], a0="0.2", f="0.5::DOUBLE"),
+    "sim_zone_pendulum": f"""WITH RECURSIVE {_P.split(",{nl}    f AS".format(nl=chr(10)))[0]}, r AS (
+        SELECT p_partkey, v, mu, 0 AS i, 0.5::DOUBLE AS a, 0.0::DOUBLE AS w FROM p UNION ALL
+        SELECT p_partkey, v, mu, i + 1, a + nw/96.0::DOUBLE, nw FROM (SELECT *, w + 1/96.0::DOUBLE * (-(9.81::DOUBLE/v)*sin(a) - CASE WHEN abs(a) <= 0.2 THEN mu ELSE 0.0::DOUBLE END * w) AS nw FROM r WHERE i < 92))
+        SELECT p_partkey, CAST(i // 4 + 1 AS INTEGER) AS frame, round(a, 9) AS angle FROM r WHERE i % 4 = 0""",
+    "gravity_recovery": f"WITH {_P}, z AS (SELECT p_partkey, s, count(*) AS n FROM f WHERE v - 0.5::DOUBLE * (2 + s/4) * t * t > 0 GROUP BY 1, 2) SELECT p_partkey, CASE WHEN n >= 3 THEN round(2 + s/4, 4) END AS g FROM z",
+}
