@@ -28,48 +28,60 @@ def _motion(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
     return S.frames(_params(spark, d), COUNT).select(*KEY, *[r9(c).alias(n) for n, c in columns.items()])
 
 
-t, s, mu, v, e = (F.col(c) for c in ("t", "s", "mu", "v", "e"))
+def _columns() -> tuple[Column, ...]:
+    """Time and the parameters s, mu, v and e."""
+    return tuple(F.col(c) for c in ("t", "s", "mu", "v", "e"))
 
 
 def sim_freefall(spark: SparkSession, d: str) -> DataFrame:
+    t, s, _, v, _ = _columns()
     return _motion(spark, d, z=S.free_fall(t, v, 2 + s / 4))
 
 
 def sim_slide(spark: SparkSession, d: str) -> DataFrame:
+    t, _, mu, v, _ = _columns()
     rows = S.frames(_params(spark, d), COUNT)
     return rows.select(*KEY, F.round(S.slide(t, v, mu), 11).alias("x"))
 
 
 def sim_ramp_floor(spark: SparkSession, d: str) -> DataFrame:
+    t, s, mu, _, _ = _columns()
     return _motion(spark, d, x=S.ramp_then_floor(t, 0.2 + s / 100, 20 + s / 2, mu))
 
 
 def sim_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    t, _, mu, v, _ = _columns()
     return _motion(spark, d, angle=S.damped_pendulum(t, F.lit(0.4), v, mu))
 
 
 def sim_spring(spark: SparkSession, d: str) -> DataFrame:
+    t, s, mu, _, _ = _columns()
     return _motion(spark, d, x=S.damped_spring(t, F.lit(1.0), 5 + s, mu))
 
 
 def sim_friction_zones(spark: SparkSession, d: str) -> DataFrame:
+    t, _, mu, v, _ = _columns()
     return _motion(spark, d, x=S.friction_zones(t, v, mu, mu * 2, F.lit(0.5)))
 
 
 def sim_rolling(spark: SparkSession, d: str) -> DataFrame:
+    t, s, _, _, _ = _columns()
     return _motion(spark, d, x=S.rolling_down(t, 5 + s / 2))
 
 
 def sim_two_ball(spark: SparkSession, d: str) -> DataFrame:
+    t, _, mu, v, e = _columns()
     a, b = S.two_balls(t, v, F.lit(0.4), e, mu)
     return _motion(spark, d, a=a, b=b)
 
 
 def sim_rotation(spark: SparkSession, d: str) -> DataFrame:
+    t, _, _, v, _ = _columns()
     return _motion(spark, d, x=F.cos(v * t), y=F.sin(v * t))
 
 
 def sim_bounce_chain(spark: SparkSession, d: str) -> DataFrame:
+    t, _, _, _, e = _columns()
     return _motion(spark, d, z=S.bounce_chain(t, F.lit(0.3), e))
 
 
@@ -79,19 +91,23 @@ def _angles(spark: SparkSession, d: str, angles: Column) -> DataFrame:
 
 
 def sim_rk4_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    _, _, mu, v, _ = _columns()
     return _angles(spark, d, S.rk4_pendulum(COUNT, F.lit(0.9), v, mu))
 
 
 def sim_forced_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    _, _, mu, v, _ = _columns()
     return _angles(spark, d, S.rk4_pendulum(COUNT, F.lit(0.2), v, mu, force=0.5, drive=2.0))
 
 
 def sim_zone_pendulum(spark: SparkSession, d: str) -> DataFrame:
+    _, _, mu, v, _ = _columns()
     return _angles(spark, d, S.euler_pendulum(COUNT, F.lit(0.5), v, mu))
 
 
 def gravity_recovery(spark: SparkSession, d: str) -> DataFrame:
     """Gravity from the frames before contact of each simulated fall."""
+    t, s, _, v, _ = _columns()
     rows = S.frames(_params(spark, d), COUNT).withColumn("z", S.free_fall(t, v, 2 + s / 4)).filter("z > 0")
     return fits.quadratic_fit(rows, ["p_partkey"], "t", "z").select("p_partkey", F.round(-2 * F.col("a"), 4).alias("g"))
 
