@@ -13,6 +13,7 @@ from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.lm_mixing import score_texts
 from frameline.llm.ngram_join import jaccard_components
+from frameline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
 from frameline.llm.token_counts import count_tokens
@@ -81,17 +82,3 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_index": op10_ann_index,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op6_warc": """
-        WITH r AS (
-            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
-        ), w AS (
-            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM r
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-            CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
-        FROM w
-    """,
-}
