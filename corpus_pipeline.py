@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes as Parquet and reads as the next one's
 ``docs``. All but the last keep the columns of ``documents``. A stage only leaves rows out for what it decides about them: no
-rows are lost to null texts elsewhere, repeated rows stay unless the near-duplicate stage sees them as one document's copies,
+rows are lost to null texts elsewhere, rows without an id stay, repeated rows stay unless the near-duplicate stage sees them as one document's copies,
 and an empty table passes through all stages.
 """
 
@@ -32,8 +32,11 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out texts without a letter and texts that are like no learned language."""
     profile = fit_profiles(docs.filter(doc_mod("doc_id", 4) != 2), "text", "lang")
-    rows = predict_language(docs.select(F.struct("*").alias("row"), "text"), "text", profile, keep=["row"])
-    return rows.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_COSINE)).select("row.*")
+    found = predict_language(docs, "text", profile, keep=["doc_id"])
+    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") <= LEAST_COSINE)).select("doc_id").distinct()
+    path = scratch_path(spark, "no-language")
+    rejected.write.parquet(path)
+    return without_ids(docs, spark.read.schema(rejected.schema).parquet(path))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
