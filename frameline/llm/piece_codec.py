@@ -123,10 +123,14 @@ class Codec:
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {w: self.words[w] for w in words if w in self.words}
         ours = [np.array(self.vocabulary.merge(w), np.int32).tobytes() for w in new]
-        theirs = self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1)
+        theirs = [self.library_ids(w) if not w.strip(MARK) else ids for w, ids in zip(new, self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1), strict=True)]
         self.words.update(zip(new, ours, strict=True))
         self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != np.array(b, np.int32).tobytes())
 
+    def library_ids(self, marks: str) -> list[int]:
+        """The library's ids of space marks at a text's end; it gives none for the empty text that would put one mark before itself."""
+        return self.model.encode("a" + " " * len(marks))[len(self.model.encode("a")) :]
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether the library agrees. Words are kept as packed ids and joined, not copied id by id."""
         marked = self.normalized(texts)
