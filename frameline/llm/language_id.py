@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameline.llm.common import release_memory
+
 UNDETERMINED = "und"
 SHIFT = 21  # bits of a code point in an n-gram's code
 SLICE = 1 << 20  # letters counted at once
@@ -202,5 +204,7 @@ def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequenc
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
             )
+        del space
+        release_memory()
 
     return chosen.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameline.llm.common import LOWER, UPPER, written
+from frameline.llm.common import LOWER, UPPER, arrow_rows, release_memory, written
 from frameline.llm.links import component_roots
 
 GROWTH = 1.25  # largest over smallest size of a band
@@ -179,6 +179,8 @@ def shingle_index(docs: DataFrame, key: str, text: str, n: int, num: int, den: i
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "d1", "d2", "bits", "sigs"],
             )
+        words.clear()
+        release_memory()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, sigs array<long>")
@@ -195,6 +197,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame
         for batch in batches:
             sets = [shingle_set(b.as_py(), n, words).tobytes() for b in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "tokens"])
+        words.clear()
+        release_memory()
 
     return chosen.mapInArrow(run, "node long, tokens binary")
 
@@ -219,7 +223,8 @@ def possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets link. ``pairs`` must be a written table: it is read more than once."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs, key, text, n, wanted), "join-sets")
+    with arrow_rows(docs.sparkSession, 1024):
+        sets = written(shingle_sets(docs, key, text, n, wanted), "join-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,6 +317,8 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
                 held = held.slice(whole)
         if held is not None and held.num_rows:
             yield compared(held.combine_chunks())
+        held = None
+        release_memory()
 
     found = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
     return found.distinct()
@@ -328,7 +335,8 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
     for r in counts:
         sizes[bisect_right(starts, 2 ** (r["eighth"] / 8 + 0.01)) - 1] += r["count"]
     plan = allocate(every, sizes)
-    index = written(shingle_index(docs, key, text, n, num, den, plan), "join-index")
+    with arrow_rows(docs.sparkSession, 1024):
+        index = written(shingle_index(docs, key, text, n, num, den, plan), "join-index")
     real = index.filter("n_shingles > 0 and doc_id is not null")
     firsts = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bits", "sigs"), "doc_id").alias("s"))
     nodes = written(firsts.select("node", "d1", "d2", "s.*"), "join-nodes")

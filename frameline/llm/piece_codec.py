@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameline.llm.common import release_memory
+
 MARK = "▁"
 SHORT, NEVER = 24, float("inf")
-REMEMBERED = 1_000_000  # words that one Python worker remembers at most; beyond it the memory starts anew
+REMEMBERED = 250_000  # words that one Python worker remembers at most; beyond it the memory starts anew
 
 
 class MergeVocabulary:
@@ -190,6 +192,7 @@ def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[st
                     [*(rows.column(k) for k in keep), ids, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     names=[*keep, "ids", "decoded", "agrees"],
                 )
+        release_memory()
 
     return chosen.mapInArrow(run, schema)
 
