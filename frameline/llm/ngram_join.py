@@ -10,8 +10,8 @@ and make fewer chance meetings. A set is indexed in its own band and in the next
 2. Nodes that share an index row meet in a bucket. Each node is first verified against the best of its buckets' smallest nodes only.
 3. Nodes of a bucket that are still in different components are compared in bounded blocks by parity bitmaps, whose
    distance never exceeds the sets' difference, so nothing is lost: first the best pair of every two components of a block,
-   then all that are left. Every pair that passes is verified on whole sets. Thus large groups of near copies cost links
-   by the number of their members, not of their pairs.
+   then, in the buckets where that left pairs out, all that are still apart. Every pair that passes is verified on whole
+   sets. Thus large groups of near copies cost links by the number of their members, not of their pairs.
 
 Shingles are 64-bit hashes of words. All steps read tables in the shared folder.
 
@@ -248,8 +248,8 @@ def _folded(bits: list, width: int) -> np.ndarray:
     return out
 
 
-def _close_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, bits: list, num: int, den: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket's block that lie in different components and whose bitmaps allow a link."""
+def _close_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, bits: list, num: int, den: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket's block that lie in different components and whose bitmaps allow a link, and whether ``best`` left any out."""
     rows = _folded(bits, min(map(len, bits)))
     found = []
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
@@ -265,18 +265,20 @@ def _close_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.
         ok = apart * (den + num) <= both[p, q] * (den - num)
         found.append(np.stack([i[p[ok]], right[q[ok]], apart[ok]]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     i, j, apart = np.concatenate(found, axis=1)
+    every = i.size
     if best and i.size:
         lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
         order = np.lexsort((apart, hi, lo))
         new = np.concatenate([[True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)])
         i, j = i[order[new]], j[order[new]]
-    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), i.size < every
 
 
 def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes that share a bucket, lie in different components and may link.
+    """Distinct pairs ``(a, b)`` of nodes that share a bucket, lie in different components and may link, and rows ``(null, null, sig)``
+    of the buckets in which ``best`` left pairs out.
 
     Large buckets are cut into chunks, and every two chunks are a block of their own.
     """
@@ -295,16 +297,20 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
             cols = {c: t.column(c).to_numpy() for c in ("sig", "i", "j", "side", "node", "comp", "n_shingles")}
             bits = [x.as_buffer() for x in t.column("bits")]
             change = np.flatnonzero((np.diff(cols["sig"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
-            a, b = [], []
+            a, b, left_out = [], [], []
             for s, e in zip(np.concatenate([[0], change]), np.concatenate([change, [t.num_rows]]), strict=True):
                 if e - s > 1:
-                    x, y = _close_pairs(cols["node"][s:e], cols["comp"][s:e], cols["n_shingles"][s:e], cols["side"][s:e], bits[s:e], num, den, best)
+                    x, y, less = _close_pairs(cols["node"][s:e], cols["comp"][s:e], cols["n_shingles"][s:e], cols["side"][s:e], bits[s:e], num, den, best)
+                    if less:
+                        left_out.append(int(cols["sig"][s]))
                     a.append(x)
                     b.append(y)
             none = np.zeros(0, np.int64)
             pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            none = [None] * len(left_out)
+            columns = [pa.array([*pairs[:, 0].tolist(), *none], pa.int64()), pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), pa.array([*[None] * len(pairs), *left_out], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sig"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -320,7 +326,7 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
         held = None
         release_memory()
 
-    found = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
+    found = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long, sig long")
     return found.distinct()
 
 
@@ -346,14 +352,12 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
     small = nodes.select("node", "n_shingles", "bits")
     near = buckets.filter("node > center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("shared"))
     stars = near.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    links = None
-    for step in ("stars", "best", "all"):
-        if links is None:
-            pairs = possible(stars, small, num, den)
-        else:
-            pairs = cross_pairs(buckets.select("sig", "node").distinct(), small, component_roots(links, "join-stars"), num, den, step == "best")
-        more = verified(written(pairs, "join-pairs"), docs, key, text, n, num, den)
-        links = written(more if links is None else links.union(more), "join-links")
+    links = written(verified(written(possible(stars, small, num, den), "join-pairs"), docs, key, text, n, num, den), "join-links")
+    meet = buckets.select("sig", "node").distinct()
+    for best in (True, False):
+        pairs = written(cross_pairs(meet, small, component_roots(links, "join-stars"), num, den, best), "join-pairs")
+        links = written(links.union(verified(pairs.filter("sig IS NULL"), docs, key, text, n, num, den)), "join-links")
+        meet = meet.join(pairs.filter("sig IS NOT NULL").select("sig").distinct(), "sig", "left_semi")
     roots = component_roots(links, "join-stars")
     of_node = nodes.select("node", "d1", "d2").join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     rows = index.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")
