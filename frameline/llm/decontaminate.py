@@ -74,7 +74,7 @@ def _blocks() -> Column:
 
 def near_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (f0, f1, size, item_id) of windows' and items' fingerprints within ``RADIUS`` and of equal size."""
-    masks = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda x: F.bit_count(x) <= NEAR)
+    masks = F.lit([x for x in range(1 << 16) if x.bit_count() <= NEAR])  # 697 numbers, as one constant
     index = items.select("item_id", "size", F.col("f0").alias("g0"), F.col("f1").alias("g1"), _blocks().alias("b")).select("item_id", "size", "g0", "g1", "b.block", F.explode(masks).alias("mask"), F.col("b.value").alias("own"))
     index = index.select("item_id", "size", "g0", "g1", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     probes = windows.select("f0", "f1", "size").distinct().select("f0", "f1", "size", _blocks().alias("b")).select("f0", "f1", "size", "b.block", "b.value")
