@@ -14,13 +14,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameline.llm.common import doc_mod, scratch_path, table
+from frameline.llm.common import scratch_path, table
 from frameline.llm.decontaminate import find_leaks
 from frameline.llm.language_id import UNDETERMINED, fit_profiles, predict_language
 from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 
-LEAST_COSINE = 0.0  # a text whose cosine with every prototype is 0 or less is like no language that was learned
+LEAST_LIKENESS = 0.35  # of a learned language's own texts, 1 on average; see the README for what was measured on either side
 SMALL_SIDE = 2_000_000  # ids that may be broadcast; more are joined by shuffle
 
 
@@ -31,9 +31,9 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out texts without a letter and texts that are like no learned language."""
-    profile = fit_profiles(docs.filter(doc_mod("doc_id", 4) != 2), "text", "lang")
-    found = predict_language(docs, "text", profile, keep=["doc_id"])
-    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") <= LEAST_COSINE)).select("doc_id").distinct()
+    profile = fit_profiles(docs, "text", "lang")
+    found = predict_language(docs, "text", profile, keep=["doc_id"], likeness=True)
+    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("likeness") < LEAST_LIKENESS)).select("doc_id").distinct()
     path = scratch_path(spark, "no-language")
     rejected.write.parquet(path)
     return without_ids(docs, spark.read.schema(rejected.schema).parquet(path))

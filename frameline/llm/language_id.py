@@ -7,6 +7,10 @@ prototype the sum over all its training texts. A text gets the language whose pr
 Letters are the Unicode letters of the lower-cased text; each run of anything else is one boundary symbol. Vectors come
 from a seed and the code point, so every worker has the same ones.
 
+A text's likeness is its product with that prototype, divided by what a text of as many n-grams of the language has on
+average: 1 for the language's own texts at every length, near 0 where n-grams are shared by chance only. It is a cosine
+floor that depends on the number of n-grams and on how often they repeat.
+
 Fit: each task counts its texts' n-grams by language, Spark sums them by (language, n-gram), and tasks bundle shares of
 the sums; only ``languages x dim`` numbers reach the driver. Prediction is a map without a shuffle.
 
@@ -35,13 +39,14 @@ SLICE = 1 << 20  # letters counted at once
 
 @dataclass(frozen=True)
 class Profile:
-    """Hyperdimensional model: ``prototypes`` is languages x dim."""
+    """Hyperdimensional model: ``prototypes`` is languages x dim, ``seen`` the n-grams that each one sums."""
 
     languages: tuple[str, ...]
     prototypes: np.ndarray
     n: int = 3
     dim: int = 1024
     seed: int = 17
+    seen: tuple[int, ...] = ()
 
 
 _LETTER = np.zeros(0x110000, bool)
@@ -147,39 +152,45 @@ def fit_profiles(docs: DataFrame, text: str, label: str, n: int = 3, dim: int =
     """Prototypes of all non-null labels, from all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, sums = Space(n, dim, seed), {}
+        space, sums, total = Space(n, dim, seed), {}, {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             codes, seen = batch.column("code").to_numpy(), batch.column("n_seen").to_numpy()
             for lang in sorted(set(langs.tolist())):
                 mine = langs == lang
+                total[lang] = total.get(lang, 0) + int(seen[mine].sum())
                 for at in range(0, int(mine.sum()), 4096):
                     own, weight = codes[mine][at : at + 4096], seen[mine][at : at + 4096]
                     sums[lang] = sums.get(lang, 0) + weight.astype(np.float64) @ space.bind(own).astype(np.float64)
         for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(range(dim), pa.int32()), pa.array(v.astype(np.int64))], names=["lang", "place", "value"])
+            value = np.append(v.astype(np.int64), total[lang])  # the number of n-grams comes after the last place
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (dim + 1), pa.string()), pa.array(range(dim + 1), pa.int32()), pa.array(value)], names=["lang", "place", "value"])
 
     shares = ngram_totals(docs, text, label, n).mapInArrow(run, "lang string, place int, value long")
     rows = shares.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()  # languages x dim numbers
     languages = tuple(sorted({r["lang"] for r in rows}))
-    prototypes = np.zeros((len(languages), dim))
+    sums = np.zeros((len(languages), dim + 1))
     at = {lang: i for i, lang in enumerate(languages)}
     for r in rows:
-        prototypes[at[r["lang"]], r["place"]] = r["value"]
-    return Profile(languages, prototypes, n, dim, seed)
+        sums[at[r["lang"]], r["place"]] = r["value"]
+    return Profile(languages, sums[:, :dim], n, dim, seed, tuple(int(k) for k in sums[:, dim]))
 
 
-def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` (the cosine, between 0 and 1) for each row."""
+def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequence[str] = (), likeness: bool = False) -> DataFrame:
+    """``keep`` columns, ``lang_pred`` and ``score`` (the cosine, between 0 and 1) for each row, and ``likeness`` if asked for."""
     chosen = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(chosen.schema[k] for k in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     norms = np.linalg.norm(profile.prototypes, axis=1, keepdims=True)
     unit = (profile.prototypes / np.where(norms > 0, norms, 1)).T
+    if likeness:
+        schema = T.StructType([*schema, T.StructField("likeness", T.DoubleType())])
+    own = norms[:, 0] / np.maximum(profile.seen, 1) if likeness else None  # length of a prototype for each n-gram of it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(profile.n, profile.dim, profile.seed)
         for batch in batches:
             langs, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+            alike = [0.0] * batch.num_rows
             block, rows, size = [], [], 0
 
             def decide() -> None:
@@ -188,6 +199,11 @@ def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequenc
                 near = (v / np.where(length > 0, length, 1)) @ unit
                 for row, k, c in zip(rows, near.argmax(axis=1), near.max(axis=1), strict=True):
                     langs[row], scores[row] = profile.languages[k], float(min(1.0, max(0.0, c)))
+                if own is not None:
+                    best, sizes = near.argmax(axis=1), np.array([codes.size for codes in block])
+                    ratio = near.max(axis=1) * length[:, 0] / sizes / np.where(own[best] > 0, own[best], 1)
+                    for row, a in zip(rows, ratio, strict=True):
+                        alike[row] = float(a)
 
             for row, body in enumerate(batch.column("__text")):
                 codes = ngram_codes(body.as_py() or "", profile.n)
@@ -201,9 +217,10 @@ def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequenc
                     block, rows, size = [], [], 0
             if block:
                 decide()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
-            )
+            columns = [*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            if likeness:
+                columns.append(pa.array(alike, pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         del space
         release_memory()
 
