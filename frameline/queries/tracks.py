@@ -11,6 +11,7 @@ from frameline.views import DET_SQL, TRAJ_SQL, detections, r6, trajectory
 
 KEYS = ["object"]
 GROUND, WIDTH, HEIGHT = 140.0, 200.0, 160.0
+LONGEST_GAP = 5  # detections missed in a row that are filled, as in the reference
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -33,12 +34,12 @@ def _measures(rows: DataFrame) -> DataFrame:
 
 
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequences.fill_gaps(_rows(spark, d), KEYS, "cx", "cx_filled", most=1)
+    rows = sequences.fill_gaps(_rows(spark, d), KEYS, "cx", "cx_filled", most=LONGEST_GAP)
     return rows.select("object", "frame", "found", r6("cx_filled").alias("cx_filled"))
 
 
 def interpolated_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequences.fill_gaps(sequences.fill_gaps(_rows(spark, d), KEYS, "cx", "fx", 1), KEYS, "cy", "fy", 1)
+    rows = sequences.fill_gaps(sequences.fill_gaps(_rows(spark, d), KEYS, "cx", "fx", LONGEST_GAP), KEYS, "cy", "fy", LONGEST_GAP)
     filled = ~F.col("found") & F.col("fx").isNotNull() & F.col("fy").isNotNull()
     return rows.groupBy("object").agg(F.count_if("found").alias("n_found"), F.count_if(filled).alias("n_interpolated"))
 

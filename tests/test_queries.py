@@ -134,3 +134,27 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_registered_gaps_are_filled_up_to_five(spark):
+    """Both gap queries against a walk over each object's detections."""
+    from collections import defaultdict
+
+    from frameline.queries import tracks
+
+    seen = defaultdict(list)
+    for r in tracks._rows(spark, SF).select("object", "frame", "cx").orderBy("object", "frame").collect():
+        seen[r["object"]].append((r["frame"], r["cx"]))
+    want, longest = {}, 0
+    for k, row in seen.items():
+        known = [i for i, (_, v) in enumerate(row) if v is not None]
+        want.update({(k, frame): v for frame, v in row})
+        for a, b in zip(known, known[1:]):
+            if 1 < b - a <= 6:
+                longest = max(longest, b - a - 1)
+                want.update({(k, row[i][0]): row[a][1] + (row[b][1] - row[a][1]) * (i - a) / (b - a) for i in range(a + 1, b)})
+    assert longest > 1
+    got = {(r["object"], r["frame"]): r["cx_filled"] for r in tracks.gap_interpolation(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(v is None and got[i] is None or got[i] == pytest.approx(v, abs=1e-6) for i, v in want.items())
+    filled = {k: sum(v is None and want[k, frame] is not None for frame, v in row) for k, row in seen.items()}
+    assert {r["object"]: r["n_interpolated"] for r in tracks.interpolated_counts(spark, SF).collect()} == filled
