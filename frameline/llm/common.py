@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,12 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def kept(keep: Sequence[str], made: Sequence[str]) -> list[Column]:
+    """The columns to keep, as they are named in the result: ``x`` is ``x_kept`` where the result makes an ``x`` of its own."""
+    taken = {m.lower() for m in made}
+    return [F.col(f"`{k}`").alias(f"{k}_kept" if k.lower() in taken else k) for k in keep]
+
+
 def release_memory() -> None:
     """Gives memory that a task has freed back to the system: Spark keeps Python workers for later stages."""
     gc.collect()

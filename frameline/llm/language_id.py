@@ -14,9 +14,13 @@ floor that depends on the number of n-grams and on how often they repeat.
 Fit: each task counts its texts' n-grams by language, Spark sums them by (language, n-gram), and tasks bundle shares of
 the sums; only ``languages x dim`` numbers reach the driver. Prediction is a map without a shuffle.
 
+Memory: a task holds one slice of a text's letters, the counts of the n-grams it has met (given to Spark and started
+anew at ``HELD``), and the vectors of ``Space.MOST`` n-grams, one byte a component.
+
 Edge cases: null texts, and texts without a letter, are ``und`` with score 0; so is every text if nothing could be
-learned. Ties go to the alphabetically first language. Repeated rows each get a row; very long texts are counted in
-slices; an empty table gives an empty result.
+learned. Ties go to the alphabetically first language. Repeated rows each get a row and each count in a fit; texts of any
+length are counted whole, ``SLICE`` letters at a time; an empty table gives an empty result. A kept column that is
+named like a result is called ``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameline.llm.common import release_memory
+from frameline.llm.common import kept, release_memory
 
 UNDETERMINED = "und"
 SHIFT = 21  # bits of a code point in an n-gram's code
-SLICE = 1 << 20  # letters counted at once
+SLICE = 1 << 18  # letters counted at once
+HELD = 1 << 20  # distinct n-grams that a task counts before it gives them to Spark
+WIDTH = 4096  # n-grams whose vectors are summed at once
 
 
 @dataclass(frozen=True)
@@ -58,17 +64,24 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def ngram_codes(text: str, n: int) -> np.ndarray:
-    """Codes of the text's n-grams: its letters between boundaries (0), ``SHIFT`` bits each. Empty without a letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    marked = np.where(letter, points, 0).astype(np.int64)
-    marked = np.concatenate([[0], marked, [0]])
-    marked = marked[np.concatenate([[True], (marked[1:] != 0) | (marked[:-1] != 0)])]
-    if marked.size < n:
-        marked = np.concatenate([marked, np.zeros(n - marked.size, np.int64)])
+def ngram_codes(text: str, n: int) -> Iterator[np.ndarray]:
+    """Codes of the text's n-grams, slice by slice: its letters between boundaries (0), ``SHIFT`` bits each. Nothing without a letter."""
+    lowered, before, any_letter, made = text.lower(), np.zeros(1, np.int64), False, False
+    for at in range(0, len(lowered), SLICE):
+        points = np.frombuffer(lowered[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        any_letter = any_letter or bool(letter.any())
+        marked = np.concatenate([before, np.where(letter, points, 0).astype(np.int64), np.zeros(int(at + SLICE >= len(lowered)), np.int64)])
+        marked = marked[np.concatenate([[True], (marked[1:] != 0) | (marked[:-1] != 0)])]
+        before = marked[max(0, marked.size - n + 1) :]
+        if marked.size >= n and any_letter:
+            made = True
+            yield _packed(marked, n)
+    if any_letter and not made:
+        yield _packed(np.concatenate([before, np.zeros(n - before.size, np.int64)]), n)
+
+
+def _packed(marked: np.ndarray, n: int) -> np.ndarray:
     code = marked[: marked.size - n + 1]
     for k in range(1, n):
         code = (code << SHIFT) | marked[k : marked.size - n + 1 + k]
@@ -76,23 +89,25 @@ def ngram_codes(text: str, n: int) -> np.ndarray:
 
 
 class Space:
-    """Vectors of letters and n-grams; remembers the n-grams' up to a bound."""
+    """Vectors of letters and n-grams; remembers the n-grams' up to a bound, in one block of memory."""
 
     MOST = 40_000
 
     def __init__(self, n: int, dim: int, seed: int):
         self.n, self.dim, self.seed = n, dim, seed
         self.letters: dict[int, np.ndarray] = {}
-        self.codes = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, dim), np.float32)
+        self.codes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.vectors = np.empty((self.MOST, dim), np.int8)  # memory is taken as rows are written
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
-            self.letters[point] = np.random.default_rng([self.seed, point]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
+            if len(self.letters) >= self.MOST:
+                self.letters.clear()
+            self.letters[point] = (np.random.default_rng([self.seed, point]).integers(0, 2, self.dim) * 2 - 1).astype(np.int8)
         return self.letters[point]
 
     def bind(self, codes: np.ndarray) -> np.ndarray:
-        out = np.ones((codes.size, self.dim), np.float32)
+        out = np.ones((codes.size, self.dim), np.int8)
         for place in range(self.n):
             points = (codes >> (SHIFT * (self.n - 1 - place))) & ((1 << SHIFT) - 1)
             distinct, which = np.unique(points, return_inverse=True)
@@ -100,49 +115,86 @@ class Space:
         return out
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors of sorted distinct codes."""
-        if codes.size > self.MOST:
-            return self.bind(codes)
-        if (new := np.setdiff1d(codes, self.codes, assume_unique=True)).size:
+        """Vectors of at most ``WIDTH`` sorted distinct codes, as float32."""
+        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+        if new.size:
             if self.codes.size + new.size > self.MOST:
-                self.codes, self.vectors, new = self.codes[:0], self.vectors[:0], codes
-            every = np.concatenate([self.codes, new])
-            order = np.argsort(every, kind="stable")
-            self.vectors = np.concatenate([self.vectors, self.bind(new)])[order]
-            self.codes = every[order]
-        return self.vectors[np.searchsorted(self.codes, codes)]
-
+                self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
+            first = self.codes.size
+            self.vectors[first : first + new.size] = self.bind(new)
+            at = np.searchsorted(self.codes, new)
+            self.codes, self.rows = np.insert(self.codes, at, new), np.insert(self.rows, at, np.arange(first, first + new.size))
+        return self.vectors[self.rows[np.searchsorted(self.codes, codes)]].astype(np.float32)
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes and each code's place among them."""
-    found = np.unique(codes)
-    return found, np.searchsorted(found, codes)
 
-
-def bundle(space: Space, texts: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Bundles of texts given as code arrays: counts times n-gram vectors, ``width`` n-grams at a time."""
-    codes, which = _distinct(np.concatenate(texts))
+def bundle(space: Space, texts: list[np.ndarray]) -> np.ndarray:
+    """Bundles of texts given as code arrays: counts times n-gram vectors, ``WIDTH`` n-grams at a time."""
+    every = np.concatenate(texts)
     owner = np.repeat(np.arange(len(texts)), [t.size for t in texts])
-    counts = np.bincount(owner * codes.size + which, minlength=len(texts) * codes.size).reshape(len(texts), codes.size).astype(np.float32)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    ends = np.append(first, every.size)
+    which = np.repeat(np.arange(first.size), np.diff(ends))
     out = np.zeros((len(texts), space.dim), np.float32)
-    for at in range(0, codes.size, width):
-        out += counts[:, at : at + width] @ space.of(codes[at : at + width])
+    for at in range(0, first.size, WIDTH):
+        codes = every[first[at : at + WIDTH]]
+        part = slice(ends[at], ends[min(at + WIDTH, first.size)])
+        counts = np.bincount(owner[part] * codes.size + which[part] - at, minlength=len(texts) * codes.size)
+        out += counts.reshape(len(texts), codes.size).astype(np.float32) @ space.of(codes)
     return out
 
 
+class Tally:
+    """Counts of codes: what comes in is put together every ``SLICE`` codes."""
+
+    def __init__(self) -> None:
+        self.codes, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.new.append(codes)
+        self.size += codes.size
+        if self.size >= SLICE:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        found, seen = np.unique(np.concatenate(self.new), return_counts=True)
+        every, seen = np.concatenate([self.codes, found]), np.concatenate([self.seen, seen])
+        self.codes, which = np.unique(every, return_inverse=True)
+        self.seen = np.bincount(which, seen, self.codes.size).astype(np.int64)
+        self.new, self.size = [], 0
+
+
 def ngram_totals(docs: DataFrame, text: str, label: str, n: int) -> DataFrame:
     """(lang, code, n_seen): n-gram counts of all texts by language; counted in the task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[str, Tally] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, t in tallies.items():
+                t.settle()
+                for at in range(0, t.codes.size, 65536):
+                    codes, seen = t.codes[at : at + 65536], t.seen[at : at + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * codes.size, pa.string()), pa.array(codes, pa.int64()), pa.array(seen, pa.int64())], names=["lang", "code", "n_seen"])
+            tallies.clear()
+
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body"), strict=True):
-                parts.setdefault(lang, []).append(ngram_codes(body.as_py(), n))
-            for lang, codes in parts.items():
-                found, seen = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * found.size, pa.string()), pa.array(found, pa.int64()), pa.array(seen, pa.int64())], names=["lang", "code", "n_seen"]
-                )
+                own = tallies.setdefault(lang, Tally())
+                for codes in ngram_codes(body.as_py(), n):
+                    own.add(codes)
+                    if own.codes.size > HELD:
+                        yield from given()
+                        own = tallies.setdefault(lang, Tally())
+            if sum(t.codes.size + t.size for t in tallies.values()) > HELD:
+                yield from given()
+        yield from given()
+        release_memory()
 
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("body")).dropna()
     return rows.mapInArrow(run, "lang string, code long, n_seen long").groupBy("lang", "code").agg(F.sum("n_seen").alias("n_seen"))
@@ -159,12 +211,14 @@ def fit_profiles(docs: DataFrame, text: str, label: str, n: int = 3, dim: int =
             for lang in sorted(set(langs.tolist())):
                 mine = langs == lang
                 total[lang] = total.get(lang, 0) + int(seen[mine].sum())
-                for at in range(0, int(mine.sum()), 4096):
-                    own, weight = codes[mine][at : at + 4096], seen[mine][at : at + 4096]
-                    sums[lang] = sums.get(lang, 0) + weight.astype(np.float64) @ space.bind(own).astype(np.float64)
+                own, weight = codes[mine], seen[mine]
+                for at in range(0, own.size, WIDTH):
+                    sums[lang] = sums.get(lang, 0) + weight[at : at + WIDTH].astype(np.float64) @ space.bind(own[at : at + WIDTH]).astype(np.float64)
+        del space
         for lang, v in sums.items():
             value = np.append(v.astype(np.int64), total[lang])  # the number of n-grams comes after the last place
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (dim + 1), pa.string()), pa.array(range(dim + 1), pa.int32()), pa.array(value)], names=["lang", "place", "value"])
+        release_memory()
 
     shares = ngram_totals(docs, text, label, n).mapInArrow(run, "lang string, place int, value long")
     rows = shares.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()  # languages x dim numbers
@@ -178,13 +232,14 @@ def fit_profiles(docs: DataFrame, text: str, label: str, n: int = 3, dim: int =
 
 def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequence[str] = (), likeness: bool = False) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (the cosine, between 0 and 1) for each row, and ``likeness`` if asked for."""
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*kept(keep, ["lang_pred", "score", "likeness", "__text"]), F.col(text).alias("__text"))
+    keep = chosen.columns[:-1]
     schema = T.StructType([*(chosen.schema[k] for k in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     norms = np.linalg.norm(profile.prototypes, axis=1, keepdims=True)
     unit = (profile.prototypes / np.where(norms > 0, norms, 1)).T
     if likeness:
         schema = T.StructType([*schema, T.StructField("likeness", T.DoubleType())])
-    own = norms[:, 0] / np.maximum(profile.seen, 1) if likeness else None  # length of a prototype for each n-gram of it
+    own = norms[:, 0] / np.maximum(profile.seen, 1)  # length of a prototype for each n-gram of it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(profile.n, profile.dim, profile.seed)
@@ -193,30 +248,32 @@ def predict_language(docs: DataFrame, text: str, profile: Profile, keep: Sequenc
             alike = [0.0] * batch.num_rows
             block, rows, size = [], [], 0
 
-            def decide() -> None:
-                v = bundle(space, block).astype(np.float64)
+            def judged(numbers: list[int], v: np.ndarray, sizes: np.ndarray) -> None:
                 length = np.linalg.norm(v, axis=1, keepdims=True)
                 near = (v / np.where(length > 0, length, 1)) @ unit
-                for row, k, c in zip(rows, near.argmax(axis=1), near.max(axis=1), strict=True):
-                    langs[row], scores[row] = profile.languages[k], float(min(1.0, max(0.0, c)))
-                if own is not None:
-                    best, sizes = near.argmax(axis=1), np.array([codes.size for codes in block])
-                    ratio = near.max(axis=1) * length[:, 0] / sizes / np.where(own[best] > 0, own[best], 1)
-                    for row, a in zip(rows, ratio, strict=True):
-                        alike[row] = float(a)
-
-            for row, body in enumerate(batch.column("__text")):
-                codes = ngram_codes(body.as_py() or "", profile.n)
-                if not codes.size or not profile.languages:
-                    continue
-                block.append(codes)
-                rows.append(row)
-                size += codes.size
-                if size >= SLICE or len(block) == 256:
-                    decide()
+                best, most = near.argmax(axis=1), near.max(axis=1)
+                ratio = most * length[:, 0] / np.maximum(sizes, 1) / np.where(own[best] > 0, own[best], 1)
+                for row, k, c, a in zip(numbers, best, most, ratio, strict=True):
+                    langs[row], scores[row], alike[row] = profile.languages[k], float(min(1.0, max(0.0, c))), float(a)
+
+            for row, body in enumerate(batch.column("__text") if profile.languages else []):
+                text_ = body.as_py() or ""
+                total, length = np.zeros((1, profile.dim)), 0
+                for codes in ngram_codes(text_, profile.n):
+                    if 2 * len(text_) <= SLICE:  # lower-casing makes two of some letters
+                        block.append(codes)
+                        rows.append(row)
+                        size += codes.size
+                    else:  # its slices are summed before they are judged
+                        total += bundle(space, [codes])
+                        length += codes.size
+                if length:
+                    judged([row], total, np.array([length]))
+                if size >= SLICE or len(block) >= 256:
+                    judged(rows, bundle(space, block).astype(np.float64), np.array([codes.size for codes in block]))
                     block, rows, size = [], [], 0
             if block:
-                decide()
+                judged(rows, bundle(space, block).astype(np.float64), np.array([codes.size for codes in block]))
             columns = [*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if likeness:
                 columns.append(pa.array(alike, pa.float64()))

@@ -8,7 +8,8 @@ once and remembered. Every new word of an Arrow batch is checked against the sen
 library decodes the ids.
 
 Edge cases: null and empty texts give no ids and an empty decoded text; very long words use the same heap, in
-n log n; repeated rows each get a row; an empty table gives an empty result.
+n log n; texts of any length are encoded whole; repeated rows each get a row; pairs of equal score merge from the left; an
+empty table gives an empty result; a kept column that is named like a result is called ``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameline.llm.common import release_memory
+from frameline.llm.common import kept, release_memory
 
 MARK = "▁"
 SHORT, NEVER = 24, float("inf")
@@ -173,7 +174,8 @@ def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[st
     """``keep`` columns, ``ids`` (array of int), ``decoded`` (string) and ``agrees`` for each row."""
     with open(model_path, "rb") as f:
         body = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*kept(keep, ["ids", "decoded", "agrees", "__text"]), F.col(text).alias("__text"))
+    keep = chosen.columns[:-1]
     fields = [chosen.schema[k] for k in keep]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("agrees", T.BooleanType())])
 

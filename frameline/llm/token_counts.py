@@ -4,8 +4,9 @@
 that the table lacks, appends them, and joins the counts back. The cache is a Parquet table that may be kept
 between runs and shared by jobs: a digest that two jobs append at once is read once.
 
-Edge cases: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows each get a row; rows of an
-empty table give an empty result; other columns, whatever their names, pass through only if asked for in ``keep``.
+Edge cases: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows each get a row; texts of any length are
+encoded whole; equal texts, which are the only ties, share one count; an empty table gives an empty result; other columns
+pass through only if asked for in ``keep``, and one that is named like a result is called ``<name>_kept``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameline.llm.common import scratch_path
+from frameline.llm.common import kept, scratch_path, written
 
 CACHE_SCHEMA = "content binary, version string, n_tokens long"
 
@@ -93,12 +94,13 @@ def count_tokens(docs: DataFrame, text: str, tokenizer_path: str, cache_path: st
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     cache_path = cache_path or scratch_path(spark, "token-counts")
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(
-        *keep, F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("content"), body.alias("body")
-    )
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    columns = kept(keep, ["n_bytes", "n_tokens", "__content", "__body"])
+    keyed = docs.select(*columns, F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("__content"), body.alias("__body"))
+    keep = keyed.columns[: len(columns)]
     known = stored_counts(spark, cache_path, version)
-    misses = keyed.select("content", "body").join(known, "content", "left_anti").dropDuplicates(["content"])
+    misses = keyed.select(F.col("__content").alias("content"), F.col("__body").alias("body")).join(known, "content", "left_anti").dropDuplicates(["content"])
     encode_misses(misses, tokenizer_path, version).write.mode("append").parquet(cache_path)
-    counts = stored_counts(spark, cache_path, version)
-    return keyed.drop("body").join(counts, "content", "left").select(*keep, "n_bytes", "n_tokens")
+    # Written, so that the join below is one of two plain shuffles, in which Spark splits a digest that many rows share.
+    counts = written(stored_counts(spark, cache_path, version), "token-counts-read")
+    return keyed.drop("__body").join(counts.select(F.col("content").alias("__content"), "n_tokens"), "__content", "left").select(*(F.col(f"`{k}`") for k in keep), "n_bytes", "n_tokens")
