@@ -1,4 +1,4 @@
-"""Scores of a track from its measures, as column expressions. Null or NaN measures take the worst step of a deduction."""
+"""Scores of a track from its measures, as column expressions. A null measure, which is one that is not known, takes nothing off a deduction; NaN takes the most."""
 
 from __future__ import annotations
 
@@ -64,23 +64,51 @@ def weighted_score(parameter: Column | None = None) -> Column:
     return 100 * F.when(parameter.isNull(), total / 0.95).otherwise(total + 0.05 * parameter)
 
 
+def fit_quality() -> Column:
+    return clip01((F.col("r2") - 0.90) / 0.09)
+
+
 def sweep_video_score() -> Column:
-    """Five equal-kind terms of a sweep's video: track .25, shape .25, no sideways motion .20, penetration .15, bounce .15."""
+    """A sweep's video, 0 to 100: tracking .25, shape .25, no sideways motion .20, penetration .15, bounce .15."""
     c = F.col
-    shape = clip01((c("r2") - 0.90) / 0.09)
-    return 100 * (0.25 * c("detection_rate") + 0.25 * shape + 0.20 * clip01(1 - c("verticality") / 0.15) + 0.15 * clip01(1 - c("penetration_norm") / 0.5) + 0.15 * clip01(1 - c("bounce_norm") / 0.2))
+    tracking = 0.5 * c("detection_rate") + 0.25 * c("single_object_rate") + 0.25 * c("in_frame_rate")
+    sunk = F.when(c("penetration_px") <= 2, 1.0).otherwise(clip01(1 - c("penetration_norm") / 0.5))
+    bounced = F.when(c("bounce_norm") <= 0.02, 1.0).otherwise(clip01(1 - c("bounce_norm") / 0.2))
+    return 100 * (0.25 * tracking + 0.25 * fit_quality() + 0.20 * clip01(1 - c("verticality") / 0.15) + 0.15 * sunk + 0.15 * bounced)
 
 
-def hard_constraints() -> dict[str, Column]:
-    """Eight checks that a track must pass; NaN never passes."""
+def hard_constraints(parameters: bool = True) -> dict[str, Column]:
+    """Eight checks that a track must pass, and three on recovered parameters, which are null where the true value is not known. NaN never passes."""
     c = F.col
-    return {
-        "ok_detection": c("detection_rate") >= 0.95,
-        "ok_single": c("single_object_rate") >= 0.98,
-        "ok_in_frame": c("in_frame_rate") >= 0.98,
-        "ok_vertical": c("verticality") <= 0.05,
-        "ok_downward": c("monotonic_rate") >= 0.95,
+    checks = {
+        "ok_detection": c("detection_rate") >= 0.90,
+        "ok_single": c("single_object_rate") >= 0.90,
+        "ok_in_frame": c("in_frame_rate") >= 0.95,
+        "ok_vertical": c("verticality") <= 0.10,
+        "ok_downward": c("monotonic_rate") >= 0.90,
         "ok_fit": (c("r2") >= 0.98) & ~F.isnan("r2"),
-        "ok_penetration": (c("penetration_px") <= 2) | (c("penetration_norm") <= 0.10),
+        "ok_penetration": c("penetration_px") <= 2,
         "ok_bounce": c("bounce_norm") <= 0.05,
     }
+    checks = {n: F.coalesce(e, F.lit(False)) for n, e in checks.items()}
+    if parameters:
+        checks |= {"ok_g": c("g_rel") <= 0.30, "ok_v0": c("v0_abs") <= 1.0, "ok_h0": c("h0_rel") <= 0.30}
+    return checks
+
+
+def strict_pass(checks: dict[str, Column]) -> Column:
+    """Whether all checks hold; a check that is null says nothing."""
+    out = F.lit(True)
+    for n in checks:
+        out = out & F.coalesce(F.col(n), F.lit(True))
+    return out
+
+
+def axis_score() -> Column:
+    """A sweep's axis, 0 to 100, from its regression and the means of its videos: fit .40, correlation .20, order .15, fit quality .15,
+    constraints .10. What is not defined counts as 0."""
+    c = F.col
+    known = lambda x: F.when(c(x).isNull() | F.isnan(c(x)), 0.0).otherwise(c(x))
+    quality = clip01((known("mean_r2") - 0.90) / 0.09)
+    constraints = 0.4 * c("mean_detection") + 0.3 * clip01(1 - c("mean_verticality") / 0.15) + 0.3 * c("clean_share")
+    return 100 * (0.40 * clip01(known("r2")) + 0.20 * F.abs(known("pearson")) + 0.15 * known("monotonic") + 0.15 * quality + 0.10 * constraints)

@@ -102,13 +102,6 @@ def monotonic_score(spark: SparkSession, d: str) -> DataFrame:
     return monotonic_share(trajectory(spark, d), ["object"], "z", "frame").withColumn("monotonic", r6("monotonic"))
 
 
-def axis_score(spark: SparkSession, d: str) -> DataFrame:
-    """Share .40 of fit, .20 of correlation, .15 of order and .25 of evenness, out of 100."""
-    out = summaries.axis_regression(_axis(spark, d), ["axis"], "target", "estimate", "o_orderkey")
-    clip = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r2")))
-    return out.select("axis", F.round(100 * (0.40 * clip + 0.20 * F.abs("pearson") + 0.15 * F.col("monotonic") + 0.25), 4).alias("score"))
-
-
 def phase_report(spark: SparkSession, d: str) -> DataFrame:
     """Counts, mean and correlations over all results that are finite."""
     rows = _axis(spark, d).filter(F.col("estimate").isNotNull() & ~F.isnan("estimate") & (F.abs("estimate") < float("inf")))
@@ -148,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cross_view_consistency, cross_view_map, coverage_antijoin, batch_summary, view_errors, style_summary, ranking, ranking_lines, topk, largest_per_group, seed_frames, render_inventory,
-        render_inventory_rollup, axis_regression, spearman, monotonic_score, axis_score, phase_report, error_channel, run_log_counts, resume_pending, view_priority,
+        render_inventory_rollup, axis_regression, spearman, monotonic_score, phase_report, error_channel, run_log_counts, resume_pending, view_priority,
     )
 }
 _AXIS = "ax AS (SELECT o_orderkey, o_orderpriority AS axis, CAST(o_custkey % 50 AS DOUBLE) AS target, o_totalprice / 1000 AS estimate FROM orders)"
@@ -173,7 +166,6 @@ ORACLE_SQL = {
     "axis_regression": f"WITH {_AXIS}, {_REG}, {_MONO} SELECT r.axis, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(pearson * pearson, 6) AS r2, round(pearson, 6) AS pearson, round(greatest(up, down), 6) AS monotonic FROM r LEFT JOIN m ON r.axis = m.axis",
     "spearman": f"WITH {_AXIS}, k AS (SELECT axis, rank() OVER (PARTITION BY axis ORDER BY target) + (count(*) OVER (PARTITION BY axis, target) - 1) / 2.0::DOUBLE AS target, rank() OVER (PARTITION BY axis ORDER BY estimate) + (count(*) OVER (PARTITION BY axis, estimate) - 1) / 2.0::DOUBLE AS estimate FROM ax) SELECT axis, round({_CORR}, 6) AS spearman FROM k GROUP BY axis",
     "monotonic_score": f"WITH {TRAJ_SQL}, s AS (SELECT object, z - lag(z) OVER (PARTITION BY object ORDER BY frame) AS d FROM traj) SELECT object, round(greatest(avg(CASE WHEN d >= -1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), avg(CASE WHEN d <= 1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS monotonic FROM s WHERE d IS NOT NULL GROUP BY object",
-    "axis_score": f"WITH {_AXIS}, {_REG}, {_MONO} SELECT r.axis, round(100 * (0.40::DOUBLE * greatest(0, least(1, pearson * pearson)) + 0.20::DOUBLE * abs(pearson) + 0.15::DOUBLE * greatest(up, down) + 0.25::DOUBLE), 4) AS score FROM r LEFT JOIN m ON r.axis = m.axis",
     "phase_report": f"WITH {_AXIS} SELECT count(*) AS n, round(avg(estimate), 6) AS mean_estimate, round({_CORR}, 6) AS pearson, round(regr_slope(estimate, target), 6) AS slope, round(regr_intercept(estimate, target), 6) AS intercept FROM ax",
     "error_channel": "SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size * 2 END AS value, CASE WHEN p_size % 10 = 0 THEN 'ValueError: size ' || CAST(p_size AS VARCHAR) END AS error FROM part",
     "run_log_counts": "SELECT CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'skip' ELSE 'error' END AS status, count(*) AS n FROM orders GROUP BY 1",
