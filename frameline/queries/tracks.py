@@ -228,7 +228,7 @@ QUERIES = {
         bounce_height, scale_median, pixel_to_physical, pixel_to_diameters, deduction_score, weighted_score, sweep_video_score, hard_constraints, axis_score,
     )
 }
-_FILL = """SELECT object, frame, found, event_id, coalesce({v}, CASE WHEN nf - pf - 1 <= 1 THEN pv + (nv - pv) * (i - pf) / (nf - pf) END) AS {v}_filled FROM (
+_FILL = """SELECT object, frame, found, event_id, coalesce({v}, CASE WHEN nf - pf - 1 <= 5 THEN pv + (nv - pv) * (i - pf) / (nf - pf) END) AS {v}_filled FROM (
     SELECT *, max(CASE WHEN {v} IS NOT NULL THEN i END) OVER (PARTITION BY object ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pf,
         min(CASE WHEN {v} IS NOT NULL THEN i END) OVER (PARTITION BY object ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nf,
         last_value({v} IGNORE NULLS) OVER (PARTITION BY object ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv,
