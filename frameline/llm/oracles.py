@@ -55,19 +55,17 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
         FROM w
     """,
-    # The fingerprints only leave out pairs that could not be verified, so the SQL verifies all aligned windows.
+    # All windows of all documents: a window without a shingle of the item has a similarity of 0 and needs no row.
     "op7_decontamination": f"""
-        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
-        ds AS (SELECT DISTINCT doc_id, len(w) AS m, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
-        bs AS (SELECT DISTINCT item_id, len(w) AS size, ofs, array_to_string(w[ofs + 1:ofs + 5], ' ') AS h FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS ofs FROM b WHERE len(w) >= 5)),
-        bw AS (SELECT item_id, size, h, count(*) AS weight FROM bs GROUP BY item_id, size, h),
-        hits AS (SELECT doc_id, item_id, size, least(greatest(pos - ofs, 0), greatest(m - size, 0)) AS start FROM ds JOIN bs ON ds.h = bs.h),
-        enough AS (SELECT doc_id, item_id FROM hits GROUP BY doc_id, item_id, size HAVING count(*) >= ceil(0.8 * (size - 4))),
-        starts AS (SELECT DISTINCT h.doc_id, h.item_id, h.size, h.start FROM hits h JOIN enough e ON h.doc_id = e.doc_id AND h.item_id = e.item_id),
-        win AS (SELECT s.doc_id, s.item_id, s.size, s.start, ds.h, count(*) AS weight FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.pos >= s.start AND ds.pos <= s.start + s.size - 5 GROUP BY s.doc_id, s.item_id, s.size, s.start, ds.h),
-        tot AS (SELECT doc_id, item_id, size, start, sum(weight) AS total FROM win GROUP BY doc_id, item_id, size, start),
-        com AS (SELECT w.doc_id, w.item_id, w.size, w.start, sum(least(w.weight, b.weight)) AS s FROM win w JOIN bw b ON b.item_id = w.item_id AND b.h = w.h GROUP BY w.doc_id, w.item_id, w.size, w.start),
-        sim AS (SELECT c.doc_id, c.item_id, c.start, CAST(s AS DOUBLE) / CAST(total + c.size - 4 - s AS DOUBLE) AS similarity FROM com c JOIN tot t ON c.doc_id = t.doc_id AND c.item_id = t.item_id AND c.start = t.start)
+        WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+        ds AS (SELECT doc_id, body, len(w) AS m, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS h FROM (SELECT doc_id, w, hash(w) AS body, unnest(range(0, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5)),
+        bs AS (SELECT item_id, body, len(w) AS size, array_to_string(w[ofs + 1:ofs + 5], ' ') AS h FROM (SELECT item_id, w, hash(w) AS body, unnest(range(0, len(w) - 4)) AS ofs FROM b WHERE len(w) >= 5)),
+        bw AS (SELECT item_id, body AS item, size, h, count(*) AS weight FROM bs GROUP BY item_id, body, size, h),
+        hits AS (SELECT doc_id, body, m, item_id, item, size, weight, pos, ds.h, least(size - 4, m - 4) AS width, greatest(m - size, 0) AS final FROM ds JOIN bw ON ds.h = bw.h),
+        placed AS (SELECT *, unnest(range(greatest(pos - width + 1, 0), least(pos, final) + 1)) AS start FROM hits),
+        have AS (SELECT doc_id, body, item_id, item, size, width, start, h, weight, count(*) AS c FROM placed GROUP BY ALL),
+        com AS (SELECT doc_id, body, item_id, item, size, width, start, sum(least(c, weight)) AS s FROM have GROUP BY ALL),
+        sim AS (SELECT doc_id, item_id, start, CAST(s AS DOUBLE) / CAST(width + size - 4 - s AS DOUBLE) AS similarity FROM com)
         SELECT doc_id, item_id, similarity, CAST(start AS BIGINT) AS word_start FROM sim WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
     """,
 }

@@ -2,7 +2,6 @@ import random
 
 import brute
 import pytest
-from pyspark.sql import functions as F
 
 from frameline.llm.decontaminate import find_leaks
 from frameline.llm.links import component_roots
@@ -88,19 +87,52 @@ def test_leaks_of_nothing(spark):
     assert find_leaks(none, "doc_id", "text", docs, "doc_id", "text").count() == 0
 
 
+def test_leaks_that_no_shared_shingle_aligns(spark):
+    """Documents near the threshold, among them ones that reach it only between the starts that shared shingles name."""
+    r = random.Random(11)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(size))) for k, size in enumerate((64, 64, 40, 90, 25, 9, 5))] + [(50, " ".join("a b c d e f".split() * 9))]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        for changes in range(7):
+            for _ in range(6):
+                v = list(w)
+                for _ in range(changes):
+                    at = r.randrange(len(v))
+                    v[at : at + r.randrange(2)] = [f"n{r.randrange(99)}"] * r.randrange(3)
+                docs.append((len(docs), " ".join([*(f"p{r.randrange(50)}" for _ in range(r.randrange(30))), *v, *(f"s{j}" for j in range(r.randrange(30)))])))
+        if len(w) == 64:
+            v = ["first", *w[1:31], "in", "two", *w[31:-1], "last"]
+            docs += [(len(docs) + j, " ".join([*(f"p{j}{x}" for x in range(10 * j)), *v, "and", "more", "words"])) for j in range(4)]
+    want = brute.leaks(docs, items)
+    assert sum(0.8 <= x < 0.83 for x in want.values()) >= 8 and len(docs) > len(want) > 100
+    schema = "id long, text string"
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in find_leaks(spark.createDataFrame(docs, schema), "id", "text", spark.createDataFrame(items, schema), "id", "text").collect()}
+    assert got == pytest.approx(want)
+
+
+def test_leaks_in_long_and_repeated_texts(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    long = " ".join(["x y z"] * 20_000) + " " + " ".join([item] * 40) + " " + " ".join(["q r"] * 20_000)
+    docs = spark.createDataFrame([(1, long), (1, "other text of the same id"), (1, "other text of the same id"), (2, item), (2, item), (3, None)], "doc_id long, text string")
+    got = find_leaks(docs, "doc_id", "text", spark.createDataFrame([(7, item), (7, item), (8, "x y z x y z x y z")], "item_id long, text string"), "item_id", "text").collect()
+    assert sorted((x["doc_id"], x["item_id"], x["similarity"], x["word_start"]) for x in got) == [(1, 7, 1.0, 60_000), (1, 8, 1.0, 0), (2, 7, 1.0, 0)]
+
+
 def test_fingerprints_within_the_radius_always_meet(spark):
-    from frameline.llm.decontaminate import RADIUS, near_fingerprints
+    from frameline.llm.decontaminate import PRINT, RADIUS, near_fingerprints
 
     r = random.Random(5)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    base = r.getrandbits(128)
+    words = lambda x: [signed((x >> (64 * k)) & ((1 << 64) - 1)) for k in range(len(PRINT))]
+    base = r.getrandbits(64 * len(PRINT))
     rows = []
-    for k in range(60):
+    for apart in range(100):
         x = base
-        for b in r.sample(range(128), k):
+        for b in r.sample(range(64 * len(PRINT)), apart):
             x ^= 1 << b
-        rows.append((signed(x & ((1 << 64) - 1)), signed(x >> 64), 9, k))
-    windows = spark.createDataFrame(rows, "f0 long, f1 long, size int, apart int")
-    items = spark.createDataFrame([(signed(base & ((1 << 64) - 1)), signed(base >> 64), 9, 1)], "f0 long, f1 long, size int, item_id long")
-    got = {(x["f0"], x["f1"]) for x in near_fingerprints(windows, items).collect()}
-    assert got == {(x["f0"], x["f1"]) for x in windows.filter(F.col("apart") <= RADIUS).collect()}
+        rows.append((apart, 9, *words(x)))
+    prints = ", ".join(f"{f} long" for f in PRINT)
+    windows = spark.createDataFrame([*rows, (500, 8, *words(base))], f"window long, size int, {prints}")
+    items = spark.createDataFrame([(1, 9, *words(base))], f"item long, size int, {prints}")
+    assert {x["window"] for x in near_fingerprints(windows, items).collect()} == set(range(RADIUS + 1))
