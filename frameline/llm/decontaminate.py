@@ -30,7 +30,7 @@ from frameline.llm.common import SPACE_CLASS, written
 WORDS, NEAR = 4, 3
 BLOCKS = 4 * WORDS
 RADIUS = BLOCKS * NEAR + BLOCKS - 1
-RUN = 256  # windows cut from a text in one row
+RUN = 256  # windows cut from a text in one row at most
 SMALL_SIDE = 1_000_000  # rows that may be broadcast; larger sides are joined by shuffle
 PRINT = [f"f{k}" for k in range(WORDS)]
 
@@ -94,7 +94,7 @@ def least_common(width: Column, item: Column, similarity: float) -> Column:
 
 
 def possible_windows(posted: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(doc_id, body, size, first, last): runs of starts of the windows that hold enough marks. ``posted(doc_id, body, m, size, pos)`` are marks, each once.
+    """(doc_id, body, size, width, first, last): runs of at most ``RUN`` starts of the windows that hold enough marks. ``posted(doc_id, body, m, size, pos)`` are marks, each once.
 
     Each mark counts in the windows from ``pos - width + 1`` to ``pos``: 1 is added where these begin and taken off behind
     their end, and a running sum over a text's own marks gives every window's count.
@@ -107,8 +107,21 @@ def possible_windows(posted: DataFrame, n: int, similarity: float) -> DataFrame:
     text = Window.partitionBy(*keys).orderBy("start")
     runs = steps.select(*keys, F.col("start").alias("first"), F.sum("by").over(text).alias("marks"), F.lead("start").over(text).alias("next"))
     runs = runs.filter((F.col("marks") >= least_common(F.least(item, have), item, similarity)) & (F.col("first") <= last_start))
-    whole = runs.select("doc_id", "body", "size", F.least(F.col("next") - 1, last_start).alias("end"), F.explode(F.sequence("first", F.least(F.col("next") - 1, last_start), F.lit(RUN))).alias("first"))
-    return whole.select("doc_id", "body", "size", "first", F.least(F.col("first") + RUN - 1, "end").alias("last"))
+    end = F.least(F.col("next") - 1, last_start)
+    # Cut where starts are multiples of RUN, so that a piece needs the shingles of few stretches of its text.
+    cuts = F.sequence(F.floor(F.col("first") / RUN), F.floor(end / RUN))
+    pieces = runs.select("doc_id", "body", "size", "first", end.alias("end"), F.least(item, have).alias("width"), F.explode(cuts).alias("k"))
+    return pieces.select("doc_id", "body", "size", "width", F.greatest("first", F.col("k") * RUN).cast("int").alias("first"), F.least("end", F.col("k") * RUN + RUN - 1).cast("int").alias("last"))
+
+
+def cut_windows(shingles: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, size, start, h): the windows of ``possible_windows``, from ``shingles(doc_id, body, pos, h)``; linear in a text's length."""
+    needed = F.sequence(F.floor(F.col("first") / RUN), F.floor((F.col("last") + F.col("width") - 1) / RUN))
+    rows = shingles.withColumn("k", F.floor(F.col("pos") / RUN)).join(pieces.withColumn("k", F.explode(needed)), ["doc_id", "body", "k"])
+    rows = rows.filter((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last") + F.col("width")))
+    held = rows.groupBy("doc_id", "body", "size", "width", "first", "last").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "h"))), lambda x: x["h"]).alias("h"))
+    parts = F.transform(F.sequence("first", "last"), lambda s: F.struct(s.alias("start"), F.slice("h", s - F.col("first") + 1, F.col("width")).alias("h")))
+    return held.select("doc_id", "size", F.explode(parts).alias("w")).select("doc_id", "size", "w.start", "w.h")
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -122,9 +135,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     posted = shingled(docs, key, text, n, "doc_id").select("doc_id", "body", "m", F.posexplode("h").alias("pos", "h"))
     hits = written(posted.join(_small(marks), "h").select("doc_id", "body", "m", "size", "pos").distinct(), "leaks-hits")
     runs = written(possible_windows(hits, n, similarity), "leaks-runs")
-    few = shingled(docs.join(_small(runs.select("doc_id").distinct().withColumnRenamed("doc_id", "__id")), docs[key] == F.col("__id"), "left_semi"), key, text, n, "doc_id").dropDuplicates(["doc_id", "body"])
-    parts = F.transform(F.sequence("first", "last"), lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("size") - n + 1).alias("h")))
-    cut = few.join(runs, ["doc_id", "body"]).select("doc_id", "size", F.explode(parts).alias("w")).select("doc_id", "size", "w.start", "w.h", F.xxhash64("w.h").alias("window"), F.xxhash64("w.h", F.lit(1)).alias("check"))
+    ids = _small(runs.select("doc_id").distinct().withColumnRenamed("doc_id", "__id"))
+    few = shingled(docs.join(ids, docs[key] == F.col("__id"), "left_semi"), key, text, n, "doc_id").select("doc_id", "body", F.posexplode("h").alias("pos", "h"))
+    cut = cut_windows(few, runs).select("doc_id", "size", "start", "h", F.xxhash64("h").alias("window"), F.xxhash64("h", F.lit(1)).alias("check"))
     placed = written(cut, "leaks-windows")
     # Windows that are equal word for word, as of one passage in many documents, go on once.
     distinct = placed.groupBy("window", "check", "size").agg(F.first("h").alias("h"))
