@@ -6,8 +6,12 @@ indexes each set's segment subsets, and the one-deletion neighbourhoods of the f
 picks ``twice`` by cost from how many documents the corpus has in each band: few and large segments cost more index rows
 and make fewer chance meetings. A set is indexed in its own band and in the next one if it can link there.
 
+Empty segments agree by chance, so with ``spare`` more segments than needed a set of at most ``spare`` empty ones is not indexed
+under them: two linked sets leave ``spare + 1`` segments alike, of which at most ``spare`` are empty in either of them if one
+has so few. Sets with more empty segments are indexed under those as well, and so meet each other. Segments that count twice are always indexed.
+
 1. ``shingle_index``: one pass gives each row's set size, set digest, parity bitmap and index rows. Equal sets become one node.
-2. Nodes that share an index row meet in a bucket. Each node is first verified against the best of its buckets' smallest nodes only.
+2. ``met_nodes``: nodes that share an index row meet in a bucket. Each node is first verified against the best of its buckets' smallest nodes only.
 3. Nodes of a bucket that are still in different components are compared in bounded blocks by parity bitmaps, whose
    distance never exceeds the sets' difference, so nothing is lost: first the best pair of every two components of a block,
    then, in the buckets where that left pairs out, all that are still apart. Every pair that passes is verified on whole
@@ -25,12 +29,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameline.llm.common import LOWER, UPPER, arrow_rows, release_memory, written
@@ -39,7 +44,7 @@ from frameline.llm.links import component_roots
 GROWTH = 1.25  # largest over smallest size of a band
 LARGEST = 1 << 30  # no set is larger
 CHUNK = 2048  # nodes of a bucket that are compared at once
-BITS_PER_DIFFERENCE = 16  # of the parity bitmap
+BITS_PER_DIFFERENCE = 3  # of the parity bitmap
 PAIR_COST = 0.05  # of comparing two bitmaps, against writing an index row
 SMALL_SIDE = 2_000_000  # ids that may be broadcast; beyond it they are joined by shuffle
 
@@ -49,17 +54,22 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes from ``low`` to ``high``; ``twice`` of its segments count twice."""
+    """Sizes from ``low`` to ``high``; ``twice`` of its segments count twice, ``spare`` more than needed make up for empty ones."""
 
     low: int
     high: int
     differ: int
     twice: int = 0
+    spare: int = 0
 
     @property
     def segments(self) -> int:
         return self.differ + 1 - self.twice
 
+    @property
+    def parts(self) -> int:
+        return self.segments + self.spare
+
 
 def bands(num: int, den: int) -> list[Band]:
     """Bands of sizes for links at ``num / den``; ``differ`` bounds what two linked sets of a band may differ by."""
@@ -72,27 +82,36 @@ def bands(num: int, den: int) -> list[Band]:
     return out
 
 
-def index_rows(band: Band, twice: int) -> float:
+def index_rows(band: Band) -> float:
     """Index rows of a set of the band's largest size."""
-    return band.differ + 1 - twice + band.high * twice / (band.differ + 1 - twice)
+    return band.parts + band.high * band.twice / band.parts
+
+
+def _at_least(x: int, n: int, q: float) -> float:
+    """Probability of x or more successes of n."""
+    return max(0.0, 1 - sum(comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(x)))
 
 
-def chance_meetings(band: Band, twice: int) -> float:
+def chance_meetings(band: Band) -> float:
     """Share of all pairs of the band's smallest sets that meet without a common shingle, in segments that hold nothing (or one shingle)."""
-    m = band.differ + 1 - twice
-    none = (1 - 1 / m) ** band.low if m > 1 else 0.0
-    single = band.low / m * (1 - 1 / m) ** (band.low - 1) if m > 1 else 0.0
-    return (m - twice) * none**2 + twice * (none**2 + 2 * none * single)
+    m = band.parts
+    if m == 1:
+        return 0.0
+    none = (1 - 1 / m) ** band.low
+    single = band.low / m * (1 - 1 / m) ** (band.low - 1)
+    plain = m - band.twice
+    indexed = none * _at_least(band.spare, max(0, plain - 1), none)  # empty, in a set that has more empty ones than are spare
+    return plain * indexed**2 + band.twice * (none**2 + 2 * none * single)
 
 
 def allocate(every: list[Band], sizes: dict[int, int]) -> list[Band]:
-    """The bands with ``twice`` of least cost, given how many documents each band (by its place) has."""
+    """The bands with ``twice`` and ``spare`` of least cost, given how many documents each band (by its place) has."""
     out = []
     for k, band in enumerate(every):
         n = sizes.get(k, 0)
         steps = sorted({(band.differ + 1) // 2 * i // 16 for i in range(17)})
-        cost = {t: n * index_rows(band, t) + n * n / 2 * chance_meetings(band, t) * PAIR_COST for t in steps}
-        out.append(Band(band.low, band.high, band.differ, min(steps, key=lambda t: (cost[t], t))))
+        tried = [replace(band, twice=t, spare=x) for t in steps for x in (0, 1, 2, 3, 4, 6, 8, 12) if x <= (band.differ + 1) // 4] if n else [band]
+        out.append(min(tried, key=lambda b: (n * index_rows(b) + n * n / 2 * chance_meetings(b) * PAIR_COST, b.twice, b.spare)))
     return out
 
 
@@ -133,13 +152,15 @@ def signatures(tokens: np.ndarray, plan: list[Band], starts: np.ndarray, num: in
     first = k
     while k < len(plan) and (k == first or size * den >= num * plan[k].low):
         band = plan[k]
-        m = band.segments
+        m = band.parts
         segment = ((tokens >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         low = np.bincount(segment, (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
         high = np.bincount(segment, (tokens >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
         with np.errstate(over="ignore"):
             total = (high << np.uint64(32)) + low + (np.arange(m, dtype=np.uint64) * _A ^ np.uint64(k + 1) * _C)
-            out.append(mixed(total))
+            empty = np.bincount(segment, minlength=m) == 0
+            empty[: band.twice] = False
+            out.append(mixed(total if empty.sum() > band.spare else total[~empty]))
             if band.twice:
                 inside = segment < band.twice
                 out.append(mixed(total[segment[inside]] - tokens[inside]))
@@ -330,6 +351,23 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
     return found.distinct()
 
 
+def met_nodes(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node, center): the nodes of each index row that several nodes have, and the smallest of them.
+
+    Nodes of an index row are counted before rows meet, so a row that very many nodes have costs one row a task there. Two
+    nodes are the smallest and the largest one; only rows of more nodes are looked up again.
+    """
+    wanted = nodes.select(F.col("node").alias("doc_id"), "d1", "d2")
+    few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    rows = index.join(F.broadcast(wanted) if few else wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
+    counted = rows.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most"), F.count(F.lit(1)).alias("many"))
+    shared = written(counted.filter("center < most"), "join-shared")
+    pairs = shared.filter("many = 2").select("sig", F.explode(F.array("center", "most")).alias("node"), "center")
+    more = shared.filter("many > 2").select("sig", "center")
+    few = more.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    return pairs.unionByName(rows.join(F.broadcast(more) if few else more, "sig").distinct().select("sig", "node", "center"))
+
+
 def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row: components of links with Jaccard of ``num / den`` or more."""
     every = bands(num, den)
@@ -344,11 +382,9 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
     with arrow_rows(docs.sparkSession, 1024):
         index = written(shingle_index(docs, key, text, n, num, den, plan), "join-index")
     real = index.filter("n_shingles > 0 and doc_id is not null")
-    firsts = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bits", "sigs"), "doc_id").alias("s"))
+    firsts = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bits"), "doc_id").alias("s"))
     nodes = written(firsts.select("node", "d1", "d2", "s.*"), "join-nodes")
-    share = Window.partitionBy("sig")
-    met = nodes.select("node", F.explode("sigs").alias("sig")).withColumns({"center": F.min("node").over(share), "most": F.max("node").over(share)})
-    buckets = written(met.filter("center < most").select("sig", "node", "center"), "join-buckets")
+    buckets = written(met_nodes(real, nodes), "join-buckets")
     small = nodes.select("node", "n_shingles", "bits")
     near = buckets.filter("node > center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("shared"))
     stars = near.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))
