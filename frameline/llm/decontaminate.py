@@ -77,15 +77,17 @@ def _blocks() -> Column:
 def near_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (window, item) of ``windows(window, size, f...)`` and ``items(item, size, f...)`` of equal size within ``RADIUS``.
 
-    A pair meets in about a sixth of the blocks' values by chance; the distance is taken where it meets first only.
+    Rows of the index and of its probes hold block values only; fingerprints are joined to the distinct pairs that meet.
     """
     masks = F.lit([x for x in range(1 << 16) if x.bit_count() <= NEAR])  # 697 numbers, as one constant
-    theirs = [F.col(f).alias(f"g{k}") for k, f in enumerate(PRINT)]
-    index = items.select("item", "size", *theirs, _blocks().alias("b")).select("item", "size", *[f"g{k}" for k in range(WORDS)], "b.block", F.col("b.value").alias("own"), F.explode(masks).alias("mask"))
-    index = index.select("item", "size", *[f"g{k}" for k in range(WORDS)], "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = windows.select("window", "size", *PRINT, _blocks().alias("b")).select("window", "size", *PRINT, "b.block", "b.value")
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(PRINT[k]).bitwiseXOR(F.col(f"g{k}"))) for k in range(WORDS)])
-    return probes.join(_small(index), ["block", "value", "size"]).filter(apart <= RADIUS).select("window", "item").distinct()
+    index = items.select("item", "size", _blocks().alias("b")).select("item", "size", "b.block", F.col("b.value").alias("own"), F.explode(masks).alias("mask"))
+    index = index.select("item", F.col("size").alias("of"), "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    probes = windows.select("window", F.col("size").alias("of"), _blocks().alias("b")).select("window", "of", "b.block", "b.value")
+    # Spark would judge both sides by the tables that they are exploded from, and broadcast them.
+    met = probes.join(index.hint("merge"), ["block", "value", "of"]).select("window", "item").distinct()
+    left, right = windows.select("window", *PRINT), items.select("item", *[F.col(f).alias(f"g{k}") for k, f in enumerate(PRINT)])
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"g{k}"))) for k, f in enumerate(PRINT)])
+    return met.join(left, "window").join(_small(right), "item").filter(apart <= RADIUS).select("window", "item")
 
 
 def least_common(width: Column, item: Column, similarity: float) -> Column:
