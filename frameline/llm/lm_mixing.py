@@ -6,25 +6,39 @@ sentence mark, or other). A unit's bytes are coded bit by bit along a fixed bina
 last 1, 2, 3, 4 and 6 bytes and all bytes since the unit's start) each predict the next bit from how often it was 0 and
 1 there in training; their log-odds are mixed with weights that a gate picks (by how often the longest contexts were
 seen), and the mix is refined by an adaptive map from (gate, mixed log-odds) to the rate observed. A text's score is
-the sum of its units' log10 probabilities. Contexts start with the unit, so equal units cost the same and are
+the sum of its units' log10 probabilities. These contexts start with the unit, so equal units cost the same and are
 counted, learned and scored once for the whole corpus and not once for each occurrence.
 
-1. ``gather``: texts become blocks of about ``BLOCK`` bytes with their distinct units, unit counts and packed unit numbers.
-2. ``unit_counts``: one shuffle by word gives every block's units the corpus counts of the unit and of its word.
+What came before the unit is seen by the phrase. Units form phrases of ``PHRASE`` words or so, cut where the units' own hashes say so. The
+hashed context of a phrase is the whole phrase before it (or a text's start); it predicts one bit, whether what follows is something
+that follows it in a training text, at a rate learned by gate (how often the context was seen, and whether the phrase before was such
+a hit). The probability of the phrase is rate * n(context, phrase) / n(context) + (1 - rate) * product of its units'. A text of the training set
+is predicted without its own phrases. Units, words and phrases are counted exactly, in tables that grow with the corpus; only the
+slots of the spelling contexts are of fixed size.
+
+1. ``gather``: texts become blocks of about ``BLOCK`` bytes with their distinct units, unit counts, packed unit numbers, and phrases.
+2. ``unit_counts``: one shuffle by word gives every block's units the corpus counts of the unit and of its word. A word has one row for
+   each block and unit, so the most common word is no larger a part of the rows than any other that all blocks hold.
 3. ``count_slots``: each task counts its units in tables of a fixed number of slots, the method's own memory bound; Spark
    sums them slice by slice. Only the summed tables (sum of ``SLOTS``, 2 bytes each) reach the driver.
-4. ``learn``: each task predicts its units with one occurrence of the unit itself taken out, corrects the weights after
-   each small step, and fills the map; Spark adds up what the tasks learned.
-5. Units are scored, and blocks put the scores of their units together. In a text, the model is refined by what the
+4. ``learn``: groups of units, dealt by hash, predict their units with one occurrence of the unit itself taken out, correct the weights
+   after each small step, and fill the map; Spark adds up whole numbers. Groups and their order depend on the units alone, so the
+   result is the same for every partitioning.
+5. ``phrase_totals``, ``phrase_rates``: the same for phrases.
+6. Units are scored, and blocks put the scores of their units and phrases together. In a text, the model is refined by what the
    text has shown so far: unit number n + 1 has probability (k + t * model) / (n + t) if it came k times before, and
    the text's probability is the mean over the strengths t in ``REFINE``, one of which keeps the model as it is.
    The unigram base score comes from the same counts.
 
+``n_bytes`` are the bytes coded: of the words, one for what closes each, and one for the end; ``bits_per_byte`` is the score by these.
+Case and kinds of white space are not coded.
+
 All steps after the first read tables in the shared folder, so a lost executor costs its own tasks only.
 
 Edge cases: a null text is the empty text: one end token, and the end coded at its start; without training texts every
-token is unknown and bits are even; repeated rows each get a row and each count in training; a text longer than a block
-gets a block of its own; an empty table gives an empty result.
+token is unknown and bits are even; repeated rows each get a row and each count in training (and so predict each other); a text longer
+than a block gets a block of its own, whole; equal hashes of two units or phrases are one; a key column named like a result is called
+``<name>_kept``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +46,7 @@ from __future__ import annotations
 import heapq
 import io
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +56,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameline.llm.common import arrow_rows, release_memory, written
+from frameline.llm.common import arrow_rows, kept, release_memory, written
 
 ORDERS = (1, 2, 3, 4, 6, 64)  # bytes of context; the last has all bytes since the unit's start
 BITS = (16, 19, 21, 22, 23, 23)  # of each predictor's table
@@ -55,14 +70,18 @@ UNIT = 16.0  # log-odds are kept in steps of 1/16
 LEVELS = 5  # of how often a context was seen: never, once, up to 3, up to 15, more
 GATES = LEVELS * LEVELS
 STEP, RIDGE = 1 << 14, 20.0  # bits between two corrections of the weights, and what holds the first corrections back
-HEAVY = 256  # most that one unit's occurrences weigh in a correction
+GROUP = 20_000  # units that are learned from together, about
+FIXED = float(1 << 20)  # what tasks learn is added up in steps of 1 / FIXED, so that no order of adding matters
+PHRASE = 32  # words of a phrase on average
+PHRASE_GATES = LEVELS * 3  # how often the phrase before was seen, and whether it was hit: first of its text, missed, hit
 REFINE = (2000.0, 200.0, 20.0)  # strengths of the model against the text so far, besides the model alone
+LOG_E = float(np.log10(np.e))
 # Bytes of common text from frequent to rare, which shapes the coding tree.
 FREQUENT = b" etaonihsrdlucmgfpwbyv,.k\n-TSAIECxqjz'\xc3\"PDMLORN\xa9HBFWGU0123456789:;!?()\xff"
 # How a unit's last byte is written in the unit's name: a space after a word, END after the last one.
 TERMINATORS = {0x20: "s", END: "e"}
 
-BLOCK_SCHEMA = "block long, body binary, units array<string>, seen array<long>"
+BLOCK_SCHEMA = "block long, body binary, units array<string>, seen array<long>, phrases binary, keys array<long>, keys_seen array<long>, n_texts int"
 
 
 class Tree:
@@ -200,7 +219,7 @@ def learn_online(names: Names, times: np.ndarray, tables: list[np.ndarray], seen
     for k in range(0, bits.size, STEP):
         xs, g, b, w = x[:, k : k + STEP], gate[k : k + STEP], bits[k : k + STEP], weigh[k : k + STEP]
         np.add.at(observed, (g, mixed(list(xs), g, weights) + 128, b), w)
-        w, xs = np.minimum(w, HEAVY), xs / UNIT
+        xs = xs / UNIT
         p = 1 / (1 + np.exp(-(xs * weights[g].T).sum(axis=0)))
         pull, bend = w * (b - p), w * np.maximum(p * (1 - p), 1e-4)
         for i in np.flatnonzero(np.bincount(g, minlength=GATES)):
@@ -249,14 +268,41 @@ def units_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return buf, first, last, kind, text
 
 
-def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct unit names from frequent to rare, their counts in training texts, and the unit numbers and sizes of texts."""
-    hashes, seen, total, spans, bodies, numbers, per_text, base, at = [], [], [], [], [], [], [], 0, 0
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def phrases_of(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashes of units and their texts: each phrase's number of units, text, and the keys of what comes before it and of both.
+
+    A phrase ends where the hash of two units next to each other says so, and with its text; equal stretches of two texts
+    are thus cut alike. The first phrase of a text comes after nothing.
+    """
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    before = np.where(first, np.uint64(0), np.concatenate([np.zeros(1, np.uint64), words[:-1]]))
+    cut = scrambled(words ^ before * _ODD) % np.uint64(PHRASE) == 0
+    cut |= np.concatenate([first[1:], [True]])
+    last = np.flatnonzero(cut) + 1
+    start = np.concatenate([[0], last[:-1]])
+    own = prefix_hashes(words, start, last)
+    context = np.where(first[start], np.uint64(1), np.concatenate([np.zeros(1, np.uint64), own[:-1]]))
+    return last - start, text[start], scrambled(context * _ODD + np.uint64(3)), scrambled((context ^ np.uint64(5)) * _INVERSE + own)
+
+
+def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Distinct unit names from frequent to rare, their counts in training texts, the unit numbers, sizes and coded bytes of texts, and
+    the phrases: units, texts, and two keys of each."""
+    hashes, seen, total, spans, bodies, numbers, per_text, coded, phrases, base, at = [], [], [], [], [], [], [], [], [], 0, 0
     begins = np.concatenate([[0], ends])
     while at < ends.size:
         n = max(1, int(np.searchsorted(ends[at:], begins[at] + STRETCH, side="right")))
         buf, first, last, kind, text = units_of(data[begins[at] : begins[at + n]], ends[at : at + n] - begins[at])
-        own = prefix_hashes(buf, first, last) ^ ((kind + (first == last) * np.uint8(64)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        words = prefix_hashes(buf, first, last)
+        phrases.append(phrases_of(words, text))
+        phrases[-1][1][:] += at
+        coded.append(np.bincount(text, last - first + 1, n).astype(np.int64))
+        own = words ^ ((kind + (first == last) * np.uint8(64)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         found, where, inverse = np.unique(own, return_index=True, return_inverse=True)
         hashes.append(found)
         numbers.append(inverse)
@@ -284,7 +330,40 @@ def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray) -> tuple[
     units = pa.StringArray.from_buffers(found.size, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body[take].tobytes()))
     ends_of = np.cumsum([0, *map(len, hashes)])
     sequence = np.concatenate([place[inverse[ends_of[i] : ends_of[i + 1]]][x] for i, x in enumerate(numbers)])
-    return units, counts, sequence, np.concatenate(per_text)
+    return units, counts, sequence, np.concatenate(per_text), np.concatenate(coded), tuple(np.concatenate(x) for x in zip(*phrases, strict=True))
+
+
+def pack_phrases(phrases: tuple[np.ndarray, ...], train: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A block's phrases, its distinct keys, and how often training texts have each."""
+    units, text, context, both = phrases
+    keys, which = np.unique(np.concatenate([context, both]), return_inverse=True)
+    seen = np.bincount(which, np.tile(train[text], 2), keys.size).astype(np.int64)
+    numbers = np.concatenate([units, text, which]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers).tobytes() + train.tobytes()), keys.view(np.int64), seen
+
+
+def open_phrases(body: bytes, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units, texts, and places of the two keys of each phrase; whether each text is one to learn from."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    planes = raw[: raw.size - texts].reshape(4, -1).astype(np.int64)
+    numbers = planes[0] + (planes[1] << 8) + (planes[2] << 16) + (planes[3] << 24)
+    return *np.split(numbers, 4), raw[raw.size - texts :].astype(bool)
+
+
+def phrase_state(body: bytes, texts: int, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each phrase: units, text, whether its text is one to learn from, gate, and how often other training texts have what
+    comes before it and both. A text's own occurrences never count: no text predicts itself."""
+    units, text, context, both, train = open_phrases(body, texts)
+    counts = []
+    for place in (context, both):
+        key = text * (totals.size + 1) + place
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        counts.append(totals[place] - np.where(train[text], times[which], 0))
+    n_context, n_both = counts
+    first = np.concatenate([[True], text[1:] != text[:-1]]) if text.size else np.zeros(0, bool)
+    was_hit = np.concatenate([[False], n_both[:-1] > 0]) if text.size else first
+    gate = LEVEL[np.minimum(n_context, 255)] * 3 + np.where(first, 0, np.where(was_hit, 2, 1))
+    return units, text, train[text], gate, n_context, n_both
 
 
 def _pack(keys: pa.RecordBatch, sequence: np.ndarray, per_text: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -312,8 +391,8 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
 
 
-def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, refined by its own earlier units."""
+def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray, phrases: tuple[np.ndarray, ...], rates: np.ndarray) -> np.ndarray:
+    """log10 probability of each text: units refined by the text's own earlier ones, and phrases by what followed elsewhere."""
     text = np.repeat(np.arange(per_text.size), per_text)
     key = text * (int(sequence.max(initial=0)) + 1) + sequence
     order = np.argsort(key, kind="stable")
@@ -324,15 +403,25 @@ def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray
     so_far = place - np.repeat(np.cumsum(per_text) - per_text, per_text)
     plain = log_p[sequence]
     p = 10.0**plain
-    ways = [np.bincount(text, plain, per_text.size)]
+    units, owner, _, gate, n_context, n_both = phrases
+    phrase = np.repeat(np.arange(units.size), units)
+    known = n_context > 0
+    hit = np.where(known, rates[gate], 0.0)
+    copied = np.log10(np.maximum(hit * n_both / np.maximum(n_context, 1), 1e-300))
+
+    def total(unit: np.ndarray) -> np.ndarray:
+        spelled = np.bincount(phrase, unit, units.size) + np.log10(1 - hit)
+        return np.bincount(owner, np.where(known & (n_both > 0), np.logaddexp(spelled / LOG_E, copied / LOG_E) * LOG_E, spelled), per_text.size)
+
+    ways = [total(plain)]
     for t in REFINE:
-        ways.append(np.bincount(text, np.where(before > 0, np.log10((before + t * p) / t), plain) + np.log10(t / (so_far + t)), per_text.size))
+        ways.append(total(np.where(before > 0, np.log10((before + t * p) / t), plain) + np.log10(t / (so_far + t))))
     best = np.max(ways, axis=0)
     return best + np.log10(np.mean([10.0 ** (w - best) for w in ways], axis=0))
 
 
 def gather(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks of ``docs(keys..., text, train)`` with their distinct units."""
+    """Blocks of ``docs(keys..., __text, __train)`` with their distinct units and phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -340,18 +429,23 @@ def gather(docs: DataFrame, keys: list[str]) -> DataFrame:
         def done(part: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal number
             rows = pa.Table.from_batches(part).combine_chunks().to_batches()[0]
-            text = rows.column("text")
+            text = rows.column("__text")
             offsets = _offsets(text)
             data, ends = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
-            units, seen, sequence, per_text = block_units(data, ends, np.array(rows.column("train").to_pylist(), bool))
-            body = _pack(rows.select([*keys, "train"]), sequence, per_text, np.diff(offsets))
+            train = np.array(rows.column("__train").to_pylist(), bool)
+            units, seen, sequence, per_text, coded, phrases = block_units(data, ends, train)
+            body = _pack(rows.select([*keys, "__train"]), sequence, per_text, coded)
+            packed, own, own_seen = pack_phrases(phrases, train)
             number += 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary()), one(units), one(pa.array(seen, pa.int64()))], names=["block", "body", "units", "seen"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([body], pa.binary()), one(units), one(pa.array(seen, pa.int64())), pa.array([packed], pa.binary()), one(pa.array(own)), one(pa.array(own_seen)), pa.array([rows.num_rows], pa.int32())],
+                names=["block", "body", "units", "seen", "phrases", "keys", "keys_seen", "n_texts"],
+            )
 
         part, size = [], 0
         for batch in batches:
-            at, offsets = 0, _offsets(batch.column("text"))
+            at, offsets = 0, _offsets(batch.column("__text"))
             while at < batch.num_rows:
                 n = max(1, int(np.searchsorted(offsets[at + 1 :], offsets[at] + BLOCK - size, side="right")))
                 part.append(batch.slice(at, n))
@@ -451,23 +545,84 @@ def learn(units: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     width = GATES * K + GATES + GATES * 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total = np.zeros(width, np.int64)
         odds, seen = opened(tables.value)
-        for rows in _buffered(batches, 20_000):
-            total += learn_online(Names(rows.column("unit").combine_chunks()), rows.column("n_unit").to_numpy(), odds, seen)
+
+        def learned(part: pa.Table) -> np.ndarray:
+            return np.rint(FIXED * learn_online(Names(part.column("unit").combine_chunks()), part.column("n_unit").to_numpy(), odds, seen)).astype(np.int64)
+
+        held: pa.Table | None = None
+        for rows in _buffered(batches, GROUP):
+            held = rows if held is None else pa.concat_tables([held, rows])
+            cuts = np.flatnonzero(np.diff(held.column("g").to_numpy())) + 1  # the last group may go on
+            for a, b in pairwise([0, *cuts.tolist()]):
+                total += learned(held.slice(a, b - a))
+            held = held.slice(int(cuts[-1])) if cuts.size else held
+        if held is not None:
+            total += learned(held)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "value"])
-        del odds, seen
+        del odds, seen, held
         release_memory()
 
+    # Groups and their order are set by the units alone, so every partitioning learns the same.
+    groups = max(1, -(-units.count() // GROUP))
+    dealt = units.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups))).repartition("g").sortWithinPartitions("g", "unit")
     total = np.zeros(width)
-    for row in units.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-        total[row["at"]] = row["value"]
+    for row in dealt.mapInArrow(run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        total[row["at"]] = row["value"] / FIXED
     used = total[GATES * K : GATES * (K + 1)]
     weights = np.where(used[:, None] > 0, total[: GATES * K].reshape(GATES, K) / np.maximum(used[:, None], 1), start_weights())
     return weights, log_probabilities(total[GATES * (K + 1) :].reshape(GATES, 256, 2))
 
 
+def phrase_totals(gathered: DataFrame) -> DataFrame:
+    """(block, body): packed shares of each block's keys with how often all training texts have them.
+
+    A key has one row for each block that has it, so even a phrase that all texts share is a small part of the rows.
+    """
+    rows = gathered.select("block", F.posexplode(F.arrays_zip("keys", "keys_seen")).alias("place", "k")).select("block", "place", F.col("k.keys").alias("key"), F.col("k.keys_seen").alias("n"))
+    counted = rows.select("block", "place", F.sum("n").over(Window.partitionBy("key")).alias("n_key")).filter("n_key > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for rows_ in _buffered(batches, 200_000):
+            block, place, n_key = (rows_.column(c).to_numpy() for c in ("block", "place", "n_key"))
+            order = np.argsort(block, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[i[0]]) for i in parts], pa.int64()), pa.array([pack.compress(place[i].astype(np.int32).tobytes() + n_key[i].astype(np.int64).tobytes()) for i in parts], pa.binary())], names=["block", "body"])
+
+    return counted.mapInArrow(run, "block long, body binary")
+
+
+def _key_totals(bodies, size: int) -> np.ndarray:
+    out, unpack = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
+    for body in bodies:
+        raw = unpack.decompress(body.as_py())
+        n = len(raw) // 12
+        out[np.frombuffer(raw, np.int32, n)] = np.frombuffer(raw, np.int64, n, 4 * n)
+    return out
+
+
+def phrase_rates(gathered: DataFrame, totals: DataFrame) -> np.ndarray:
+    """By gate, how often a phrase of a training text followed as in another one, with half a hit and half a miss added."""
+
+    def run(blocks: pa.Table, own: pa.Table) -> pa.Table:
+        found = np.zeros((PHRASE_GATES, 2), np.int64)
+        for body, size, texts in zip(blocks.column("phrases"), blocks.column("n_keys").to_pylist(), blocks.column("n_texts").to_pylist(), strict=True):
+            _, _, train, gate, n_context, n_both = phrase_state(body.as_py(), texts, _key_totals(own.column("body"), size))
+            use = train & (n_context > 0)
+            np.add.at(found, (gate[use], (n_both[use] > 0).astype(int)), 1)
+        return pa.table({"gate": pa.array(range(PHRASE_GATES), pa.int32()), "missed": pa.array(found[:, 0]), "hit": pa.array(found[:, 1])})
+
+    blocks = gathered.select("block", "phrases", F.size("keys").alias("n_keys"), F.col("n_texts"))
+    rows = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, "gate int, missed long, hit long").groupBy("gate").agg(F.sum("missed").alias("missed"), F.sum("hit").alias("hit")).collect()
+    out = np.full(PHRASE_GATES, 0.5)
+    for r in rows:
+        out[r["gate"]] = (r["hit"] + 0.5) / (r["hit"] + r["missed"] + 1)
+    return out
+
+
 def scored_units(counted: DataFrame, tables, model) -> DataFrame:
     """(block, body): packed shares of each block's units with word counts and scores; a run of equal units is scored once."""
 
@@ -510,7 +665,9 @@ def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> Data
     added to every count.
     """
     spark = docs.sparkSession
-    rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    made = ["train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+    rows = docs.select(*kept(keys, [*made, "__text", "__train"]), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"), F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("__train"))
+    keys = rows.columns[:-2]
     with arrow_rows(spark, 512):
         gathered = written(gather(rows, keys), "lm-blocks")
     counted = written(unit_counts(gathered), "lm-units")
@@ -521,6 +678,8 @@ def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> Data
     shared = spark.sparkContext.broadcast(tables)  # 2 bytes for each of sum(SLOTS) slots at most, whatever the corpus
     weights, refined = learn(units, shared)
     model = spark.sparkContext.broadcast((weights, refined))
+    totals = written(phrase_totals(gathered), "lm-phrases")
+    rates = phrase_rates(gathered, totals)
     schema = T.StructType(
         [*(rows.schema[k] for k in keys), T.StructField("train", T.BooleanType())]
         + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")]
@@ -530,16 +689,19 @@ def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> Data
     denominator = float(np.log10(total + 0.5 * (distinct + 1)))
 
     def score(blocks: pa.Table, own: pa.Table) -> pa.Table:
+        of_phrase = own.column("of_phrase").to_numpy(zero_copy_only=False).astype(bool)
         out = []
-        for body in blocks.column("body"):
+        for body, packed, size in zip(blocks.column("body"), blocks.column("phrases"), blocks.column("n_keys").to_pylist(), strict=True):
             keyed, sequence, per_text, sizes = _unpack(body.as_py())
-            n_word, log_p = _shares(own.column("body"))
+            n_word, log_p = _shares(own.filter(pa.array(~of_phrase)).column("body"))
+            phrases = phrase_state(packed.as_py(), per_text.size, _key_totals(own.filter(pa.array(of_phrase)).column("body"), size))
             text = np.repeat(np.arange(per_text.size), per_text)
             add = lambda v: np.bincount(text, v[sequence], per_text.size)
-            coded, base = refined_scores(sequence, per_text, log_p), add(np.log10(n_word + 0.5)) - per_text * denominator
-            columns = [per_text, add(n_word > 0).astype(np.int64), np.full(per_text.size, total, np.int64), base, coded, sizes, -coded / np.log10(2) / (sizes + 1)]
+            coded, base = refined_scores(sequence, per_text, log_p, phrases, rates), add(np.log10(n_word + 0.5)) - per_text * denominator
+            columns = [per_text, add(n_word > 0).astype(np.int64), np.full(per_text.size, total, np.int64), base, coded, sizes, -coded / np.log10(2) / sizes]
             out.append(pa.Table.from_arrays([*keyed.columns, *map(pa.array, columns)], names=schema.names))
         return pa.concat_tables(out)
 
-    blocks = gathered.select("block", "body")
-    return blocks.groupBy("block").cogroup(scored_units(counted, shared, model).groupBy("block")).applyInArrow(score, schema)
+    blocks = gathered.select("block", "body", "phrases", F.size("keys").alias("n_keys"))
+    own = scored_units(counted, shared, model).withColumn("of_phrase", F.lit(False)).unionByName(totals.withColumn("of_phrase", F.lit(True)))
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(score, schema)
