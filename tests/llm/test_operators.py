@@ -58,6 +58,8 @@ def test_scores(spark, docs):
         assert r["score"] < 0 and r["n_tokens"] >= 1
     assert {r["doc_id"]: r["n_known"] for r in got} == {i: sum(w in seen for w in [*brute.words(t), None]) for i, t, _ in rows}
     held = [r for r in got if not r["train"]]
+    # A few hundred documents are little to learn contexts from; the unigram model counts one unseen word only.
+    assert sum(r["score"] for r in held) > 1.25 * sum(r["base_score"] for r in held)
     assert sum(r["bits_per_byte"] * r["n_bytes"] for r in held) < 3.5 * sum(r["n_bytes"] for r in held)
     assert score_texts(given.limit(0), "text", "learn", ["doc_id"]).count() == 0
 
@@ -73,9 +75,9 @@ def test_scores_do_not_depend_on_partitions(spark, docs):
     before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
     for parts in (1, 16):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        results.append(sorted((r["doc_id"], r["score"]) for r in score_texts(given.repartition(parts), "text", "learn", ["doc_id"]).collect()))
+        results.append(sorted([r["doc_id"], r["score"]] for r in score_texts(given.repartition(parts), "text", "learn", ["doc_id"]).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert results[0] == pytest.approx(results[1], rel=1e-9)
+    assert np.allclose(results[0], results[1], rtol=1e-9)
 
 
 def test_phrases_against_plain_python():
