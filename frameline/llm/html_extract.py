@@ -2,28 +2,36 @@
 
 A page becomes blocks (text between block-level tags), each with its length, its share of characters in links and its
 share of stop words. The first pass calls long blocks with stop words and few links good, blocks of links bad, and the
-rest ambiguous. The second pass gives each ambiguous block the label of its nearest decided neighbours. Whole subtrees
-that cannot hold an article (menus, footers, forms, scripts, and those whose class, id or role names them as such)
-leave no blocks. Character references are decoded, white space inside a block becomes one space, and good blocks are
+rest ambiguous. The second pass gives each ambiguous block the label of its nearest decided neighbours. Elements
+that cannot hold an article (menus, footers, forms, scripts, hidden ones) leave no blocks. A class, id, role or label that as a whole names a
+part outside the article is evidence: blocks in such an element are bad in the first pass, unless the page would then have no
+text at all. Character references are decoded, white space inside a block becomes one space, and good blocks are
 joined in page order by a newline; nothing is dropped otherwise or capped.
 
 Edge cases: null and empty pages give an empty text; unclosed tags, stray end tags and unclosed comments end where the
-page ends; a page in a language without a stop-word list is judged by length and links alone; repeated rows each get a
-row; an empty table gives an empty result.
+page ends; pages of any length and with any nesting are read once, in linear time (a tag's quoted value of more than 4,096
+characters, and inline elements nested deeper than 64 around a paragraph, are not looked through); a page in a language without a
+stop-word list is judged by length and links alone; a short block equally near two labels is bad outside of an article element
+and good inside; repeated rows each get a row; a kept column named like a result is called ``<name>_kept``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameline.llm.common import kept
+
 # Frequent function words by language.
 STOP_WORDS = {
     "en": "the of and to in a is that it for was on with as be by at this from or an are not have but were they which their has had will would can all there been if more when who so no out up into than them its only some what about".split(),
@@ -45,18 +53,23 @@ OUTSIDE = set(
     "newsletter subscribe subscription signup login search comment comments commentlist disqus discussion replies reply respond responses "
     "complementary contentinfo search pagination pager hidden tags tagcloud skip".split()
 )
+# Parts of a class or id that say where or how large, not what.
+NEUTRAL = set("site page main top bottom left right primary secondary global box bar block list item area section container wrapper wrap inner outer content widget module panel group row col links link text title heading form wide small large first last js".split())
 INSIDE = {"article", "main"}
+DEEP = 64  # open inline elements looked through for an open paragraph
 
+_ATTRS = r"(?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b" + _ATTRS + r">.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>" + _ATTRS + r")>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*+)(?P<attrs2>[^<>]*+)>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ATTR = re.compile(r"([a-zA-Z][-a-zA-Z]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _WHITE = re.compile(r"\s+")
 _STOPS = [frozenset(words) for words in STOP_WORDS.values()]
@@ -68,6 +81,7 @@ class Block:
     linked: int
     heading: bool
     inside: bool
+    outside: bool = False
     label: str = ""
 
 
@@ -82,30 +96,41 @@ class Rules:
     page_stops: float = 0.04
 
 
-def _outside(attrs: str) -> bool:
-    if _UNSEEN.search(attrs):
-        return True
-    for m in _NAMED.finditer(attrs):
-        if any(w.lower() in OUTSIDE for w in _CAMEL.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+def names_outside(name: str) -> bool:
+    """Whether a class or id as a whole names a part outside the article: ``sidebar-left``, but not ``with-sidebar``."""
+    parts = [w.lower() for w in _PART.findall(name)]
+    return any(w in OUTSIDE for w in parts) and all(w in OUTSIDE or w in NEUTRAL for w in parts)
+
+
+def read_attrs(attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its names are evidence that it is outside the article."""
+    hidden = outside = False
+    for name, *values in _ATTR.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _HIDING.search(value)):
+            hidden = True
+        elif name in ("class", "id", "role", "aria-label") and any(map(names_outside, value.split())):
+            outside = True
+    return hidden, outside
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks outside of subtrees that cannot hold an article."""
+    """The page's text blocks outside of elements that cannot hold an article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, whether its subtree is left out
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether they are left out, whether their names are evidence
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
-    state = {"linked": 0, "links": 0, "inside": 0, "heading": 0, "header": 0, "out": 0}
+    state = {"linked": 0, "links": 0, "inside": 0, "heading": 0, "header": 0, "out": 0, "outside": 0}
 
     def flush() -> None:
         body = _WHITE.sub(" ", html.unescape("".join(text))).strip()
         if body and (not state["header"] or state["heading"]):
-            out.append(Block(body, state["linked"], state["heading"] > 0, state["inside"] > 0))
+            out.append(Block(body, state["linked"], state["heading"] > 0, state["inside"] > 0, state["outside"] > 0))
         text.clear()
         state["linked"] = 0
 
     def count(tag: str, by: int) -> None:
+        open_tags[tag] += by
         if tag == "a":
             state["links"] += by
         elif tag in HEADINGS:
@@ -116,12 +141,12 @@ def blocks_of(page: str) -> list[Block]:
             state["header"] += by
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                for name, left_out in stack[k:]:
-                    count(name, -1)
-                    state["out"] -= left_out
-                del stack[k:]
+        while open_tags[tag]:
+            name, left_out, named = stack.pop()
+            count(name, -1)
+            state["out"] -= left_out
+            state["outside"] -= named
+            if name == tag:
                 return
 
     def add(piece: str) -> None:
@@ -134,33 +159,36 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        if not m["tag"]:
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag:
             continue
-        tag = m["tag"].lower()
         if tag == "br":
             add(" ")
             continue
         if tag not in INLINE:
             flush()
-        if m["end"]:
+        if m["end"] or m["end2"]:
             close(tag)
             continue
         if tag in VOID:
             continue
-        if tag == "p" or tag == "li" or tag in HEADINGS:  # these close an open one of their kind
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+        if open_tags[tag] and (tag == "p" or tag == "li" or tag in HEADINGS):  # these close an open one of their kind
+            for name, _, _ in islice(reversed(stack), DEEP):
+                if name == tag:
                     close(tag)
                     break
-                if stack[k][0] not in INLINE:
+                if name not in INLINE:
                     break
-        attrs = m["attrs"]
-        left_out = tag in NEVER or (tag == "header" and not state["inside"]) or (bool(attrs) and tag not in ("body", "html", *INSIDE) and _outside(attrs))
+        attrs = m["attrs"] or m["attrs2"] or ""
+        hidden, named = read_attrs(attrs) if attrs and tag not in ("body", "html") else (False, False)
+        left_out = tag in NEVER or (tag == "header" and not state["inside"]) or hidden
         if attrs.endswith("/") and tag not in INLINE | {"p", "div"}:
             continue
-        stack.append((tag, left_out))
+        named = named and tag not in INSIDE
+        stack.append((tag, left_out, named))
         count(tag, 1)
         state["out"] += left_out
+        state["outside"] += named
     add(page[at:])
     flush()
     return out
@@ -179,7 +207,7 @@ def label_blocks(blocks: list[Block], rules: Rules = Rules()) -> None:
     for b, ws in zip(blocks, words, strict=True):
         size, linked = len(b.text), b.linked / len(b.text)
         share = _stop_share(ws, stops) if stops else 1.0
-        if linked > rules.most_linked or (not b.inside and "©" in b.text):
+        if b.outside or linked > rules.most_linked or (not b.inside and b.text.lower().removeprefix("copyright ").startswith("©")):
             b.label = "bad"
         elif size < rules.short:
             b.label = "bad" if linked and not b.inside else "short"
@@ -209,7 +237,7 @@ def label_blocks(blocks: list[Block], rules: Rules = Rules()) -> None:
             b.label = default if first[k] != "near" else "good"
         else:
             b.label = left if k - before < after - k else right
-        if b.inside and b.label == "bad" and not b.linked:
+        if b.inside and b.label == "bad" and not b.linked and not b.outside:
             b.label = "good"
         elif contained and not b.inside and first[k] == "short":
             b.label = "bad"
@@ -218,12 +246,17 @@ def label_blocks(blocks: list[Block], rules: Rules = Rules()) -> None:
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     label_blocks(blocks)
+    if any(b.outside for b in blocks) and not any(b.label == "good" for b in blocks):
+        for b in blocks:  # names that would leave nothing say nothing
+            b.outside = False
+        label_blocks(blocks)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 
 def extract_main_text(pages: DataFrame, html_column: str, keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` columns, ``text`` and ``n_chars`` (code points) for each page; a map without a shuffle."""
-    chosen = pages.select(*keep, F.col(html_column).alias("__html"))
+    chosen = pages.select(*kept(keep, ["text", "n_chars", "__html"]), F.col(f"`{html_column}`").alias("__html"))
+    keep = chosen.columns[:-1]
     schema = T.StructType([*(chosen.schema[k] for k in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
