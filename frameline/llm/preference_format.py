@@ -6,7 +6,8 @@ rendered as the chosen and the rejected completion, each with the spans (start i
 that completion) that a trainer scores: the text and end mark of the assistant's turns.
 
 A row holds at most ``BLOCK`` turns of each part, so no row or group grows with the number of a conversation's turns: common
-pairs have the one row ``block = 0``, and longer ones are whole when their blocks are joined in order. Spans are relative to their block.
+pairs have the one row ``block = 0``. The block is the operator's unit and its spans are relative to it; ``whole_pairs`` makes one row of each pair,
+for conversations that fit into one, with the prompt once and spans relative to the whole completion.
 
 Pairs of a corpus come from ``pairs_by_opening``: of the conversations with equal first turns, the smallest id is the
 chosen one of a pair with each other conversation, which is the rejected one. A conversation whose opening is its own is
@@ -14,8 +15,8 @@ compared with nothing and has itself as the chosen side, no prefix, and no rejec
 
 Edge cases: a null role is the empty role and a null text the empty text; rows without a conversation or turn number say nothing and
 are left out; repeated rows count once, different rows of one turn follow each other by role and text; a conversation that
-is a prefix of the other has an empty completion; equal conversations have two empty completions; an empty table gives an
-empty result.
+is a prefix of the other has an empty completion; equal conversations have two empty completions; texts of any length are rendered
+whole; equal openings take the smallest id as the chosen one; other columns, of any name, play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,3 +98,25 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _rendered(c).alias("chosen"), _spans(c).alias("chosen_spans"),
         F.when(~missing, _rendered(r)).alias("rejected"), F.when(~missing, _spans(r)).alias("rejected_spans"),
     )
+
+
+def whole_pairs(rows: DataFrame) -> DataFrame:
+    """``format_preferences`` with one row for each pair: parts joined in block order, spans moved by what comes before their block."""
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    block = F.struct("block", "prompt_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans")
+    held = rows.groupBy("chosen_id", "rejected_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    text = lambda part: F.array_join(F.transform("blocks", lambda b: b[part]), "")
+
+    def spans(part: str) -> Column:
+        def step(state: Column, b: Column) -> Column:
+            moved = F.transform(F.coalesce(b[f"{part}_spans"], none), lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["stop"] + state["at"]).alias("stop")))
+            return F.struct((state["at"] + F.length(F.coalesce(b[part], F.lit("")))).alias("at"), F.concat(state["spans"], moved).alias("spans"))
+
+        return F.aggregate("blocks", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+
+    missing = F.col("rejected_id").isNull()
+    return held.select(
+        "chosen_id", "rejected_id", F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["prompt_turns"]).alias("prompt_turns"),
+        text("prompt").alias("prompt"), text("chosen").alias("chosen"), spans("chosen").alias("chosen_spans"),
+        F.when(~missing, text("rejected")).alias("rejected"), F.when(~missing, spans("rejected")).alias("rejected_spans"),
+    )

@@ -9,8 +9,8 @@ own, and list them in a manifest that Spark commits; what a lost or repeated tas
 and is not read. Archives are read back with Spark's binary file reader.
 
 Edge cases: a null payload is the empty payload; equal rows with the same largest id are all responses; null ids and
-urls are kept as null; too few or too small records for a dictionary give an archive without one; an empty table gives
-no archive and an empty result.
+urls are kept as null; records of under 1,000 bytes in all give an archive without a dictionary; a payload of any size is one record;
+other columns, of any name, play no part; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -77,18 +77,27 @@ def record_bytes(row: dict, date: str) -> bytes:
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def build_archive(records: list[bytes], level: int = 3, dictionary_bytes: int = 32 << 10, sample_bytes: int = 1 << 20) -> bytes:
-    """The dictionary is built from records spread over the archive, of ``sample_bytes`` in all; every record is written."""
+def build_dictionary(records: list[bytes], dictionary_bytes: int, sample_bytes: int, level: int) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary of the records' own bytes: pieces of equal size at equal distances, so records of any size take part. None below 1,000 bytes."""
     total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
-    samples = [r[: 64 << 10] for r in records[::step]]
-    dictionary = None
+    if total < 1000:
+        return None
+    piece = max(64, min(2048, total // 16))
+    step = piece * max(1, -(-total // sample_bytes))
+    samples, skip = [], 0
+    for r in records:
+        samples += [r[at : at + piece] for at in range(skip, len(r), step)]
+        skip = (skip - len(r)) % step
+    size = max(256, min(dictionary_bytes, sum(map(len, samples)) // 8))
     try:
-        if len(samples) >= 8:
-            dictionary = zstandard.train_dictionary(min(dictionary_bytes, sum(map(len, samples)) // 8), samples, k=256, d=8, level=level)
-    except zstandard.ZstdError:
-        dictionary = None  # too little to learn from
-    out = []
+        return zstandard.train_dictionary(size, samples, k=256, d=8, level=level)
+    except zstandard.ZstdError:  # nothing repeats in the samples: they are the dictionary as they are
+        return zstandard.ZstdCompressionDict(b"".join(samples)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def build_archive(records: list[bytes], level: int = 3, dictionary_bytes: int = 32 << 10, sample_bytes: int = 1 << 20) -> bytes:
+    """The dictionary is built from pieces spread over the archive, of ``sample_bytes`` in all; every record is written."""
+    dictionary, out = build_dictionary(records, dictionary_bytes, sample_bytes, level), []
     if dictionary is not None:
         dictionary.precompute_compress(level=level)
         body = dictionary.as_bytes()
@@ -118,7 +127,7 @@ def parse_archive(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write_archives(records: DataFrame, folder: str, date: str = "2025-01-01T00:00:00Z", archive_bytes: int = 16 << 20) -> None:
+def write_archives(records: DataFrame, folder: str, date: str = "2025-01-01T00:00:00Z", archive_bytes: int = 64 << 20) -> None:
     """Writes ``folder/archives/*.warc.zst`` and the manifest ``folder/manifest`` of those that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from frameline.llm.html_extract import extract_main_text, main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.lm_mixing import score_texts
 from frameline.llm.piece_codec import encode_pieces
-from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
+from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening, whole_pairs
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.warc import archive_pages, read_archives
 
@@ -124,6 +124,119 @@ def test_extraction(spark, pages):
     assert len(got) == pages.count() and all(r["n_chars"] == len(r["text"]) and "  " not in r["text"] for r in got)
 
 
+@pytest.mark.parametrize("names", ['class="content with-sidebar"', 'class="post has-header"', 'class="row no-side"', 'class="layout-right-rail"', 'class="entry share-enabled"', 'class="post comments-open"', 'id="page-discussion-of-art"', 'title="the hidden truth"', 'class="sidebar"'])
+def test_names_are_evidence_only(names):
+    article = "The article of the day is about the way in which it was written by them and what they had to say. " * 4
+    assert main_text(f"<body><div {names}><p>{article}</p></div></body>") == article.strip()
+    if names == 'class="sidebar"':  # evidence holds where the page has other text
+        assert main_text(f"<body><div {names}><p>{article}</p></div><div><p>Other. {article}</p></div></body>") == f"Other. {article}".strip()
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<div>", "</x>", "<b><p></p>", "<!--", "<script ", "<a href='", "<p>", "<div></x>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    began = time.time()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 20
+
+
+def test_labels_by_nearest_decided_blocks():
+    """The second pass against a search of every decided block."""
+    import random
+
+    from frameline.llm.html_extract import Block, label_blocks
+
+    r = random.Random(4)
+    good, bad, short, near = "the of and to in a is that it for was on with as be " * 4, "link " * 20, "Short one.", "the way of the world is as it was and so it will be for all the men"
+    for _ in range(300):
+        kinds = [r.choice("gbsn") for _ in range(r.randrange(1, 12))]
+        blocks = [Block({"g": good, "b": bad, "s": short, "n": near + " in the end."}[k], 90 if k == "b" else 0, False, False) for k in kinds]
+        label_blocks(blocks)
+        for k, b in enumerate(blocks):
+            left = next((kinds[j] for j in range(k - 1, -1, -1) if kinds[j] in "gb"), None)
+            right = next((kinds[j] for j in range(k + 1, len(kinds)) if kinds[j] in "gb"), None)
+            far = [next((d for d in range(1, 12) if 0 <= k + s * d < len(kinds) and kinds[k + s * d] in "gb"), 99) for s in (-1, 1)]
+            if kinds[k] in "gb":
+                want = kinds[k]
+            elif left is None and right is None:
+                want = "g"
+            elif left is None or right is None or left == right:
+                want = left or right
+            elif kinds[k] == "n":
+                want = "g"
+            else:
+                want = "b" if far[0] == far[1] else left if far[0] < far[1] else right
+            assert b.label == {"g": "good", "b": "bad"}[want], (kinds, k)
+
+
+def test_archives_have_dictionaries_whatever_the_records_sizes():
+    import random
+
+    from frameline.llm.warc import SKIPPABLE, build_archive
+
+    r = random.Random(2)
+    words = [f"word{k}" for k in range(400)]
+    for count, size in ((2, 300_000), (5, 150_000), (300, 2_000), (1, 5_000), (20, 100)):
+        body = build_archive([" ".join(r.choice(words) for _ in range(size // 7)).encode() for _ in range(count)])
+        assert int.from_bytes(body[:4], "little") == SKIPPABLE
+    assert int.from_bytes(build_archive([r.randbytes(5_000)])[:4], "little") == SKIPPABLE
+    assert build_archive([b"x"])[:4] != SKIPPABLE.to_bytes(4, "little")
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "The text of the page is here.", "en"), (1, "The text of the page is here.", "en"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(7) for c in ("content", "body", "n_tokens", "lang_pred", "score", "ids", "n_chars", "learn_", "train")}).withColumn("learn", F.lit(True))
+    count_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    made = [
+        count_tokens(df, "text", count_path, None, ["doc_id", "content", "body", "n_tokens", "text"]),
+        extract_main_text(df, "text", ["doc_id", "text", "n_chars"]),
+        predict_language(df, "text", fit_profiles(df, "text", "lang"), ["doc_id", "lang_pred", "score", "text"]),
+        encode_pieces(df, "text", piece_path, ["doc_id", "ids", "text"]),
+        score_texts(df, "text", "learn", ["doc_id", "text", "train", "score"]),
+    ]
+    for out in made:
+        assert len(set(out.columns)) == len(out.columns) and sorted(r["doc_id"] for r in out.collect()) == [1, 1, 2]
+    assert made[0].first()["n_tokens_kept"] == 7
+
+
+def test_languages_against_plain_python(spark):
+    """Long texts, whole and in slices, against n-gram vectors summed one by one."""
+    from frameline.llm import language_id as L
+
+    r = np.random.default_rng(5)
+    rows = [(k, "".join(r.choice(list("abcdefgh ij."), 200 if k else 300_000)), "xy"[k % 2]) for k in range(8)] + [(8, "abc" * 100_000, None), (9, "", "x"), (10, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profile = fit_profiles(df, "text", "lang")
+    space = L.Space(3, 1024, 17)
+
+    def vector(text):
+        line, out = [0], np.zeros(1024)
+        for c in (text or "").lower():
+            if c.isalpha() or line[-1]:
+                line.append(ord(c) if c.isalpha() else 0)
+        if line[-1]:
+            line.append(0)
+        if len(line) > 1:
+            seen = {}
+            for g in zip(line, line[1:], line[2:], strict=False):
+                seen[g] = seen.get(g, 0) + 1
+            for g, n in seen.items():
+                out += n * np.roll(space.letter(g[0]), 2).astype(float) * np.roll(space.letter(g[1]), 1) * space.letter(g[2])
+        return out
+
+    vectors = {i: vector(t) for i, t, _ in rows}
+    want = np.array([sum(vectors[i] for i, _, k in rows if k == lang) for lang in "xy"])
+    assert profile.languages == ("x", "y") and np.array_equal(profile.prototypes, want)
+    for got in predict_language(df, "text", profile, ["doc_id"]).collect():
+        v = vectors[got["doc_id"]]
+        if not v.any():
+            assert got["lang_pred"] == "und" and got["score"] == 0
+            continue
+        near = want @ v / np.linalg.norm(want, axis=1) / np.linalg.norm(v)
+        assert got["lang_pred"] == "xy"[near.argmax()] and got["score"] == pytest.approx(max(0, near.max()), abs=1e-6)
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "more"), (1, 3, "assistant", "good"),
@@ -144,6 +257,12 @@ def test_preferences(spark):
     long = spark.range(0, 200).select(F.lit(9).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     blocks = format_preferences(clean_turns(long), pairs_by_opening(clean_turns(long))).orderBy("block").collect()
     assert [r["block"] for r in blocks] == [0, 1, 2, 3] and "".join(r["chosen"] for r in blocks).count("<|end|>") == 200
+    turned = clean_turns(spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"é{c if t > 150 else 0}.{t}") for c in (1, 2) for t in range(200)], "conv_id long, turn long, role string, text string").withColumn("conv_id", F.col("conv_id") + 20))
+    turned = turned.union(clean_turns(spark.createDataFrame([(c, -1, "user", "same") for c in (21, 22)], "conv_id long, turn long, role string, text string")))
+    (whole,) = whole_pairs(format_preferences(turned, pairs_by_opening(turned))).collect()
+    assert (whole["chosen_id"], whole["rejected_id"], whole["prompt_turns"]) == (21, 22, 152) and whole["prompt"].count("<|end|>") == 152
+    for side, c in (("chosen", 1), ("rejected", 2)):
+        assert [whole[side][x["start"] : x["stop"]] for x in whole[f"{side}_spans"]] == [f"é{c}.{t}<|end|>\n" for t in range(151, 200, 2)]
     assert format_preferences(turns.limit(0), pairs_by_opening(turns.limit(0))).count() == 0
 
 
@@ -220,6 +339,24 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_recall_through_the_index_on_many_vectors(spark):
+    from pathlib import Path
+
+    path = "/root/testdata/check_s/embeddings.parquet"
+    rows = spark.read.parquet(path if Path(path).exists() else "/root/testdata/sf0.1/embeddings.parquet")
+    fine = [(r["vec_id"], r["embedding"]) for r in rows.collect() if r["embedding"] is not None and all(c is not None and math.isfinite(c) for c in r["embedding"]) and any(r["embedding"])]
+    ids, x = np.array([i for i, _ in fine]), np.array([v for _, v in fine], float)
+    got = {}
+    for r in nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[ids == ids[q]] = -9
+        hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [1.0, None]), (8, [inf, 1.0]), (9, []), (1, [1.0, 0.0]), (None, [1.0, 1.0]), (40, [0.0, -0.0])]
