@@ -125,7 +125,6 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int
         x, ids = x[by_id], ids[by_id]
         files = InvertedFiles(orders(x / longest, rest(x / longest), pivots.value, prefix), len(pivots.value))
         asked_orders = orders(q / longest, np.zeros(len(q)), pivots.value, prefix)
-        many = max(LEAST, int(np.ceil(share * ids.size)))
         many = max(k, int(np.ceil(share * ids.size)))
         out = []
         for qid, vector_, order in zip(queries["vec_id"].to_numpy(), q, asked_orders, strict=True):
