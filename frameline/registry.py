@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("motion", "tracks", "summaries", "text", "plans", "simulations", "streams")
+MODULES = ("motion", "tracks", "summaries", "text", "plans", "recovery", "streams")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:

@@ -44,22 +44,55 @@ def test_dtw_of_unequal_lengths_and_empty_series(spark):
         assert got[k] == (pytest.approx(warped(a, b)) if a and b else None)
 
 
-def test_bounce_chain_against_a_walk(spark):
+def test_parameters_of_known_motions_are_recovered(spark):
     from pyspark.sql import functions as F
 
-    from frameline.plans.simulate import bounce_chain
-
-    def height(t, h0, e, g=9.81, stop=0.04):
-        at, v = math.sqrt(2 * h0 / g), e * math.sqrt(2 * h0 * g)
-        if t <= at:
-            return h0 - 0.5 * g * t * t
-        while v >= stop and t > at + 2 * v / g:
-            at, v = at + 2 * v / g, v * e
-        return max(0.0, v * (t - at) - 0.5 * g * (t - at) ** 2) if v >= stop else 0.0
+    from frameline.operators import recovery
+
+    def bounce(t, e=0.8, v=6.0):
+        while t > 2 * v / 9.81:
+            t, v = t - 2 * v / 9.81, v * e
+        return v * t - 0.5 * 9.81 * t * t
+
+    rows = [(1, k / 96, bounce(k / 96), math.exp(-0.3 * k / 96) * math.sin(5 * k / 96), 4 * k / 96 - 0.5 * 0.2 * 9.81 * (k / 96) ** 2) for k in range(350)]
+    rows += [(2, k / 96, 1.0, 1.0, 0.0) for k in range(9)] + [(3, 0.0, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, t double, z double, u double, x double")
+    one = lambda out: {r["k"]: r for r in out.collect()}
+    assert one(recovery.restitution(df, ["k"], "t", "z"))[1]["e"] == pytest.approx(0.8, abs=2e-3)
+    assert one(recovery.amplitude_decay(df, ["k"], "t", "u"))[1]["gamma"] == pytest.approx(0.3, abs=5e-3)
+    assert one(recovery.crossing_period(df, ["k"], "t", "u"))[1]["period"] == pytest.approx(2 * math.pi / 5, abs=1e-3)
+    assert one(recovery.spring(df, ["k"], "t", "u"))[1]["omega0"] == pytest.approx(math.hypot(5, 0.3), abs=1e-2)
+    mu = one(recovery.friction_of_phases(df, ["k"], "t", "x", {"mu": F.col("t") < 1.5, "none": F.col("t") > 9}))
+    assert mu[1]["mu"] == pytest.approx(0.2, abs=1e-6) and mu[1]["none"] is None and mu[2]["mu"] == 0 and mu[3]["mu"] is None if 3 in mu else True
+    walls = spark.createDataFrame([(1, k / 10, k * 0.5 if k <= 10 else 5 - (k - 10) * 0.2) for k in range(20)], "k int, t double, x double")
+    hit = one(recovery.speed_ratio(walls, ["k"], "t", "x"))[1]
+    assert (hit["hit_at"], round(hit["e"], 9)) == (1.1, 0.4)
+    assert recovery.restitution(df.limit(0), ["k"], "t", "z").count() == 0
+
+
+def test_scores_at_every_threshold(spark):
+    from pyspark.sql import functions as F
 
-    rows = spark.range(0, 200).select((F.col("id") / 48.0).alias("t"), (F.lit(0.4) + F.col("id") % 5 / 10).alias("e"))
-    for r in rows.withColumn("z", bounce_chain(F.col("t"), F.lit(1.0), F.col("e"))).collect():
-        assert r["z"] == pytest.approx(height(r["t"], 1.0, r["e"]), abs=1e-9)
+    from frameline.operators import scores
+
+    best = {"detection_rate": 1.0, "single_object_rate": 1.0, "in_frame_rate": 1.0, "verticality": 0.0, "monotonic_rate": 1.0, "r2": 1.0, "penetration_px": 0.0, "penetration_norm": 0.0, "bounce_norm": 0.0, "g_rel": 0.0, "v0_abs": 0.0, "h0_rel": 0.0}
+    limits = {"detection_rate": 0.90, "single_object_rate": 0.90, "in_frame_rate": 0.95, "verticality": 0.10, "monotonic_rate": 0.90, "r2": 0.98, "penetration_px": 2.0, "bounce_norm": 0.05, "g_rel": 0.30, "v0_abs": 1.0, "h0_rel": 0.30}
+    rows, passes = [best, best | {"g_rel": None, "v0_abs": None, "h0_rel": None}, best | {"r2": float("nan")}, best | {"single_object_rate": None}, best | {"penetration_px": 2.1, "penetration_norm": 0.05}], [True, True, False, False, False]
+    for name, limit in limits.items():
+        worse = -1e-6 if name.endswith("_rate") or name == "r2" else 1e-6
+        rows += [best | {name: limit}, best | {name: limit + worse}]
+        passes += [True, False]
+    df = spark.createDataFrame([tuple([k, *r.values()]) for k, r in enumerate(rows)], "k int, " + ", ".join(f"{n} double" for n in best))
+    checks = scores.hard_constraints()
+    got = df.select("k", *[c.alias(n) for n, c in checks.items()]).withColumn("passed", scores.strict_pass(checks)).orderBy("k").collect()
+    assert [r["passed"] for r in got] == passes
+    cases = [({}, 100.0), ({"detection_rate": 0.8}, 97.5), ({"single_object_rate": 0.8}, 98.75), ({"in_frame_rate": 0.8}, 98.75), ({"r2": 0.945}, 87.5), ({"r2": 0.5}, 75.0), ({"verticality": 0.075}, 90.0), ({"penetration_px": 2.0, "penetration_norm": 9.0}, 100.0), ({"penetration_px": 3.0, "penetration_norm": 0.25}, 92.5), ({"bounce_norm": 0.02}, 100.0), ({"bounce_norm": 0.1}, 92.5)]
+    df = spark.createDataFrame([tuple([k, *(best | c).values()]) for k, (c, _) in enumerate(cases)], "k int, " + ", ".join(f"{n} double" for n in best))
+    assert [r[0] for r in df.orderBy("k").select(scores.sweep_video_score()).collect()] == pytest.approx([want for _, want in cases])
+    axis = {"r2": 0.5, "pearson": -0.8, "monotonic": 0.9, "mean_r2": 0.945, "mean_detection": 0.75, "mean_verticality": 0.075, "clean_share": 0.4}
+    wants = [100 * (0.2 + 0.16 + 0.135 + 0.075 + 0.1 * (0.3 + 0.15 + 0.12)), 100 * (0.075 + 0.1 * (0.3 + 0.15 + 0.12))]
+    df = spark.createDataFrame([tuple(axis.values()), (None, None, float("nan"), *list(axis.values())[3:])], ", ".join(f"{n} double" for n in axis))
+    assert [r[0] for r in df.withColumn("s", scores.axis_score()).orderBy(F.desc("s")).select("s").collect()] == pytest.approx(wants)
 
 
 def test_truth_as_its_own_prediction(spark):
