@@ -27,9 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():  # set by setCheckpointDir, which all executors must reach as well
+        return own.get().rstrip("/")
     here = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(here)
+    spark.sparkContext.setCheckpointDir(here)
     return here
 
 
