@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,21 +29,52 @@ def stem(path: Column) -> Column:
 
 
 def path_style(path: Column, model: str) -> Column:
-    """The part before the model's; ``unknown`` if the model is not there or comes first."""
+    """The part before the model's first place other than the first part; ``unknown`` if there is none."""
     parts = F.split(path, "/")
-    at = F.array_position(parts, model)
-    return F.when(at > 1, F.get(parts, (at - 2).cast("int"))).otherwise("unknown")
+    at = F.array_position(F.slice(parts, 2, F.size(parts)), model)
+    return F.when(at > 0, F.get(parts, (at - 1).cast("int"))).otherwise("unknown")
 
 
 def variant_of_path(path: Column) -> Column:
-    """Name of the folder a file is in if that is below ``variants``, else ``baseline``."""
+    """Name of the folder a file is in if any part is ``variants``, else ``baseline``."""
     parts = F.split(path, "/")
-    return F.when(F.get(parts, F.size(parts) - 4) == "variants", F.get(parts, F.size(parts) - 2)).otherwise("baseline")
+    return F.when(F.array_contains(parts, "variants"), F.get(parts, F.size(parts) - 2)).otherwise("baseline")
 
 
 def experiment_of_path(path: Column) -> Column:
-    found = F.regexp_extract(path, r"(?:^|[^A-Za-z0-9])(v[123]_[A-G])(?:[^A-Za-z0-9]|$)", 1)
-    return F.when(found != "", found).otherwise("unknown")
+    """The first part that is an experiment's name, else the first such name in the stem, else ``unknown``."""
+    whole = F.get(F.filter(F.split(path, "/"), lambda p: p.rlike("^v[123]_[A-G]$")), F.lit(0))
+    return F.coalesce(whole, F.nullif(F.regexp_extract(stem(path), "v[123]_[A-G]", 0), F.lit("")), F.lit("unknown"))
+
+
+def of_model(path: Column, model: str, in_stem: bool = False) -> Column:
+    """Whether a part of the path is the model, or (``in_stem``) the file's stem contains it."""
+    part = F.array_contains(F.split(path, "/"), model)
+    return part | F.contains(stem(path), F.lit(model)) if in_stem else part
+
+
+def expected_of_stem(name: Column) -> dict[str, Column]:
+    """Gravity, height and speed that a free-fall file's name asks for; null where the name does not have all three."""
+    token = "([A-Za-z0-9]+)"
+    pattern = f"freefall_g{token}_h{token}_v0_{token}"
+    return {c: parse_number_token(F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))) for i, c in enumerate(("g", "h0", "v0"), 1)}
+
+
+def resolved(path: Column, root: str) -> Column:
+    """An absolute path as it is, a relative one below the root."""
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(f"{root}/"), path))
+
+
+def below(path: Column, root: str) -> Column:
+    """The path relative to the root; null if it is not below it."""
+    return F.when(F.startswith(path, F.lit(f"{root}/")), F.substring(path, F.lit(len(root) + 2), F.length(path)))
+
+
+def cycles_text(omega: Column, seconds: Column) -> Column:
+    """How many cycles a clip shows, in words; ``several`` without a positive duration."""
+    cycles = omega * seconds / F.lit(2 * math.pi)
+    words = F.when(cycles < 1.5, "about 1").when(cycles < 2.5, "about 2").when(cycles < 3.5, "about 3")
+    return F.when(seconds > 0, words.otherwise(F.concat(F.lit("about "), F.rint(cycles).cast("long").cast("string")))).otherwise("several")
 
 
 def posix_path(path: Column) -> Column:
@@ -87,8 +119,8 @@ def command_line(parts: Column) -> Column:
 
 
 def first_present(values: Column, keys: list[str], default: float) -> Column:
-    """The value of the first key that a map has, else the default."""
-    return F.coalesce(*[F.try_element_at(values, F.lit(k)) for k in keys], F.lit(default))
+    """The value, null or not, of the first key that a map has, else the default."""
+    return reduce(lambda out, k: F.when(F.map_contains_key(values, k), F.try_element_at(values, F.lit(k))).otherwise(out), reversed(keys), F.lit(default))
 
 
 def overridden(*maps: Column) -> Column:

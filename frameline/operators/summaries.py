@@ -34,6 +34,11 @@ def numeric_mean(c: Column | str) -> Column:
     return F.avg(F.try_cast(c, "double") if hasattr(F, "try_cast") else F.col(c).try_cast("double"))
 
 
+def ranges(rows: DataFrame) -> int:
+    """A fixed number of ranges, which adaptive execution does not change, so that two branches over the same ranges agree."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def style_summary(rows: DataFrame, style: str, values: list[str], passed: str) -> DataFrame:
     """(style, n, mean of each value, pass_rate) in style order."""
     return rows.groupBy(style).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values], F.avg(F.col(passed).cast("double")).alias("pass_rate")).orderBy(style)
@@ -43,7 +48,7 @@ def ranked(rows: DataFrame, score: str, tie: str, within: list[str] | None = Non
     """Adds ``rank`` from 1 by falling score. Ranks of all rows together come from range partitions and their sizes, not from one task."""
     if within:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), tie)))
-    spread = rows.repartitionByRange(F.desc(score), tie).withColumn("__part", F.spark_partition_id())
+    spread = rows.repartitionByRange(ranges(rows), F.desc(score), tie).withColumn("__part", F.spark_partition_id())
     place = spread.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(F.desc(score), tie)))
     sizes = place.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -66,11 +71,47 @@ def axis_regression(rows: DataFrame, keys: list[str], target: str, estimate: str
     return agg.join(monotonic_share(ordered, keys, estimate, "__o"), keys, "left")
 
 
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, value, name): the average rank of each distinct value within its keys. Equal values are counted before they are ordered, and
+    ranges of values are numbered apart and shifted by the counts of those before, so few keys or many ties don't meet in one task."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    spread = counts.repartitionByRange(ranges(rows), *keys, value).withColumn("__part", F.spark_partition_id())
+    running = Window.partitionBy("__part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.withColumn("__to", F.sum("__n").over(running))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("__part", *keys).agg(F.sum("__n").alias("__m")).select("__part", *keys, F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before"))
+    rank = F.col("__before") + F.col("__to") - (F.col("__n") - 1) / 2.0
+    return placed.join(before, ["__part", *keys]).select(*keys, value, rank.alias(name))
+
+
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, spearman): Pearson correlation of average ranks."""
-    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for name, value in (("__rx", x), ("__ry", y)):
-        w = Window.partitionBy(*keys).orderBy(value)
-        place = F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
-        rows = rows.withColumn(name, place.cast("double"))
-    return rows.groupBy(*keys).agg(guarded_corr("__rx", "__ry").alias("spearman"))
+    """(keys, spearman): Pearson correlation of average ranks over rows that have both values."""
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked_rows = rows.join(average_ranks(rows, keys, x, "__rx"), [*keys, x]).join(average_ranks(rows, keys, y, "__ry"), [*keys, y])
+    return ranked_rows.groupBy(*keys).agg(guarded_corr("__rx", "__ry").alias("spearman"))
+
+
+def phase_summary(results: DataFrame, errors: DataFrame, target: str, estimate: str, means: list[str]) -> DataFrame:
+    """One row: numbers of results, errors and valid pairs (a target and a finite estimate), the means over all results (0 if there are
+    none), and Pearson, Spearman, slope, intercept and r2 over the valid pairs (null where undefined)."""
+    one = F.lit(1).alias("everything")
+    valid = F.col(target).isNotNull() & F.col(estimate).isNotNull() & ~F.isnan(estimate) & (F.abs(estimate) < float("inf"))
+    pairs = results.filter(valid).select(one, F.col(target).cast("double").alias("x"), F.col(estimate).cast("double").alias("y"))
+    lines = pairs.groupBy("everything").agg(
+        F.count(F.lit(1)).alias("num_valid"), guarded_corr("x", "y").alias("pearson"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")
+    )
+    counts = results.agg(F.count(F.lit(1)).alias("num_results"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"mean_{m}") for m in means]).select(one, "*")
+    failed = errors.agg(F.count(F.lit(1)).alias("num_errors")).select(one, "*")
+    out = counts.join(failed, "everything").join(lines, "everything", "left").join(spearman(pairs, ["everything"], "x", "y"), "everything", "left")
+    known = F.col("pearson").isNotNull()
+    return out.select(
+        "num_results", "num_errors", F.coalesce("num_valid", F.lit(0)).alias("num_valid"), *[f"mean_{m}" for m in means], "pearson", "spearman",
+        F.when(known, F.col("slope")).alias("slope"), F.when(known, F.col("intercept")).alias("intercept"), (F.col("pearson") * F.col("pearson")).alias("r2"),
+    )
+
+
+def motion_extents(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, vertical, horizontal, ratio): extents of both coordinates over the given window; 0 where nothing was found."""
+    span = lambda c: F.coalesce(F.max(c) - F.min(c), F.lit(0.0))
+    out = rows.groupBy(*keys).agg(span(y).alias("vertical"), span(x).alias("horizontal"))
+    return out.withColumn("ratio", F.col("horizontal") / F.greatest("vertical", F.lit(1e-8)))

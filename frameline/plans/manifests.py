@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameline.functions.text import job_id, number_token, overridden
+from frameline.functions.text import command_line, job_id, number_token, overridden
+from frameline.operators.summaries import ranges
 
 AXES = ("g", "v0", "h0")
 
@@ -22,9 +23,56 @@ def job_manifest(exps: DataFrame, exp: str, place: str, models: list[str], style
     return jobs.withColumn("id", job_id(F.col(exp), F.col("model"), F.col("style"), F.concat(F.lit("s"), F.col("seed"))))
 
 
+def allowed_jobs(exps: DataFrame, models: list[str], styles: list[str], repeats: int, first: int) -> DataFrame:
+    """(id, exp, model, style, seed) of experiments (exp, place, models, styles, seed), whose lists and seed may be null.
+
+    A list of an experiment's own is taken in its order, without what is not offered. An own seed counts for all jobs of its experiment. The
+    others are numbered on from ``first`` over the jobs before them, and never below one more than a seed used before. Job numbers come from the sizes
+    of the experiments before, so only the list of experiments, one document, is put in order as a whole."""
+
+    def chosen(own: str, offered: list[str]) -> Column:
+        return F.coalesce(F.filter(own, lambda v: v.isin(offered)), _each(offered))
+
+    picked = exps.select("exp", "place", F.col("seed").alias("own"), chosen("models", models).alias("models"), chosen("styles", styles).alias("styles"))
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    sized = picked.withColumn("n", F.size("models") * F.size("styles") * repeats)
+    sized = sized.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    raised = F.when(F.col("n") > 0, F.col("own") - F.col("start"))  # what an own seed adds to the numbers after its first job
+    base = F.greatest(F.lit(first), F.max(raised).over(before)) + F.col("start")
+    jobs = sized.select("exp", "place", "own", base.alias("base"), "styles", F.posexplode("models").alias("m", "model"))
+    jobs = jobs.select("*", F.size("styles").alias("n_styles"), F.posexplode("styles").alias("s", "style"))
+    jobs = jobs.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
+    number = F.col("base") + (F.col("m") * F.col("n_styles") + F.col("s")) * repeats + F.col("r")
+    jobs = jobs.withColumn("seed", F.coalesce("own", number).cast("long"))
+    return jobs.select(job_id(F.col("exp"), F.col("style"), F.col("model"), F.concat(F.lit("s"), F.col("seed"))).alias("id"), "exp", "model", "style", "seed")
+
+
+def image_manifest(variants: DataFrame, files: DataFrame, folder: Column, image: str, model: str, first: int, repeats: int) -> DataFrame:
+    """Jobs of every variant (exp, variant, target) and seed from a starting image; ``folder`` is the variant's and ``files`` has (path).
+    A video and a prompt beside the image are named if they are there. A variant without its image gives one row with an error instead."""
+    rows = variants.withColumn("folder", folder)
+    for name, file in (("image", image), ("video", "seed_10frames.mp4"), ("prompt", "prompt.md")):
+        there = files.select(F.col("path").alias(name)).distinct()
+        rows = rows.join(there, there[name] == F.concat("folder", F.lit(f"/{file}")), "left")
+    missing = F.col("image").isNull()
+    seeds = F.when(missing, F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(first), F.lit(first + repeats - 1)))
+    rows = rows.select("*", F.explode(seeds).alias("seed"))
+    job = F.when(~missing, F.concat_ws("_", "exp", "variant", F.lit(model), F.concat(F.lit("s"), F.col("seed"))))
+    error = F.when(missing, F.concat(F.lit("FileNotFoundError: "), F.col("folder"), F.lit(f"/{image}")))
+    return rows.select("exp", "variant", "target", job.alias("job_id"), "seed", "image", "video", "prompt", error.alias("error"))
+
+
+def build_commands(scripts: DataFrame, program: str, out: str) -> DataFrame:
+    """(exp, variant, command): of scripts (exp, version, script, stem, variants), a command for every variant, whose map's keys are their names."""
+    rows = scripts.select("*", F.explode(F.map_keys("variants")).alias("variant"))
+    file = F.concat(F.concat_ws("/", F.lit(out), "version", "exp", "variant", "stem"), F.lit("_"), F.col("variant"), F.lit(".blend"))
+    parts = [F.lit(program), F.lit("-b"), F.lit("--python"), F.concat_ws("/", "version", "script"), F.lit("--"), F.lit("--variant-id"), F.col("variant"), F.lit("--output-file"), file]
+    return rows.select("exp", "variant", command_line(F.array(*parts)).alias("command"))
+
+
 def with_counter(jobs: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
     """Numbers all rows in order. Ranges are numbered apart and shifted by the sizes of those before, so no task sees all rows."""
-    spread = jobs.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    spread = jobs.repartitionByRange(ranges(jobs), *order).withColumn("__part", F.spark_partition_id())
     placed = spread.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

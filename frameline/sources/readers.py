@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameline.functions.text import posix_path
+from frameline.functions.text import below, experiment_of_path, posix_path, variant_of_path
+from frameline.operators.lookups import included
 
 TRAJECTORY = "frame int, time_s double, object string, x double, y double, z double, rot_x double, rot_y double, rot_z double"
 PARAMS = (
@@ -36,7 +37,10 @@ def params(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def manifest(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped. ``most`` keeps the first jobs in file order."""
     rows = spark.read.schema(schema).json(path)
-    return rows if most is None else rows.limit(most)
+    if most is None:
+        return rows
+    place = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    return place.orderBy("__file", "__block", "__row").limit(most).drop("__file", "__block", "__row")
 
 
 def configs(spark: SparkSession, path: str, task: str | None = None) -> DataFrame:
@@ -80,5 +84,15 @@ def newest_file(files: DataFrame) -> DataFrame:
     return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
 
 
+def scene_files(files: DataFrame, root: str, versions: list[str], experiments: list[str] = (), variants: list[str] = (), baseline: bool = True) -> DataFrame:
+    """(path, version, experiment, variant) of scenes: those of variants, and those directly in a version's folder. Empty filters take all."""
+    path = below(F.col("path"), root)
+    parts = F.split(path, "/")
+    varied = (F.get(parts, F.lit(0)) == "variants") & (F.size(parts) > 2)
+    rows = files.withColumns({"version": F.when(varied, F.get(parts, F.lit(1))).when(F.lit(baseline) & (F.size(parts) == 2), F.get(parts, F.lit(0))), "name": F.element_at(parts, -1)})
+    rows = rows.filter(F.col("name").rlike(r"^baseline.*\.blend$")).withColumns({"experiment": experiment_of_path(F.col("path")), "variant": variant_of_path(path)})
+    return included(rows.filter(F.col("version").isin(list(versions))), {"experiment": experiments, "variant": variants}).select("path", "version", "experiment", "variant")
+
+
 def first_rows(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__r") <= n).drop("__r")

@@ -191,3 +191,58 @@ def test_registered_gaps_are_filled_up_to_five(spark):
     assert got.keys() == want.keys() and all(v is None and got[i] is None or got[i] == pytest.approx(v, abs=1e-6) for i, v in want.items())
     filled = {k: sum(v is None and want[k, frame] is not None for frame, v in row) for k, row in seen.items()}
     assert {r["object"]: r["n_interpolated"] for r in tracks.interpolated_counts(spark, SF).collect()} == filled
+
+
+def test_manifest_keeps_the_first_jobs_in_file_order(spark, tmp_path):
+    from frameline.sources.readers import manifest
+
+    lines = [f'{{"id": {i}}}' for i in range(5000)]
+    (tmp_path / "jobs.jsonl").write_text("\n\n".join(lines))
+    assert [r.id for r in manifest(spark, str(tmp_path / "jobs.jsonl"), "id int", 700).collect()] == list(range(700))
+
+
+def test_segments_that_overlap_touch_or_lack(spark):
+    from frameline.operators.lookups import segment_of
+
+    segments = spark.createDataFrame([("a", 1, 2.0, 5.0), ("a", 0, 0.0, 3.0), ("a", 2, 8.0, 9.0)], "k string, place int, t0 double, t1 double")
+    rows = spark.createDataFrame([("a", 2.5), ("a", 3.0), ("a", 5.0), ("a", 6.0), ("a", 99.0), ("a", None), ("b", 1.0)], "k string, t double")
+    found = {(r.k, r.t): r.place for r in segment_of(rows, segments, ["k"], "t").collect()}
+    assert found == {("a", 2.5): 0, ("a", 3.0): 0, ("a", 5.0): 1, ("a", 6.0): 2, ("a", 99.0): 2, ("a", None): 2, ("b", 1.0): None}
+
+
+def test_jobs_are_numbered_as_one_after_another(spark):
+    import random
+
+    from frameline.plans.manifests import allowed_jobs
+
+    rng = random.Random(5)
+    exps = [(f"e{i}", i, rng.choice([None, ["m1"], ["m9"], ["m2", "m1", "m9"]]), rng.choice([None, [], ["b"]]), rng.choice([None, None, rng.randrange(300)])) for i in range(40)]
+    seed, want = 50, []
+    for exp, _, models, styles, own in exps:
+        for m in ["m1", "m2"] if models is None else models:
+            for s in ["a", "b"] if styles is None else styles:
+                for _ in range(3 if m in ("m1", "m2") else 0):
+                    this = seed if own is None else own
+                    want.append((exp, m, s, this))
+                    seed = max(seed + 1, this + 1)
+    table = spark.createDataFrame(exps, "exp string, place int, models array<string>, styles array<string>, seed int")
+    got = allowed_jobs(table, ["m1", "m2"], ["a", "b"], 3, 50)
+    assert sorted((r.exp, r.model, r.style, r.seed) for r in got.collect()) == sorted(want)
+
+
+def test_average_ranks_of_ties_over_many_ranges(spark):
+    from frameline.operators.summaries import average_ranks
+
+    rows = [(k, float(i % 7)) for i in range(200) for k in ("hot", "cold") if k == "hot" or i < 3]
+    got = {(r.k, r.v): r.rank for r in average_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "rank").collect()}
+    for k, v in set(rows):
+        mine = [b for a, b in rows if a == k]
+        assert got[k, v] == sum(b < v for b in mine) + (sum(b == v for b in mine) + 1) / 2
+
+
+def test_phase_summary_without_results(spark):
+    from frameline.operators.summaries import phase_summary
+
+    none = spark.createDataFrame([], "target double, estimate double, detection double")
+    row = phase_summary(none, none, "target", "estimate", ["detection"]).collect()
+    assert [tuple(r) for r in row] == [(0, 0, 0, 0.0, None, None, None, None, None)]
