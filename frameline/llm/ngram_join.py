@@ -13,8 +13,9 @@ has so few. Sets with more empty segments are indexed under those as well, and s
 1. ``shingle_index``: one pass gives each row's set size, set digest, parity bitmap and index rows. Equal sets become one node.
 2. ``met_nodes``: nodes that share an index row meet in a bucket. Each node is first verified against the best of its buckets' smallest nodes only.
 3. Nodes of a bucket that are still in different components are compared in bounded blocks by parity bitmaps, whose
-   distance never exceeds the sets' difference, so nothing is lost: first the best pair of every two components of a block,
-   then, in the buckets where that left pairs out, all that are still apart. Every pair that passes is verified on whole
+   distance never exceeds the sets' difference, so nothing is lost: first the nearest pairs that join all components of a block which
+   any pair joins, fewer than it has nodes; then, in the buckets where that left pairs out, the same again and at last all that are still apart,
+   both by larger bitmaps, which few pairs beyond the limit pass. Every pair that passes is verified on whole
    sets. Thus large groups of near copies cost links by the number of their members, not of their pairs.
 
 Shingles are 64-bit hashes of words. All steps read tables in the shared folder.
@@ -45,6 +46,7 @@ GROWTH = 1.25  # largest over smallest size of a band
 LARGEST = 1 << 30  # no set is larger
 CHUNK = 2048  # nodes of a bucket that are compared at once
 BITS_PER_DIFFERENCE = 3  # of the parity bitmap
+FINER = 12  # the same where nodes are looked at again
 PAIR_COST = 0.05  # of comparing two bitmaps, against writing an index row
 SMALL_SIDE = 2_000_000  # ids that may be broadcast; beyond it they are joined by shuffle
 
@@ -168,10 +170,10 @@ def signatures(tokens: np.ndarray, plan: list[Band], starts: np.ndarray, num: in
     return np.unique(np.concatenate(out))
 
 
-def parity_bitmap(tokens: np.ndarray, num: int, den: int) -> bytes:
+def parity_bitmap(tokens: np.ndarray, num: int, den: int, per_difference: int = BITS_PER_DIFFERENCE) -> bytes:
     """Parity of the set's members by hash, in a power of two of bits, so that a larger bitmap can be folded to a smaller one."""
     differ = 2 * tokens.size * (den - num) // (den + num)
-    width = max(64, 1 << (BITS_PER_DIFFERENCE * (differ + 1) - 1).bit_length())
+    width = max(64, 1 << (per_difference * (differ + 1) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -224,6 +226,19 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame
     return chosen.mapInArrow(run, "node long, tokens binary")
 
 
+def finer_bitmaps(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, wanted: DataFrame) -> DataFrame:
+    """(node, n_shingles, bits) of ``wanted(node)``, with bitmaps that leave few pairs beyond the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+            bits = [parity_bitmap(t, num, den, FINER) for t in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([t.size for t in sets], pa.int64()), pa.array(bits, pa.binary())], names=["node", "n_shingles", "bits"])
+
+    rows = shingle_sets(docs, key, text, n, wanted).mapInArrow(run, "node long, n_shingles long, bits binary")
+    return rows.filter("n_shingles > 0")
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` that sizes and parity bitmaps allow to link."""
 
@@ -269,6 +284,32 @@ def _folded(bits: list, width: int) -> np.ndarray:
     return out
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the pairs ``(a, b)`` of labels that join all labels that pairs connect, nearest pairs first: fewer than there are labels.
+
+    In each turn every group of labels takes its nearest pair to another group; equal ones are taken by place, so no pairs close a ring."""
+    order = np.argsort(far, kind="stable")
+    a, b = a[order], b[order]
+    group, open_, taken = np.arange(max(a.max(), b.max()) + 1), np.arange(a.size), []
+    while True:
+        open_ = open_[group[a[open_]] != group[b[open_]]]
+        if not open_.size:
+            return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+        first = np.full(group.size, a.size)
+        np.minimum.at(first, group[a[open_]], open_)
+        np.minimum.at(first, group[b[open_]], open_)
+        chosen = np.unique(first[first < a.size])
+        taken.append(chosen)
+        x, y = group[a[chosen]], group[b[chosen]]
+        root = np.arange(group.size)
+        while (root[x] != root[y]).any():
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            root = root[root]
+        group = root[group]
+
+
 def _close_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, bits: list, num: int, den: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of a bucket's block that lie in different components and whose bitmaps allow a link, and whether ``best`` left any out."""
     rows = _folded(bits, min(map(len, bits)))
@@ -284,16 +325,14 @@ def _close_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.
             continue
         apart = np.concatenate([np.bitwise_count(rows[i[p[s : s + 65536]]] ^ rows[right[q[s : s + 65536]]]).sum(axis=1, dtype=np.int64) for s in range(0, p.size, 65536)])
         ok = apart * (den + num) <= both[p, q] * (den - num)
-        found.append(np.stack([i[p[ok]], right[q[ok]], apart[ok]]))
+        found.append(np.stack([i[p[ok]], right[q[ok]], apart[ok]]))  # places and distances, all whole numbers
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     i, j, apart = np.concatenate(found, axis=1)
     every = i.size
     if best and i.size:
-        lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-        order = np.lexsort((apart, hi, lo))
-        new = np.concatenate([[True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)])
-        i, j = i[order[new]], j[order[new]]
+        kept = _spanning(*np.unique(comp, return_inverse=True)[1][[i, j]], apart / (size[i] + size[j]))
+        i, j = i[kept], j[kept]
     return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), i.size < every
 
 
@@ -390,10 +429,15 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
     stars = near.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))
     links = written(verified(written(possible(stars, small, num, den), "join-pairs"), docs, key, text, n, num, den), "join-links")
     meet = buckets.select("sig", "node").distinct()
-    for best in (True, False):
+    for look, best in enumerate((True, True, False)):
+        if look == 1:
+            with arrow_rows(docs.sparkSession, 1024):
+                small = written(finer_bitmaps(docs, key, text, n, num, den, meet.select("node").distinct()), "join-bitmaps")
         pairs = written(cross_pairs(meet, small, component_roots(links, "join-stars"), num, den, best), "join-pairs")
         links = written(links.union(verified(pairs.filter("sig IS NULL"), docs, key, text, n, num, den)), "join-links")
-        meet = meet.join(pairs.filter("sig IS NOT NULL").select("sig").distinct(), "sig", "left_semi")
+        meet = written(meet.join(pairs.filter("sig IS NOT NULL").select("sig").distinct(), "sig", "left_semi"), "join-left")
+        if meet.isEmpty():  # no bucket has pairs that were not looked at
+            break
     roots = component_roots(links, "join-stars")
     of_node = nodes.select("node", "d1", "d2").join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     rows = index.select("doc_id", "n_shingles", "d1", "d2").join(of_node, ["d1", "d2"], "left")

@@ -136,3 +136,58 @@ def test_fingerprints_within_the_radius_always_meet(spark):
     windows = spark.createDataFrame([*rows, (500, 8, *words(base))], f"window long, size int, {prints}")
     items = spark.createDataFrame([(1, 9, *words(base))], f"item long, size int, {prints}")
     assert {x["window"] for x in near_fingerprints(windows, items).collect()} == set(range(RADIUS + 1))
+
+
+def test_spanning_pairs_join_what_all_pairs_join_and_take_the_nearest():
+    import numpy as np
+
+    from frameline.llm.ngram_join import _spanning
+
+    def groups(a, b):
+        root = list(range(60))
+        for x, y in zip(a, b, strict=True):
+            old, new = root[x], root[y]
+            root = [new if r == old else r for r in root]
+        return root
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400):
+        a, b = rng.integers(0, 60, (2, n))
+        far = rng.integers(0, 4, n).astype(float)  # many ties
+        kept = _spanning(a, b, far)
+        every, some = groups(a, b), groups(a[kept], b[kept])
+        assert all((every[i] == every[j]) == (some[i] == some[j]) for i in range(60) for j in range(60))
+        assert kept.size == 60 - len(set(every))
+        least, root = 0.0, list(range(60))  # weight of a least forest, by taking pairs in order
+        for k in np.argsort(far, kind="stable"):
+            x, y = root[a[k]], root[b[k]]
+            if x != y:
+                least += far[k]
+                root = [y if r == x else r for r in root]
+        assert far[kept].sum() == least
+
+
+def test_group_of_copies_that_differ_from_their_first_is_one_component(spark):
+    """Copies in a long chain, each near to the next one only, among many that nearly link: nothing may be lost to the spanning pairs."""
+    import random
+
+    from frameline.llm.ngram_join import jaccard_components
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(90), rng.choice([0, 1, 2, 3])):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, "doc_id", "text", n=5, num=80, den=100).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(86)} for _, t in rows]
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == {i: root[i] for i in range(120)} and 1 < len(set(root)) < 120
