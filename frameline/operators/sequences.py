@@ -22,7 +22,8 @@ def fill_gaps(rows: DataFrame, keys: list[str], value: str, out: str, most: int
     known = F.when(F.col(value).isNotNull(), F.struct("__i", F.col(value).alias("v")))
     rows = rows.withColumn("__i", F.row_number().over(w))
     rows = rows.withColumn("__p", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__n", F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, -1)  # runs on, where a frame to the end would be read anew for each row
+    rows = rows.withColumn("__n", F.last(known, ignorenulls=True).over(back))
     gap = F.col("__n.__i") - F.col("__p.__i")
     line = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col("__i") - F.col("__p.__i")) / gap
     return rows.withColumn(out, F.coalesce(F.col(value), F.when(gap - 1 <= most, line))).drop("__i", "__p", "__n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameline.operators.fits import guarded_corr
+from frameline.operators.ordering import in_order
 from frameline.operators.sequences import monotonic_share
 
 
@@ -34,25 +35,16 @@ def numeric_mean(c: Column | str) -> Column:
     return F.avg(F.try_cast(c, "double") if hasattr(F, "try_cast") else F.col(c).try_cast("double"))
 
 
-def ranges(rows: DataFrame) -> int:
-    """A fixed number of ranges, which adaptive execution does not change, so that two branches over the same ranges agree."""
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def style_summary(rows: DataFrame, style: str, values: list[str], passed: str) -> DataFrame:
     """(style, n, mean of each value, pass_rate) in style order."""
     return rows.groupBy(style).agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values], F.avg(F.col(passed).cast("double")).alias("pass_rate")).orderBy(style)
 
 
 def ranked(rows: DataFrame, score: str, tie: str, within: list[str] | None = None) -> DataFrame:
-    """Adds ``rank`` from 1 by falling score. Ranks of all rows together come from range partitions and their sizes, not from one task."""
+    """Adds ``rank`` from 1 by falling score. Ranks of all rows together come from written ranges and their ends, not from one task."""
     if within:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(score), tie)))
-    spread = rows.repartitionByRange(ranges(rows), F.desc(score), tie).withColumn("__part", F.spark_partition_id())
-    place = spread.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(F.desc(score), tie)))
-    sizes = place.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return place.join(before, "__part").withColumn("rank", F.col("__row") + F.col("__before")).drop("__part", "__row", "__before")
+    return in_order(rows, [], [F.desc(score), tie], label="ranked").withColumn("rank", F.col("row_at") + 1).drop("group_at", "row_at")
 
 
 def ranking_lines(rows: DataFrame, name: str, score: str) -> DataFrame:
@@ -73,15 +65,10 @@ def axis_regression(rows: DataFrame, keys: list[str], target: str, estimate: str
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, value, name): the average rank of each distinct value within its keys. Equal values are counted before they are ordered, and
-    ranges of values are numbered apart and shifted by the counts of those before, so few keys or many ties don't meet in one task."""
+    ranges of values are numbered as they are written, so few keys or many ties don't meet in one task."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    spread = counts.repartitionByRange(ranges(rows), *keys, value).withColumn("__part", F.spark_partition_id())
-    running = Window.partitionBy("__part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = spread.withColumn("__to", F.sum("__n").over(running))
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy("__part", *keys).agg(F.sum("__n").alias("__m")).select("__part", *keys, F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before"))
-    rank = F.col("__before") + F.col("__to") - (F.col("__n") - 1) / 2.0
-    return placed.join(before, ["__part", *keys]).select(*keys, value, rank.alias(name))
+    placed = in_order(counts, keys, [value], totals=["__n"], label="average-ranks")
+    return placed.select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2.0).alias(name))
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameline.functions.text import command_line, job_id, number_token, overridden
-from frameline.operators.summaries import ranges
+from frameline.operators.ordering import in_order
 
 AXES = ("g", "v0", "h0")
 
@@ -71,12 +71,8 @@ def build_commands(scripts: DataFrame, program: str, out: str) -> DataFrame:
 
 
 def with_counter(jobs: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
-    """Numbers all rows in order. Ranges are numbered apart and shifted by the sizes of those before, so no task sees all rows."""
-    spread = jobs.repartitionByRange(ranges(jobs), *order).withColumn("__part", F.spark_partition_id())
-    placed = spread.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(before, "__part").withColumn(name, F.col("__row") + F.col("__before") + (first - 1)).drop("__part", "__row", "__before")
+    """Numbers all rows in order, by written ranges and their ends, so no task sees all rows."""
+    return in_order(jobs, [], order, label="counter").withColumn(name, F.col("row_at") + first).drop("group_at", "row_at")
 
 
 def sweep_manifest(base: DataFrame, sweeps: dict[str, list[float]]) -> DataFrame:
