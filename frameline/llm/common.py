@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameline.storage import scratch_path as scratch_path
+from frameline.storage import shared_dir as shared_dir
+from frameline.storage import written as written
+
 # Word: a run of anything but ASCII white space, after lower-casing A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -22,32 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a session without one gets one under the warehouse."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():  # set by setCheckpointDir, which all executors must reach as well
-        return own.get().rstrip("/")
-    here = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    spark.sparkContext.setCheckpointDir(here)
-    return here
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; two calls never meet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while jobs run inside, which bounds the memory that long texts take."""

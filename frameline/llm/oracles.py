@@ -4,7 +4,49 @@ from __future__ import annotations
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+def _crc32(value: str) -> str:
+    """crc32 of a number's decimal digits, bit by bit."""
+    digits = f"list_transform(range(1, length(CAST({value} AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST({value} AS VARCHAR), CAST(i AS INTEGER), 1)) AS UBIGINT))"
+    bit = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), list_value(0::UBIGINT, 0, 0, 0, 0, 0, 0, 0)), lambda x, k: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, b: {byte}), 4294967295::UBIGINT)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT *, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents
+        ), leaves AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+        ), low AS (
+            SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            UNION ALL SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM low WHERE n > 1 GROUP BY tree, level, pos // 16, n
+        ), high AS (
+            SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM low WHERE n = 1
+            UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM high WHERE n > 1 GROUP BY level, pos // 16, n
+        ), sides AS (
+            SELECT tree, level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+            FROM (SELECT tree, level, pos, h FROM low WHERE n > 1 UNION ALL SELECT -1 AS tree, level, pos, h FROM high WHERE n > 1)
+        ), steps AS (
+            SELECT l.tree, l.pos, s.level AS step, s.a, s.b FROM leaves l JOIN sides s ON s.tree = l.tree AND s.pos = l.pos // CAST(16 ** s.level AS BIGINT)
+            UNION ALL SELECT l.tree, l.pos, 100 + s.level AS step, s.a, s.b FROM leaves l JOIN sides s ON s.tree = -1 AND s.pos = l.tree // CAST(16 ** s.level AS BIGINT)
+        ), path AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY step) AS k FROM steps
+        ), fold AS (
+            SELECT tree, pos, coalesce(changed, leaf) AS h, CAST(0 AS BIGINT) AS k FROM leaves
+            UNION ALL SELECT f.tree, f.pos, sha256(p.a || f.h || p.b), p.k FROM fold f JOIN path p ON p.tree = f.tree AND p.pos = f.pos AND p.k = f.k + 1
+        ), folded AS (SELECT tree, pos, arg_max(h, k) AS folded_root FROM fold GROUP BY tree, pos
+        ), proofs AS (SELECT tree, pos, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM path GROUP BY tree, pos
+        ), roots AS (SELECT tree, h AS subroot FROM low WHERE n = 1)
+        SELECT l.doc_id, l.leaf, r.subroot, t.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.h AS verified
+        FROM leaves l JOIN roots r ON r.tree = l.tree JOIN (SELECT h FROM high WHERE n = 1) t ON TRUE JOIN folded f ON f.tree = l.tree AND f.pos = l.pos LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+    """,
     "op3_preference_format": r"""
         WITH said AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS k,

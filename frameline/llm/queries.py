@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameline.llm.ann_index import nearest
-from frameline.llm.common import doc_mod, scratch_path, table
+from frameline.llm.common import ascii_lower, doc_mod, scratch_path, table
 from frameline.llm.decontaminate import find_leaks
 from frameline.llm.html_extract import extract_main_text
 from frameline.llm.language_id import fit_profiles, predict_language
 from frameline.llm.lm_mixing import score_texts
+from frameline.llm.merkle import fold_proof, leaf_digest, merkle_proofs, proof_digest
 from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from frameline.llm.piece_codec import encode_pieces, piece_digests
@@ -70,6 +71,17 @@ def op10_ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    changed = F.when(doc_mod("doc_id", 5) == 0, leaf(ascii_lower(F.col("text"))))
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("digest"), changed.alias("changed"))
+    found = merkle_proofs(leaves, "source", "doc_id", "digest", ["doc_id", "changed"])
+    folded = fold_proof(F.coalesce("changed", "leaf"), F.col("lefts"), F.col("rights"))
+    found = found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("lefts"), F.col("rights")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extract": op2_html_extract,
@@ -81,4 +93,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_index": op10_ann_index,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
