@@ -19,6 +19,27 @@ def _leaf(text: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    # Every prefix is its whole text here, and every node meets all its ancestors.
+    "op13_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL
+        ), n AS (SELECT conv_id, said, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS i FROM t
+        ), c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, n.i, n.said, n.chars FROM c JOIN n ON n.conv_id = c.base AND n.i <= c.h
+            UNION ALL SELECT c.conv_id, n.i, n.said, n.chars FROM c JOIN n ON n.conv_id = c.conv_id AND n.i > c.h
+        ), p AS (SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(said, '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+        ), a AS (
+            SELECT conv_id, depth, prefix, chars, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+            UNION ALL SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS chars, conv_id NOT IN (SELECT conv_id FROM p) AS ends FROM c
+        ), g AS (
+            SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM a GROUP BY depth, prefix
+        ), up AS (SELECT g.conv_id, g.depth, o.conv_id AS parent_conv_id FROM g JOIN a ON a.conv_id = g.conv_id AND a.depth = g.depth - 1 JOIN g o ON o.depth = a.depth AND o.prefix = a.prefix
+        ), kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY parent_conv_id, depth - 1
+        ), f AS (SELECT g.*, up.parent_conv_id, coalesce(kids.n_children, 0) AS n_children FROM g LEFT JOIN up ON up.conv_id = g.conv_id AND up.depth = g.depth LEFT JOIN kids ON kids.conv_id = g.conv_id AND kids.depth = g.depth
+        ), s AS (SELECT a.depth, a.prefix, count(CASE WHEN f.n_children = 0 THEN 1 END) AS n_leaves, CAST(sum(f.saved) AS BIGINT) AS saved_tokens FROM f JOIN a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.prefix)
+        SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM f JOIN s ON s.depth = f.depth AND s.prefix = f.prefix
+    """,
     "op11_merkle_manifest": f"""
         WITH RECURSIVE d AS (
             SELECT *, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents

@@ -17,6 +17,7 @@ from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
+from frameline.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt_turns
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.warc import archive_pages
 
@@ -82,6 +83,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie(rebuilt_turns(turns), turns.filter("place = 0").select("conv_id"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_html_extract": op2_html_extract,
@@ -94,4 +100,5 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_index": op10_ann_index,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
