@@ -19,6 +19,7 @@ from frameline.llm.piece_codec import encode_pieces, piece_digests
 from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
 from frameline.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt_turns
 from frameline.llm.token_counts import count_tokens
+from frameline.llm.toxicity import fit_machine, score_toxicity
 from frameline.llm.warc import archive_pages
 
 
@@ -83,6 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", (doc_mod("doc_id", 5) == 0).alias("held_out")), table(spark, sf_dir, "labels")
+    machine = fit_machine(docs, "doc_id", "text", labels.filter(doc_mod("doc_id", 5) != 0), "toxic")
+    return score_toxicity(docs, "text", machine, ["doc_id", "held_out"])
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = numbered_turns(table(spark, sf_dir, "conversations"))
     return prefix_trie(rebuilt_turns(turns), turns.filter("place = 0").select("conv_id"))
@@ -100,5 +107,6 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_index": op10_ann_index,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_prefix_trie": op13_prefix_trie,
 }
