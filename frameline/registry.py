@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("motion", "tracks", "summaries", "text", "plans", "lookups", "recovery", "streams")
+MODULES = ("motion", "tracks", "summaries", "text", "plans", "lookups", "recovery", "phases", "streams")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:
