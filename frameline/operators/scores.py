@@ -77,8 +77,9 @@ def sweep_video_score() -> Column:
     return 100 * (0.25 * tracking + 0.25 * fit_quality() + 0.20 * clip01(1 - c("verticality") / 0.15) + 0.15 * sunk + 0.15 * bounced)
 
 
-def hard_constraints(parameters: bool = True) -> dict[str, Column]:
-    """Eight checks that a track must pass, and three on recovered parameters, which are null where the true value is not known. NaN never passes."""
+def hard_constraints(parameters: bool = True, scaled_v0: bool = False) -> dict[str, Column]:
+    """Eight checks that a track must pass, and three on recovered parameters, which are null where the true value is not known. NaN never passes.
+    The first speed may miss by 1, or (``scaled_v0``) by a share of the one that was asked for, ``v0``, and a little."""
     c = F.col
     checks = {
         "ok_detection": c("detection_rate") >= 0.90,
@@ -92,7 +93,7 @@ def hard_constraints(parameters: bool = True) -> dict[str, Column]:
     }
     checks = {n: F.coalesce(e, F.lit(False)) for n, e in checks.items()}
     if parameters:
-        checks |= {"ok_g": c("g_rel") <= 0.30, "ok_v0": c("v0_abs") <= 1.0, "ok_h0": c("h0_rel") <= 0.30}
+        checks |= {"ok_g": c("g_rel") <= 0.30, "ok_v0": c("v0_abs") <= (F.greatest(F.lit(0.5), 0.3 * F.abs("v0") + 0.2) if scaled_v0 else 1.0), "ok_h0": c("h0_rel") <= 0.30}
     return checks
 
 

@@ -47,6 +47,32 @@ def allowed_jobs(exps: DataFrame, models: list[str], styles: list[str], repeats:
     return jobs.select(job_id(F.col("exp"), F.col("style"), F.col("model"), F.concat(F.lit("s"), F.col("seed"))).alias("id"), "exp", "model", "style", "seed")
 
 
+def requested_variants(offered: DataFrame, requests: DataFrame) -> DataFrame:
+    """(exp, place, variant): of requests (exp, variants) the variants in the order asked for, repeated ones too, or all that are offered (exp, place, variant), in
+    their order, where the list is null or empty. A variant that its experiment does not offer ends the query."""
+    none = F.coalesce(F.size("variants"), F.lit(0)) <= 0
+    asked = requests.filter(~none).select("exp", F.posexplode("variants").alias("place", "variant"))
+    known = asked.join(offered.select("exp", "variant", F.lit(True).alias("__known")).distinct(), ["exp", "variant"], "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown variant of "), F.coalesce(F.col("exp"), F.lit("null")), F.lit(": "), F.coalesce(F.col("variant"), F.lit("null"))))
+    named = known.select("exp", F.col("place").cast("long").alias("place"), F.when(F.col("__known"), F.col("variant")).otherwise(unknown).alias("variant"))
+    return named.unionByName(requests.filter(none).select("exp").join(offered, "exp").select("exp", F.col("place").cast("long").alias("place"), "variant"))
+
+
+def with_variant(jobs: DataFrame, variants: DataFrame, base: str, variant: str, default: str = "default") -> DataFrame:
+    """Adds ``parameters``: the map ``base`` with the values of the job's variant, from variants (exp, variant, values), over it. The default has none; another name that its experiment does not have ends the query."""
+    named = variants.select("exp", F.col("variant").alias(variant), F.col("values").alias("__values"))
+    unknown = F.raise_error(F.concat(F.lit("unknown variant: "), F.coalesce(F.col(variant), F.lit("null"))))
+    chosen = F.when(F.col(variant) == default, F.col(base)).when(F.col("__values").isNull(), unknown).otherwise(overridden(F.col(base), F.col("__values")))
+    return jobs.join(named, ["exp", variant], "left").withColumn("parameters", chosen).drop("__values")
+
+
+def prompt_files(jobs: DataFrame, names: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """Adds ``prompt_file``: the path below ``root`` of the file that names (exp, file) gives for the job's experiment, if files (path) has it; else null."""
+    there = files.select(F.col("path").alias("prompt_file")).distinct()
+    path = names.select("exp", F.concat(F.lit(f"{root}/"), "file").alias("prompt_file"))
+    return jobs.join(path.join(there, "prompt_file"), "exp", "left")
+
+
 def image_manifest(variants: DataFrame, files: DataFrame, folder: Column, image: str, model: str, first: int, repeats: int) -> DataFrame:
     """Jobs of every variant (exp, variant, target) and seed from a starting image; ``folder`` is the variant's and ``files`` has (path).
     A video and a prompt beside the image are named if they are there. A variant without its image gives one row with an error instead."""

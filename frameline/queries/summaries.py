@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameline.operators import align, summaries
+from frameline.operators import align, fits, outcomes, summaries
+from frameline.queries.motion import _A, _quad
 from frameline.views import PRED_SQL, TRAJ_SQL, prediction, r6, table, trajectory
 
 
@@ -32,9 +33,15 @@ def coverage_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each view: the metrics of its first object, and how many objects it has."""
-    rows = _view_errors(spark, d)
-    return rows.groupBy("view").agg(F.min("object").alias("object"), r6(F.min_by("mse", "object")).alias("mse"), F.count(F.lit(1)).alias("n_objects"))
+    """A row for each view: the metrics of its first object, how many objects it has, and how many parameters and events of that object have errors."""
+    t = trajectory(spark, d)
+    p = prediction(t)
+    params = fits.recovered_parameters(t, ["object"]).join(fits.recovered_parameters(p, ["object"]).toDF("object", "g_hat", "mu_hat"), "object")
+    counts = params.select("object", sum((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("long") for a, b in (("g", "g_hat"), ("mu", "mu_hat"))).alias("param_error_count"))
+    events = align.event_time_errors(t, p, ["object"]).groupBy("object").agg(F.count("abs_error_s").alias("event_error_count"))
+    rows = _view_errors(spark, d).groupBy("view").agg(F.min("object").alias("object"), r6(F.min_by("mse", "object")).alias("mse"), F.count(F.lit(1)).alias("n_objects"))
+    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("param_error_count", "event_error_count")}
+    return rows.join(counts, "object", "left").join(events, "object", "left").select("view", "object", "mse", "n_objects", *[c.alias(n) for n, c in none.items()])
 
 
 def view_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -111,11 +118,30 @@ def phase_report(spark: SparkSession, d: str) -> DataFrame:
     return whole.groupBy("everything").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("estimate")).alias("mean_estimate"), r6(guarded_corr("target", "estimate")).alias("pearson"), r6(F.regr_slope("estimate", "target")).alias("slope"), r6(F.regr_intercept("estimate", "target")).alias("intercept")).drop("everything")
 
 
+LEAST_FRAMES = 8
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    """The fall of each view's track as an outcome: too short a track, one without extent, and one whose rows have no number are errors."""
+    rows = outcomes.parsed(table(spark, d, "events"), "props", "k double", "read", "why")
+    tracks = rows.groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("why").alias("unread"), F.min("why").alias("why"), F.count("read.k").alias("known"), (F.max("value") - F.min("value")).alias("extent"), F.regr_slope("value", "read.k").alias("slope")
+    )
+    said = F.concat(F.lit(f"ValueError: {LEAST_FRAMES} frames needed, "), F.col("n").cast("string"), F.lit(" found"))
+    checks = [(F.col("unread") == 0, F.col("why")), (F.col("n") >= LEAST_FRAMES, said), (F.col("known") == F.col("n"), "KeyError: k"), (F.col("extent") > 1e-8, "ValueError: no extent"), (F.col("slope").isNotNull(), "ValueError: one value of k")]
+    return outcomes.outcomes(tracks, ["user_id", "event_type"], checks, {"n": F.col("n"), "slope": r6("slope")})
+
+
 def error_channel(spark: SparkSession, d: str) -> DataFrame:
-    """Items that can't be read become rows with an error instead of ending the batch."""
-    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ")[0].alias("token"), "p_size")
-    bad = F.col("p_size") % 10 == 0
-    return rows.select("p_partkey", F.when(~bad, F.col("p_size") * 2).alias("value"), F.when(bad, F.concat(F.lit("ValueError: size "), F.col("p_size").cast("string"))).alias("error"))
+    """Tracks that can't be fitted become rows with an error instead of ending the batch."""
+    return _fitted(spark, d)
+
+
+def error_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Results and errors of each view, from one run of the batch."""
+    good, bad = outcomes.split_outcomes(_fitted(spark, d))
+    counts = bad.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_errors"), F.count_distinct("error").alias("n_messages"))
+    return good.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_results")).join(counts, "event_type", "full").select("event_type", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_results", "n_errors", "n_messages")])
 
 
 def run_log_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cross_view_consistency, cross_view_map, coverage_antijoin, batch_summary, view_errors, style_summary, ranking, ranking_lines, topk, largest_per_group, seed_frames, render_inventory,
-        render_inventory_rollup, axis_regression, spearman, monotonic_score, phase_report, error_channel, run_log_counts, resume_pending, view_priority,
+        render_inventory_rollup, axis_regression, spearman, monotonic_score, phase_report, error_channel, error_counts, run_log_counts, resume_pending, view_priority,
     )
 }
 _AXIS = "ax AS (SELECT o_orderkey, o_orderpriority AS axis, CAST(o_custkey % 50 AS DOUBLE) AS target, o_totalprice / 1000 AS estimate FROM orders)"
@@ -149,11 +175,17 @@ _ERR = "e AS (SELECT t.object, t.view, count(*) AS n_frames, avg((t.x-p.x)**2 +
 _CORR = "covar_pop(estimate, target) / nullif(stddev_pop(estimate) * stddev_pop(target), 0)"
 _MONO = "m AS (SELECT axis, avg(CASE WHEN d >= -1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS up, avg(CASE WHEN d <= 1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS down FROM (SELECT axis, estimate - lag(estimate) OVER (PARTITION BY axis ORDER BY target, o_orderkey) AS d FROM ax) WHERE d IS NOT NULL GROUP BY axis)"
 _REG = f"r AS (SELECT axis, count(*) AS n, regr_slope(estimate, target) AS slope, regr_intercept(estimate, target) AS intercept, {_CORR} AS pearson FROM ax GROUP BY axis)"
+_OUTCOMES = f"""r AS (SELECT user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events), s AS (SELECT user_id, event_type, count(*) AS n, count(k) AS known, max(value) - min(value) AS extent, regr_slope(value, k) AS slope FROM r GROUP BY user_id, event_type),
+    w AS (SELECT *, CASE WHEN n < {LEAST_FRAMES} THEN 'ValueError: {LEAST_FRAMES} frames needed, ' || CAST(n AS VARCHAR) || ' found' WHEN known < n THEN 'KeyError: k' WHEN extent <= 1e-8 THEN 'ValueError: no extent' WHEN slope IS NULL THEN 'ValueError: one value of k' END AS error FROM s),
+    o AS (SELECT user_id, event_type, CASE WHEN error IS NULL THEN n END AS n, CASE WHEN error IS NULL THEN round(slope, 6) + 0.0 END AS slope, error FROM w)"""
 ORACLE_SQL = {
     "cross_view_consistency": f"WITH {TRAJ_SQL}, m AS (SELECT object, 'p' || CAST(object % 3 AS VARCHAR) AS parameter, view, avg(z) AS e FROM traj GROUP BY 1, 2, 3) SELECT object, parameter, count(*) AS n_views, round(avg(e), 6) AS mean, round(var_pop(e), 6) AS variance, round(max(e) - min(e), 6) AS range FROM m GROUP BY object, parameter HAVING count(*) >= 2",
     "cross_view_map": f"WITH {TRAJ_SQL}, m AS (SELECT object, view, avg(z) AS e FROM traj GROUP BY 1, 2) SELECT object, string_agg(view || '=' || printf('%.9f', e), ';' ORDER BY view) AS by_name FROM m GROUP BY object",
     "coverage_antijoin": f"WITH {TRAJ_SQL} SELECT DISTINCT object, view FROM traj t WHERE NOT EXISTS (SELECT 1 FROM traj u WHERE u.object = t.object AND u.view = t.view AND u.event_id % 4 = 0)",
-    "batch_summary": f"WITH {PRED_SQL}, {_ERR} SELECT view, min(object) AS object, round(arg_min(mse, object), 6) AS mse, count(*) AS n_objects FROM e GROUP BY view",
+    "batch_summary": f"""WITH {PRED_SQL}, {_ERR}, {", ".join(f"{n} AS (SELECT object, {_A.format(least=5)} AS a FROM {_quad(f'SELECT object, time_s AS t, {c} AS v FROM {t}')})" for n, c, t in (("zt", "z", "traj"), ("zp", "z", "pred"), ("xt", "x", "traj"), ("xp", "x", "pred")))}
+        , c AS (SELECT zt.object, CASE WHEN zt.a + zp.a IS NULL THEN 0 ELSE 1 END + CASE WHEN xt.a + xp.a IS NULL THEN 0 ELSE 1 END AS k FROM zt JOIN zp ON zt.object = zp.object JOIN xt ON zt.object = xt.object JOIN xp ON zt.object = xp.object)
+        , g AS (SELECT view, min(object) AS object, round(arg_min(mse, object), 6) AS mse, count(*) AS n_objects FROM e GROUP BY view)
+        SELECT g.*, CAST(coalesce(k, 0) AS BIGINT) AS param_error_count, CAST(1 AS BIGINT) AS event_error_count FROM g LEFT JOIN c ON g.object = c.object""",
     "view_errors": f"WITH {PRED_SQL}, {_ERR} SELECT object, view, n_frames, round(mse, 6) AS mse FROM e",
     "style_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean_k, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS pass_rate FROM events GROUP BY event_type",
     "ranking": "SELECT row_number() OVER (ORDER BY score DESC, user_id) AS rank, user_id, score FROM (SELECT user_id, round(sum(value), 4) AS score FROM events GROUP BY user_id)",
@@ -167,7 +199,8 @@ ORACLE_SQL = {
     "spearman": f"WITH {_AXIS}, k AS (SELECT axis, rank() OVER (PARTITION BY axis ORDER BY target) + (count(*) OVER (PARTITION BY axis, target) - 1) / 2.0::DOUBLE AS target, rank() OVER (PARTITION BY axis ORDER BY estimate) + (count(*) OVER (PARTITION BY axis, estimate) - 1) / 2.0::DOUBLE AS estimate FROM ax) SELECT axis, round({_CORR}, 6) AS spearman FROM k GROUP BY axis",
     "monotonic_score": f"WITH {TRAJ_SQL}, s AS (SELECT object, z - lag(z) OVER (PARTITION BY object ORDER BY frame) AS d FROM traj) SELECT object, round(greatest(avg(CASE WHEN d >= -1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), avg(CASE WHEN d <= 1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS monotonic FROM s WHERE d IS NOT NULL GROUP BY object",
     "phase_report": f"WITH {_AXIS} SELECT count(*) AS n, round(avg(estimate), 6) AS mean_estimate, round({_CORR}, 6) AS pearson, round(regr_slope(estimate, target), 6) AS slope, round(regr_intercept(estimate, target), 6) AS intercept FROM ax",
-    "error_channel": "SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size * 2 END AS value, CASE WHEN p_size % 10 = 0 THEN 'ValueError: size ' || CAST(p_size AS VARCHAR) END AS error FROM part",
+    "error_channel": f"WITH {_OUTCOMES} SELECT * FROM o",
+    "error_counts": f"WITH {_OUTCOMES} SELECT event_type, count(*) - count(error) AS n_results, count(error) AS n_errors, count(DISTINCT error) AS n_messages FROM o GROUP BY event_type",
     "run_log_counts": "SELECT CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'skip' ELSE 'error' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "resume_pending": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')",
     "view_priority": f"WITH {TRAJ_SQL} SELECT object, view, event_id FROM traj QUALIFY row_number() OVER (PARTITION BY object ORDER BY CASE view WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, view, event_id) = 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameline.functions import prompts as P
 from frameline.functions import text as T
 from frameline.views import r6, table
 
@@ -69,10 +70,24 @@ def command_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
-    style = F.element_at(F.array(F.lit("short"), F.lit("explicit"), F.lit("story")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    size = T.short_number(F.col("p_size") / 8.0)
-    body = F.when(style == "short", F.concat(F.lit("A ball falls from "), size, F.lit(" m."))).when(style == "explicit", F.concat(F.lit("A ball of 0.1 m falls from "), size, F.lit(" m under 9.81 m/s2."))).otherwise(F.concat(F.lit("Somebody drops a ball from a height of "), size, F.lit(" m.")))
-    return _part(spark, d).select("p_partkey", style.alias("style"), body.alias("prompt"))
+    """Every part is a job of one of five tasks and three styles, with parameters from its size; odd sizes say how long the clip is."""
+    size = F.col("p_size").cast("double")
+    given = {"g": size / 5, "v0": F.col("p_size") % 3 * 1.5, "theta_deg": F.col("p_size") % 4 * 15.0, "k": size + 3, "L": size / 10, "alpha": F.col("p_size") % 3 - 1.0}
+    params = F.create_map(*[c for n, v in given.items() for c in (F.lit(n), v.cast("double"))])
+    clip = F.map_from_arrays(F.array(F.lit("duration_s")), F.array(size / 4))
+    params = F.when(F.col("p_size") % 2 == 1, F.map_concat(params, clip)).otherwise(params)
+    tasks, styles = list(P.LOOKS), [f for f, _ in P.FRAMES]
+    jobs = _part(spark, d).select(
+        "p_partkey", F.element_at(F.array(*[F.lit(t) for t in tasks]), (F.col("p_partkey") % 5 + 1).cast("int")).alias("task"),
+        F.element_at(F.array(*[F.lit(t) for t in styles]), (F.expr("p_partkey div 5") % 3 + 1).cast("int")).alias("style"), params.alias("params"),
+        F.when(F.col("p_size") % 7 == 0, F.create_map(F.lit("color"), F.lit("dark grey"))).otherwise(F.create_map().cast("map<string,string>")).alias("words"),
+    )
+    return P.build_prompts(jobs, *P.template_tables(spark)).select("p_partkey", "task", "style", "case", "prompt")
+
+
+def image_prompts(spark: SparkSession, d: str) -> DataFrame:
+    hidden = F.create_map(F.lit("g_hidden"), F.col("p_size") / 4.0)
+    return _part(spark, d).select("p_partkey", P.image_prompt(F.lit("v1_A"), hidden, F.col("p_partkey") % 2 == 0).alias("prompt"))
 
 
 def resize_area(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +95,22 @@ def resize_area(spark: SparkSession, d: str) -> DataFrame:
     return _part(spark, d).select("p_partkey", h.alias("height"), w.alias("width"))
 
 
-QUERIES = {f.__name__: f for f in (token_format, token_parse, path_parts, color_normalize, fmt_number, area_parse, longest_prefix_join, param_override, projectile_parts, command_lines, prompt_build, resize_area)}
+QUERIES = {f.__name__: f for f in (token_format, token_parse, path_parts, color_normalize, fmt_number, area_parse, longest_prefix_join, param_override, projectile_parts, command_lines, prompt_build, image_prompts, resize_area)}
 _SHORT = "CASE WHEN {v} = floor({v}) THEN CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR) ELSE regexp_replace(regexp_replace(printf('%.3f', {v}), '0+$', ''), '[.]$', '') END"
 _S8 = _SHORT.format(v="(p_size / 8.0::DOUBLE)")
+
+
+def _replaced(text: str, values: dict[str, str]) -> str:
+    for name, value in values.items():
+        text = f"replace({text}, '{{{name}}}', coalesce({value}, ''))"
+    return text
+
+
+_CYCLES = "CASE WHEN sec > 0 THEN CASE WHEN {w} * sec / (2 * pi()) < 1.5 THEN 'about 1' WHEN {w} * sec / (2 * pi()) < 2.5 THEN 'about 2' WHEN {w} * sec / (2 * pi()) < 3.5 THEN 'about 3' ELSE 'about ' || CAST(CAST(round_even({w} * sec / (2 * pi()), 0) AS BIGINT) AS VARCHAR) END ELSE 'several' END"
+_LOOK = lambda n: "CASE task " + " ".join(f"WHEN '{t}' THEN '{look[n]}'" for t, look in P.LOOKS.items()) + " END"
+_PLACES = {"colour": f"CASE WHEN p_size % 7 = 0 THEN 'dark grey' ELSE {_LOOK(0)} END", "object": _LOOK(1), "h0": "'3'", "x0": "'0'", "y0": "'1.2'", "m": "'1'", "amplitude": "'0.2'", "phi": "'0'", "theta": "'10'", "theta0": "'0'", "omega0": "'90'"}
+_PLACES |= {n: _SHORT.format(v=f"({v})") for n, v in {"g": "g", "fall_v0": "v0", "speed": "v0", "degrees": "deg", "vx": "v0 * cos(radians(deg))", "vy": "v0 * sin(radians(deg))", "k": "k", "length": "len", "alpha": "alpha", "omega": "sqrt(k)"}.items()}
+_PLACES |= {"spring_cycles": _CYCLES.format(w="sqrt(k)"), "pendulum_cycles": _CYCLES.format(w="sqrt(g / len)")}
 ORACLE_SQL = {
     "token_format": "SELECT p_partkey, replace(replace(CAST((p_size - 25) / 2.0::DOUBLE AS VARCHAR), '-', 'm'), '.', 'p') AS token FROM part",
     "token_parse": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN (p_size - 25) / 2.0::DOUBLE END AS value FROM part",
@@ -94,5 +122,13 @@ ORACLE_SQL = {
     "param_override": "SELECT p_partkey, p_size / 2.0::DOUBLE AS g, 0.5::DOUBLE AS e, 0.1::DOUBLE AS mu FROM part",
     "projectile_parts": "WITH v AS (SELECT p_partkey, p_size * cos(radians(p_partkey % 90)) AS vx, p_size * sin(radians(p_partkey % 90)) AS vz FROM part) SELECT p_partkey, round(vx, 6) AS vx, round(vz, 6) AS vz, round(degrees(atan2(vz, vx)), 6) AS angle FROM v",
     "command_lines": "SELECT p_partkey, 'run --name ' || CASE WHEN contains(p_name, ' ') THEN '\"' || p_name || '\"' ELSE p_name END || ' --size ' || CAST(p_size AS VARCHAR) AS command FROM part",
-    "prompt_build": f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'explicit' ELSE 'story' END AS style, CASE p_partkey % 3 WHEN 0 THEN 'A ball falls from ' || {_S8} || ' m.' WHEN 1 THEN 'A ball of 0.1 m falls from ' || {_S8} || ' m under 9.81 m/s2.' ELSE 'Somebody drops a ball from a height of ' || {_S8} || ' m.' END AS prompt FROM part",
+    "prompt_build": f"""WITH j AS (SELECT p_partkey, p_size, [{", ".join(f"'{t}'" for t in P.LOOKS)}][p_partkey % 5 + 1] AS task, [{", ".join(f"'{f}'" for f, _ in P.FRAMES)}][p_partkey // 5 % 3 + 1] AS style,
+            p_size / 5.0::DOUBLE AS g, p_size % 3 * 1.5::DOUBLE AS v0, p_size % 4 * 15.0::DOUBLE AS deg, p_size + 3.0::DOUBLE AS k, p_size / 10.0::DOUBLE AS len, p_size % 3 - 1.0::DOUBLE AS alpha, CASE WHEN p_size % 2 = 1 THEN p_size / 4.0::DOUBLE END AS sec FROM part),
+        c AS (SELECT *, CASE task WHEN 'free_fall' THEN CASE WHEN v0 = 0 THEN 'rest' ELSE 'thrown' END WHEN 'projectile' THEN CASE WHEN abs(v0 * sin(radians(deg))) < 1e-6 OR deg = 0 THEN 'level' ELSE 'upward' END WHEN 'rotation' THEN CASE WHEN alpha = 0 THEN 'steady' WHEN alpha > 0 THEN 'faster' ELSE 'slower' END ELSE 'any' END AS kind FROM j),
+        f AS (SELECT *, CASE style {" ".join(f"WHEN '{n}' THEN '{t}'" for n, t in P.FRAMES)} END AS frame FROM c),
+        t AS (SELECT *, {_replaced("frame", {part: "CASE " + " ".join(f"WHEN task = '{task}'{f" AND kind = '{case}'" if case else ''} THEN '{text}'" for task, case, q, text in P.TEXTS if q == part) + " END" for part in dict.fromkeys(q for _, _, q, _ in P.TEXTS)})} AS body FROM f)
+        SELECT p_partkey, task, style, kind AS "case", {_replaced("body", _PLACES)} AS prompt FROM t""",
+    "image_prompts": f"""SELECT p_partkey, 'Go on from the given picture: the same ball, camera, background and light. The ball is already falling. It keeps to one smooth vertical line, without a bounce. ' ||
+        CASE WHEN p_partkey % 2 = 0 THEN 'Gravity is ' || {_SHORT.format(v="(p_size / 4.0::DOUBLE)")} || ' m/s^2, and the fall should show it.' ELSE 'Gravity is not told; it follows from the picture.' END AS prompt FROM part""",
+    "resize_area": "WITH a AS (SELECT p_partkey, 0.5::DOUBLE + p_size / 50.0::DOUBLE AS aspect FROM part) SELECT p_partkey, CAST(floor(round_even(sqrt(399360 * aspect), 0) / 16) * 16 AS BIGINT) AS height, CAST(floor(round_even(sqrt(399360 / aspect), 0) / 16) * 16 AS BIGINT) AS width FROM a",
 }

@@ -138,6 +138,14 @@ def hard_constraints(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("strict_pass", scores.strict_pass(checks))
 
 
+def scaled_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """The same checks with a limit of the first speed that grows with the one asked for."""
+    checks = scores.hard_constraints(scaled_v0=True)
+    rows = _judged(_rows(spark, d)).withColumn("v0", F.col("object") % 9 / 2.0)
+    rows = rows.select("object", *[c.alias(n) for n, c in checks.items()])
+    return rows.select("object", "ok_v0", scores.strict_pass(checks).alias("strict_pass"))
+
+
 AXES = ("g", "v0", "h0")
 
 
@@ -225,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gap_interpolation, interpolated_counts, first_contact, precontact_mask, plateau_cut, contact_freeze, swept_crossing, rolling_angle, detection_rates, motion_spans, monotonic_rate, penetration,
-        bounce_height, scale_median, pixel_to_physical, pixel_to_diameters, deduction_score, weighted_score, sweep_video_score, hard_constraints, axis_score,
+        bounce_height, scale_median, pixel_to_physical, pixel_to_diameters, deduction_score, weighted_score, sweep_video_score, hard_constraints, scaled_constraints, axis_score,
     )
 }
 _FILL = """SELECT object, frame, found, event_id, coalesce({v}, CASE WHEN nf - pf - 1 <= 5 THEN pv + (nv - pv) * (i - pf) / (nf - pf) END) AS {v}_filled FROM (
@@ -257,5 +265,6 @@ ORACLE_SQL = {
     "weighted_score": f"WITH {_ALL} SELECT object, round(100 * ({_WEIGHTED}) / 0.95::DOUBLE, 4) AS score FROM every",
     "sweep_video_score": f"WITH {_ALL} SELECT object, round(100 * ({_SWEEP}), 4) AS score FROM every",
     "hard_constraints": f"WITH {_JUDGED}, k AS (SELECT object, " + ", ".join(f"({c}) AS {n}" for n, c in _CHECKS.items()) + " FROM judged) SELECT *, " + " AND ".join(f"coalesce({n}, TRUE)" for n in _CHECKS) + " AS strict_pass FROM k",
+    "scaled_constraints": f"WITH {_JUDGED}, k AS (SELECT object, " + ", ".join(f"({c}) AS {n}" for n, c in (_CHECKS | {"ok_v0": "v0_abs <= greatest(0.5::DOUBLE, 0.3::DOUBLE * abs(object % 9 / 2.0::DOUBLE) + 0.2::DOUBLE)"}).items()) + " FROM judged) SELECT object, ok_v0, " + " AND ".join(f"coalesce({n}, TRUE)" for n in _CHECKS) + " AS strict_pass FROM k",
     "axis_score": f"WITH {_AXIS_SCORE}",
 }

@@ -72,6 +72,16 @@ def paired_files(files: DataFrame, folder: str = "folder") -> DataFrame:
     return first.dropna(subset=list(kinds))
 
 
+def truth_files(files: DataFrame, root: str, versions: list[str], experiments: list[str] = (), variants: list[str] = ()) -> DataFrame:
+    """(version, experiment, variant, trajectory, params) of variants with both files at ``root/version/experiment/variant``. Empty filters of experiments and variants take all."""
+    parts = F.split(below(F.col("path"), root), "/")
+    placed = files.filter(F.size(parts) == 4).withColumns({n: F.get(parts, F.lit(k)) for k, n in enumerate(("version", "experiment", "variant"))})
+    chosen = included(placed.filter(F.col("version").isin(list(versions))), {"experiment": experiments, "variant": variants})
+    pairs = paired_files(chosen.select("path"))
+    parts = F.split(below(F.col("folder"), root), "/")
+    return pairs.select(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(("version", "experiment", "variant"))], "trajectory", "params")
+
+
 def preferred_file(files: DataFrame, exact: str = "trajectory.csv", never: str = "prompt.csv") -> DataFrame:
     """(folder, path): the exact name if a folder has it, else the first CSV by name other than ``never``."""
     name = F.element_at(F.split("path", "/"), -1)
