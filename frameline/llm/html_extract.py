@@ -6,7 +6,8 @@ rest ambiguous. The second pass gives each ambiguous block the label of its near
 that cannot hold an article (menus, footers, forms, scripts, hidden ones) leave no blocks. A class, id, role or label that as a whole names a
 part outside the article is evidence: blocks in such an element are bad in the first pass, unless the page would then have no
 text at all. Character references are decoded, white space inside a block becomes one space, and good blocks are
-joined in page order by a newline; nothing is dropped otherwise or capped.
+joined in page order by a newline; nothing is dropped otherwise or capped. A form is left out unless it holds most of the page's text, as where
+a page is written inside one; a head ends at its end tag or at the first thing that cannot be in it; where all text would be left out, only scripts and the like are.
 
 Edge cases: null and empty pages give an empty text; unclosed tags, stray end tags and unclosed comments end where the
 page ends; pages of any length and with any nesting are read once, in linear time (a tag's quoted value of more than 4,096
@@ -41,7 +42,9 @@ STOP_WORDS = {
 }
 # Elements by their role in a page.
 RAW = "script style textarea title xmp noembed noframes template".split()
-NEVER = set("head nav footer aside form button select option datalist iframe object svg math canvas map audio video dialog menu noscript script style template textarea title fieldset label input".split())
+NEVER = set("head nav footer aside button select option datalist iframe object svg math canvas map audio video dialog menu noscript script style template textarea title fieldset label input".split())
+SCRIPTS = set("head script style template title noscript iframe object svg math canvas map audio video datalist select option textarea".split())  # of NEVER, what holds no text to read at all
+OF_HEAD = set("title meta link base script style template noscript".split())  # anything else ends a head
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr label input br".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -50,11 +53,13 @@ OUTSIDE = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs sidebar sidebars side rail related recommended recommendations trending popular widget widgets share sharing social "
     "footer foot footnotes copyright header masthead topbar toolbar cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay paywall "
-    "newsletter subscribe subscription signup login search comment comments commentlist disqus discussion replies reply respond responses "
+    "newsletter subscribe subscription signup login search comment comments commentlist disqus discussion replies reply respond responses onetrust cc "
     "complementary contentinfo search pagination pager hidden tags tagcloud skip".split()
 )
 # Parts of a class or id that say where or how large, not what.
-NEUTRAL = set("site page main top bottom left right primary secondary global box bar block list item area section container wrapper wrap inner outer content widget module panel group row col links link text title heading form wide small large first last js".split())
+NEUTRAL = set("site page main top bottom left right primary secondary global box bar block list item area section container wrapper wrap inner outer content widget module panel group row col links link text title heading form wide small large first last js window reader readers user users visitor visitors latest all the law info sdk".split())
+# Parts of a header's class or id that say it is the article's own.
+OWN_HEADER = set("entry post article story".split())
 INSIDE = {"article", "main"}
 DEEP = 64  # open inline elements looked through for an open paragraph
 
@@ -82,6 +87,7 @@ class Block:
     heading: bool
     inside: bool
     outside: bool = False
+    form: bool = False
     label: str = ""
 
 
@@ -99,7 +105,10 @@ class Rules:
 def names_outside(name: str) -> bool:
     """Whether a class or id as a whole names a part outside the article: ``sidebar-left``, but not ``with-sidebar``."""
     parts = [w.lower() for w in _PART.findall(name)]
-    return any(w in OUTSIDE for w in parts) and all(w in OUTSIDE or w in NEUTRAL for w in parts)
+    told = {w for w in parts if w in OUTSIDE}
+    if told <= {"header"} and any(w in OWN_HEADER for w in parts):
+        return False
+    return bool(told) and all(w in OUTSIDE or w in NEUTRAL or w in OWN_HEADER for w in parts)
 
 
 def read_attrs(attrs: str) -> tuple[bool, bool]:
@@ -114,18 +123,24 @@ def read_attrs(attrs: str) -> tuple[bool, bool]:
     return hidden, outside
 
 
-def blocks_of(page: str) -> list[Block]:
+def own_header(attrs: str) -> bool:
+    """Whether a header's class or id says that it is the article's own."""
+    values = ["".join(v) for name, *v in _ATTR.findall(attrs) if name.lower() in ("class", "id")]
+    return any(p.lower() in OWN_HEADER for v in values for p in _PART.findall(v))
+
+
+def blocks_of(page: str, never: set[str] = NEVER) -> list[Block]:
     """The page's text blocks outside of elements that cannot hold an article."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether they are left out, whether their names are evidence
     open_tags: Counter[str] = Counter()
     text: list[str] = []
-    state = {"linked": 0, "links": 0, "inside": 0, "heading": 0, "header": 0, "out": 0, "outside": 0}
+    state = {"linked": 0, "links": 0, "inside": 0, "heading": 0, "header": 0, "out": 0, "outside": 0, "form": 0}
 
     def flush() -> None:
         body = _WHITE.sub(" ", html.unescape("".join(text))).strip()
         if body and (not state["header"] or state["heading"]):
-            out.append(Block(body, state["linked"], state["heading"] > 0, state["inside"] > 0, state["outside"] > 0))
+            out.append(Block(body, state["linked"], state["heading"] > 0, state["inside"] > 0, state["outside"] > 0, state["form"] > 0))
         text.clear()
         state["linked"] = 0
 
@@ -139,6 +154,8 @@ def blocks_of(page: str) -> list[Block]:
             state["inside"] += by
         elif tag == "header":
             state["header"] += by
+        elif tag == "form":
+            state["form"] += by
 
     def close(tag: str) -> None:
         while open_tags[tag]:
@@ -150,6 +167,8 @@ def blocks_of(page: str) -> list[Block]:
                 return
 
     def add(piece: str) -> None:
+        if piece and open_tags["head"] and stack[-1][0] == "head" and not piece.isspace():
+            close("head")
         if piece and not state["out"]:
             text.append(piece)
             if state["links"]:
@@ -170,6 +189,8 @@ def blocks_of(page: str) -> list[Block]:
         if m["end"] or m["end2"]:
             close(tag)
             continue
+        if open_tags["head"] and tag not in OF_HEAD:
+            close("head")
         if tag in VOID:
             continue
         if open_tags[tag] and (tag == "p" or tag == "li" or tag in HEADINGS):  # these close an open one of their kind
@@ -181,7 +202,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
         hidden, named = read_attrs(attrs) if attrs and tag not in ("body", "html") else (False, False)
-        left_out = tag in NEVER or (tag == "header" and not state["inside"]) or hidden
+        left_out = tag in never or (tag == "header" and not state["inside"] and never is NEVER and not own_header(attrs)) or hidden
         if attrs.endswith("/") and tag not in INLINE | {"p", "div"}:
             continue
         named = named and tag not in INSIDE
@@ -244,7 +265,10 @@ def label_blocks(blocks: list[Block], rules: Rules = Rules()) -> None:
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(page or "") or blocks_of(page or "", SCRIPTS)  # a page that is all menu or footer is what it says
+    in_forms = sum(len(b.text) for b in blocks if b.form)
+    if 2 * in_forms <= sum(len(b.text) for b in blocks):  # else the form is around the page
+        blocks = [b for b in blocks if not b.form]
     label_blocks(blocks)
     if any(b.outside for b in blocks) and not any(b.label == "good" for b in blocks):
         for b in blocks:  # names that would leave nothing say nothing

@@ -93,19 +93,17 @@ ORACLE_SQL: dict[str, str] = {
             SELECT m.chosen_id, m.rejected_id, s.turn, s.k, s.role, s.text, s.shown, 'rejected' AS part
             FROM marked m JOIN said s ON s.conv_id = m.rejected_id WHERE m.at_turn IS NOT NULL AND s.turn >= m.at_turn
         ), placed AS (
-            SELECT *, CAST(floor(turn / 64.0::DOUBLE) AS BIGINT) AS block,
-                sum(length(shown)) OVER (PARTITION BY chosen_id, rejected_id, CAST(floor(turn / 64.0::DOUBLE) AS BIGINT), part ORDER BY turn, k ROWS UNBOUNDED PRECEDING) AS stop
-            FROM parts
+            SELECT *, sum(length(shown)) OVER (PARTITION BY chosen_id, rejected_id, part ORDER BY turn, k ROWS UNBOUNDED PRECEDING) AS stop FROM parts
         ), spans AS (
             SELECT *, CASE WHEN role = 'assistant' THEN CAST(CAST(stop AS BIGINT) - length(text) - 8 AS VARCHAR) || '-' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END AS span FROM placed
         )
-        SELECT chosen_id, rejected_id, block, count(DISTINCT CASE WHEN part = 'prompt' THEN turn END) AS prompt_turns,
+        SELECT chosen_id, rejected_id, count(DISTINCT CASE WHEN part = 'prompt' THEN turn END) AS prompt_turns,
             coalesce(string_agg(CASE WHEN part = 'prompt' THEN shown END, '' ORDER BY turn, k), '') AS prompt,
             coalesce(string_agg(CASE WHEN part = 'chosen' THEN shown END, '' ORDER BY turn, k), '') AS chosen,
             coalesce(string_agg(CASE WHEN part = 'chosen' THEN span END, ',' ORDER BY turn, k), '') AS chosen_spans,
             CASE WHEN rejected_id IS NOT NULL THEN coalesce(string_agg(CASE WHEN part = 'rejected' THEN shown END, '' ORDER BY turn, k), '') END AS rejected,
             CASE WHEN rejected_id IS NOT NULL THEN coalesce(string_agg(CASE WHEN part = 'rejected' THEN span END, ',' ORDER BY turn, k), '') END AS rejected_spans
-        FROM spans GROUP BY chosen_id, rejected_id, block
+        FROM spans GROUP BY chosen_id, rejected_id
     """,
     "op6_warc": """
         WITH r AS (

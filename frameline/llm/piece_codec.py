@@ -135,15 +135,19 @@ class Codec:
         return self.model.encode("a" + " " * len(marks))[len(self.model.encode("a")) :]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether the library agrees. Words are kept as packed ids and joined, not copied id by id."""
+        """Ids of each text, and whether the library agrees with the agenda; where it does not, the ids are the library's. Words are kept as packed ids and joined, not copied id by id."""
         marked = self.normalized(texts)
         if (cut := self.vocabulary.cut) is None:
             ours = [np.array(self.vocabulary.merge(m), np.int32) for m in marked]
-            return ours, [a.tolist() == b for a, b in zip(ours, self.model.encode(texts, num_threads=1), strict=True)]
+            return self.settled(texts, ours, [a.tolist() == b for a, b in zip(ours, self.model.encode(texts, num_threads=1), strict=True)])
         parts = [cut.findall(m) for m in marked]
         self.remember({w for p in parts for w in p})
         ours = [np.frombuffer(b"".join([self.words[w] for w in p]), np.int32) for p in parts]
-        return ours, [not self.differ or self.differ.isdisjoint(p) for p in parts]
+        return self.settled(texts, ours, [not self.differ or self.differ.isdisjoint(p) for p in parts])
+
+    def settled(self, texts: list[str], ours: list[np.ndarray], agrees: list[bool]) -> tuple[list[np.ndarray], list[bool]]:
+        """The library's ids of texts where it may not agree."""
+        return [a if ok else np.array(self.model.encode(t, num_threads=1), np.int32) for t, a, ok in zip(texts, ours, agrees, strict=True)], agrees
 
 
 _CODECS: dict[str, Codec] = {}

@@ -5,9 +5,8 @@ pair ends before the first turn at which the two conversations differ; it is ren
 rendered as the chosen and the rejected completion, each with the spans (start inclusive, end exclusive, in code points of
 that completion) that a trainer scores: the text and end mark of the assistant's turns.
 
-A row holds at most ``BLOCK`` turns of each part, so no row or group grows with the number of a conversation's turns: common
-pairs have the one row ``block = 0``. The block is the operator's unit and its spans are relative to it; ``whole_pairs`` makes one row of each pair,
-for conversations that fit into one, with the prompt once and spans relative to the whole completion.
+``format_preferences`` renders in blocks of ``BLOCK`` turns, so that no step over turns grows with a conversation's length; ``whole_pairs`` joins a pair's blocks into
+its one record, with the prompt once and spans relative to the whole completion, as the registered query returns it.
 
 Pairs of a corpus come from ``pairs_by_opening``: of the conversations with equal first turns, the smallest id is the
 chosen one of a pair with each other conversation, which is the rejected one. A conversation whose opening is its own is

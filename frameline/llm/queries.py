@@ -16,7 +16,7 @@ from frameline.llm.merkle import fold_proof, leaf_digest, merkle_proofs, proof_d
 from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from frameline.llm.piece_codec import encode_pieces, piece_digests
-from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening
+from frameline.llm.preference_format import clean_turns, format_preferences, pairs_by_opening, whole_pairs
 from frameline.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt_turns
 from frameline.llm.token_counts import count_tokens
 from frameline.llm.toxicity import fit_machine, score_toxicity
@@ -35,7 +35,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = clean_turns(table(spark, sf_dir, "conversations"))
-    rows = format_preferences(turns, pairs_by_opening(turns))
+    rows = whole_pairs(format_preferences(turns, pairs_by_opening(turns)))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.format_string("%d-%d", s["start"], s["stop"])), ",")
     return rows.withColumns({c: F.when(F.col(c).isNotNull(), spans(c)) for c in ("chosen_spans", "rejected_spans")})
 
