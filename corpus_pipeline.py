@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which ``run`` writes as Parquet and reads as the next one's
 ``docs``. All but the last keep the columns of ``documents``. A stage only leaves rows out for what it decides about them: no
-rows are lost to null texts elsewhere, rows without an id stay, repeated rows stay unless the near-duplicate stage sees them as one document's copies,
-and an empty table passes through all stages.
+rows are lost to null texts elsewhere, the language stage decides by text, whatever the row's id; the next two decide by id, so rows without an id pass them; repeated rows stay unless the
+near-duplicate stage sees them as one document's copies, and an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -21,22 +21,23 @@ from frameline.llm.ngram_join import jaccard_components
 from frameline.llm.piece_codec import encode_pieces, piece_digests
 
 LEAST_LIKENESS = 0.35  # of a learned language's own texts, 1 on average; see the README for what was measured on either side
-SMALL_SIDE = 2_000_000  # ids that may be broadcast; more are joined by shuffle
+SMALL_SIDE = 500_000  # ids or digests that may be broadcast (about 50 MB); more are joined by shuffle
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    few = rejected.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    return docs.join(F.broadcast(rejected) if few else rejected, key, "left_anti").select(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out texts without a letter and texts that are like no learned language."""
     profile = fit_profiles(docs, "text", "lang")
-    found = predict_language(docs, "text", profile, keep=["doc_id"], likeness=True)
-    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("likeness") < LEAST_LIKENESS)).select("doc_id").distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)  # the decision is about a text, whatever its row's id
+    found = predict_language(docs.select("text", digest.alias("digest")), "text", profile, keep=["digest"], likeness=True)
+    rejected = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("likeness") < LEAST_LIKENESS)).select("digest").distinct()
     path = scratch_path(spark, "no-language")
     rejected.write.parquet(path)
-    return without_ids(docs, spark.read.schema(rejected.schema).parquet(path))
+    return without(docs.withColumn("digest", digest), "digest", spark.read.schema(rejected.schema).parquet(path)).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     extra = found.filter("doc_id <> component_id").select("doc_id").distinct()
     path = scratch_path(spark, "near-duplicates")
     extra.write.parquet(path)
-    return without_ids(docs, spark.read.schema(extra.schema).parquet(path))
+    return without(docs, "doc_id", spark.read.schema(extra.schema).parquet(path))
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     leaks = find_leaks(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
     path = scratch_path(spark, "leaked")
     leaks.select("doc_id").distinct().write.parquet(path)
-    return without_ids(docs, spark.read.schema("doc_id long").parquet(path))
+    return without(docs, "doc_id", spark.read.schema("doc_id long").parquet(path))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
