@@ -5,8 +5,9 @@
    few marks for any item of their size are left out; that loses none. Every other window, aligned with an item or not, is fingerprinted.
 2. A fingerprint has ``64 * WORDS`` bits: a bit is set where more than half of the shingles' weight has it. A weight is how often the
    window has the shingle. Windows of equal shingles are fingerprinted once.
-3. Fingerprints are cut into blocks of 16 bits. Items are indexed under all block values within ``NEAR`` bits, so every window and item
-   of one size within ``RADIUS`` bits meet in some block. Only pairs that meet there and are within the radius go on.
+3. Fingerprints are cut into blocks of 16 bits, two of which are a pair. Within ``RADIUS`` bits, some pair of blocks differs in at most ``PAIR`` bits, and one of
+   its blocks in at most ``NEAR``. Items are indexed under all block values within ``NEAR`` bits, and a window meets an item of its size there
+   only if the pair is as near as that. So every two within the radius meet, and of others one in 120 by chance instead of one in six by single blocks.
 4. Pairs are verified: sum of least weights over sum of largest weights is ``similarity`` or more.
 
 At a similarity of 0.8 a bit differs with probability 0.152 (the angle of vectors of cosine 8/9), 39 of 256 bits on average with a standard deviation
@@ -30,6 +31,7 @@ from frameline.llm.common import SPACE_CLASS, written
 WORDS, NEAR = 4, 3
 BLOCKS = 4 * WORDS
 RADIUS = BLOCKS * NEAR + BLOCKS - 1
+PAIR = RADIUS // (BLOCKS // 2)  # bits in which the nearest pair of blocks differs at most
 RUN = 256  # windows cut from a text in one row at most
 SMALL_SIDE = 1_000_000  # rows that may be broadcast; larger sides are joined by shuffle
 PRINT = [f"f{k}" for k in range(WORDS)]
@@ -69,25 +71,28 @@ def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _blocks() -> Column:
-    """Array of (block, value) of a fingerprint."""
-    parts = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(PRINT[b // 4], 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("value")) for b in range(BLOCKS)]
+    """Array of (block, value, other) of a fingerprint; ``other`` is the value of the block that is paired with it."""
+    value = lambda b: F.shiftrightunsigned(PRINT[b // 4], 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    parts = [F.struct(F.lit(b).alias("block"), value(b).alias("value"), value(b ^ 1).alias("other")) for b in range(BLOCKS)]
     return F.explode(F.array(*parts))
 
 
-def near_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (window, item) of ``windows(window, size, f...)`` and ``items(item, size, f...)`` of equal size within ``RADIUS``.
-
-    Rows of the index and of its probes hold block values only; fingerprints are joined to the distinct pairs that meet.
-    """
+def meeting_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (window, item) of ``windows(window, size, f...)`` and ``items(item, size, f...)`` of equal size that have a pair of blocks within ``PAIR`` bits."""
     masks = F.lit([x for x in range(1 << 16) if x.bit_count() <= NEAR])  # 697 numbers, as one constant
-    index = items.select("item", "size", _blocks().alias("b")).select("item", "size", "b.block", F.col("b.value").alias("own"), F.explode(masks).alias("mask"))
-    index = index.select("item", F.col("size").alias("of"), "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = windows.select("window", F.col("size").alias("of"), _blocks().alias("b")).select("window", "of", "b.block", "b.value")
-    # Spark would judge both sides by the tables that they are exploded from, and broadcast them.
-    met = probes.join(index.hint("merge"), ["block", "value", "of"]).select("window", "item").distinct()
+    index = items.select("item", "size", _blocks().alias("b")).select("item", F.col("size").alias("of"), "b.*", F.explode(masks).alias("mask"))
+    index = index.select("item", "of", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), F.col("other").alias("own"), (PAIR - F.bit_count("mask")).alias("left"))
+    probes = windows.select("window", F.col("size").alias("of"), _blocks().alias("b")).select("window", "of", "b.*").alias("p")
+    index = index.hint("merge").alias("i")  # Spark would judge both sides by the tables that they are exploded from, and broadcast them
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}") == F.col(f"i.{c}") for c in ("block", "value", "of")])
+    return probes.join(index, same & (F.bit_count(F.col("p.other").bitwiseXOR(F.col("i.own"))) <= F.col("i.left"))).select("window", "item").distinct()
+
+
+def near_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (window, item) of equal size within ``RADIUS``. Rows of the index and of its probes hold block values only; fingerprints are joined to the pairs that meet."""
     left, right = windows.select("window", *PRINT), items.select("item", *[F.col(f).alias(f"g{k}") for k, f in enumerate(PRINT)])
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"g{k}"))) for k, f in enumerate(PRINT)])
-    return met.join(left, "window").join(_small(right), "item").filter(apart <= RADIUS).select("window", "item")
+    return meeting_fingerprints(windows, items).join(left, "window").join(_small(right), "item").filter(apart <= RADIUS).select("window", "item")
 
 
 def least_common(width: Column, item: Column, similarity: float) -> Column:
