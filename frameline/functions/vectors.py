@@ -35,6 +35,9 @@ def above_floor(y: Column, floor: float, radius: Column) -> Column:
     return F.greatest(y, radius + floor)
 
 
-def floor_run(configured: Column, end_speed: Column, friction: Column, gravity: float = 9.81, margin: float = 1.5) -> Column:
-    """Length of floor that a sliding block needs: as configured, or its way to the stop and a margin if that is longer."""
-    return F.greatest(configured, end_speed * end_speed / (2 * friction * gravity) + margin)
+def floor_run(configured: Column, ramp_length: Column, degrees: Column, friction: Column, gravity: float = 9.81, margin: float = 1.5) -> Column:
+    """Length of floor that a block needs which slides down a ramp from rest: as configured, or its way to the stop and a margin if that is longer."""
+    angle = F.radians(degrees)
+    down = F.greatest(F.lit(0.08), gravity * (F.sin(angle) - friction * F.cos(angle)))  # a ramp too flat to slide down is taken as one that barely is not
+    speed = F.sqrt(2 * down * ramp_length) * F.cos(angle)
+    return F.greatest(configured, speed * speed / (2 * F.greatest(F.lit(1e-6), friction * gravity)) + margin)

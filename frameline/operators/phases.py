@@ -67,6 +67,21 @@ def ramp_and_floor(rows: DataFrame, keys: list[str], t: str, x: str, z: str, deg
     return out.select(*keys, "break_at", F.col("slope_before").alias("a_ramp"), (-F.col("slope_after")).alias("a_floor"), "mu", "ramp_error")
 
 
+def slide_friction(rows: DataFrame, keys: list[str], t: str, x: str, gravity: float = 9.81, still: float = 0.01, least: int = 3) -> DataFrame:
+    """(keys, stops_at, v0, mu): friction of a slide along x. Of a track that comes to rest, from its first speed, by a line through the speeds before that, and the time to the
+    first step slower than ``still``; of one that does not, from the slope of the speed."""
+    moving = speeds(rows, keys, t, [x], "__v")
+    starts = rows.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.min(t).alias("__from"))
+    stops = moving.groupBy(*keys).agg(F.min(F.when(F.abs("__v") < still, F.col(t))).alias("stops_at")).join(starts, keys)
+    met = moving.join(stops, keys).withColumn("__used", F.col("stops_at").isNull() | (F.col(t) < F.col("stops_at")))
+    at, speed = F.when(F.col("__used"), F.col(t) - F.col("__from")), F.when(F.col("__used"), F.abs("__v"))
+    enough = F.count_if("__used") >= least
+    fit = met.groupBy(*keys, "stops_at", "__from").agg(F.when(enough, F.regr_intercept(speed, at)).alias("v0"), F.when(enough, F.regr_slope(speed, at)).alias("__a"))
+    lasts = F.col("stops_at") - F.col("__from")
+    mu = F.when(F.col("stops_at").isNull(), -F.col("__a") / gravity).when(lasts > TINY, F.col("v0") / (gravity * lasts))
+    return fit.select(*keys, "stops_at", "v0", F.when(mu.isNotNull(), F.greatest(F.lit(0.0), mu)).alias("mu"))
+
+
 def flights(rows: DataFrame, keys: list[str], t: str, height: str, reach: float) -> DataFrame:
     """The rows with ``flight``, the number of contacts before: rows at which the height has a low of at most ``reach``. Rows of contact, which may be on either side of it, are left out."""
     track = Window.partitionBy(*keys).orderBy(t)

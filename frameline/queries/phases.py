@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameline.functions.vectors import above_floor, floor_run
 from frameline.operators import phases
 from frameline.queries.motion import _A, _B, _C, _quad
-from frameline.views import TRAJ_SQL, trajectory
+from frameline.views import TRAJ_SQL, table, trajectory
 
 KEYS = ["object"]
 RAMP, TILT, PLANE, LENGTH, LEVEL, REACH = 20.0, 8.0, (50.0, 60.0), 2.3, 60.0, 70.0
@@ -38,6 +39,24 @@ def ramp_floor_friction(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(phases.ramp_and_floor(_track(spark, d), KEYS, "t", "x", "z", RAMP), KEYS, 3)
 
 
+def slide_friction(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of under 60 a second count as rest."""
+    return _rounded(phases.slide_friction(_track(spark, d), KEYS, "t", "x", still=60.0), KEYS, 3)
+
+
+def ball_heights(spark: SparkSession, d: str) -> DataFrame:
+    """Where a ball is drawn: never deeper than its place on the floor."""
+    rows = trajectory(spark, d)
+    return rows.select("event_id", above_floor(F.col("z"), LEVEL, F.col("object") % 5 / 10.0).alias("height"))
+
+
+def floor_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The floor that each part's block needs, by its ramp and friction."""
+    size = F.col("p_size").cast("double")
+    run = floor_run(F.lit(6.0), size / 10, 10 + F.col("p_partkey") % 3 * 10.0, size / 100)
+    return _rounded(table(spark, d, "part").select("p_partkey", run.alias("floor_run")), ["p_partkey"], 6)
+
+
 def tilted_restitution(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(phases.tilted_restitution(_track(spark, d), KEYS, "t", "x", "z", TILT, PLANE, reach=10.0), KEYS, 3)
 
@@ -63,7 +82,7 @@ def wall_recovery(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(phases.wall_recovery(_track(spark, d), KEYS, "t", "x", "z", RAMP), KEYS, 3)
 
 
-QUERIES = {f.__name__: f for f in (speed_break, ramp_floor_friction, tilted_restitution, projectile_gravity, unwrapped_angles, swing_recovery, two_ball_collision, wall_recovery)}
+QUERIES = {f.__name__: f for f in (speed_break, ramp_floor_friction, slide_friction, ball_heights, floor_lengths, tilted_restitution, projectile_gravity, unwrapped_angles, swing_recovery, two_ball_collision, wall_recovery)}
 
 _K = f"{TRAJ_SQL}, k AS (SELECT object, frame / 24.0::DOUBLE AS t, x, z FROM traj), steps AS (SELECT object, t - dt / 2 AS t, dx / dt AS v, sqrt(dx * dx + dz * dz) / dt AS speed FROM (SELECT object, t, t - lag(t) OVER w AS dt, x - lag(x) OVER w AS dx, z - lag(z) OVER w AS dz FROM k WINDOW w AS (PARTITION BY object ORDER BY t)) WHERE dt > 0)"
 
@@ -97,6 +116,14 @@ ORACLE_SQL = {
     "speed_break": f"WITH {_K}, {_breaks('steps')} SELECT object, round(break_at, 3) AS break_at, n_before, n_after, round(slope_before, 3) + 0.0 AS slope_before, round(slope_after, 3) + 0.0 AS slope_after, round(squares, 3) AS squares FROM best",
     "ramp_floor_friction": f"""WITH {_K}, {_breaks('steps')}, f AS (SELECT *, greatest(0, -slope_after / 9.81::DOUBLE) AS mu FROM best)
         SELECT object, round(break_at, 3) AS break_at, round(slope_before, 3) + 0.0 AS a_ramp, round(-slope_after, 3) + 0.0 AS a_floor, round(mu, 3) AS mu, round(abs(slope_before - 9.81::DOUBLE * ({_RS}::DOUBLE - {_RC}::DOUBLE * mu)) / abs(9.81::DOUBLE * ({_RS}::DOUBLE - {_RC}::DOUBLE * mu)), 3) AS ramp_error FROM f""",
+    "slide_friction": f"""WITH {_K}, h AS (SELECT object, min(CASE WHEN abs(v) < 60 THEN t END) AS stop FROM steps GROUP BY object), b AS (SELECT object, min(t) AS start FROM k GROUP BY object),
+        u AS (SELECT s.object, stop, start, s.t - start AS tau, abs(v) AS v, stop IS NULL OR s.t < stop AS used FROM steps s JOIN h ON s.object = h.object JOIN b ON s.object = b.object),
+        f AS (SELECT object, stop, start, CASE WHEN count(CASE WHEN used THEN 1 END) >= 3 THEN regr_intercept(CASE WHEN used THEN v END, CASE WHEN used THEN tau END) END AS v0, CASE WHEN count(CASE WHEN used THEN 1 END) >= 3 THEN regr_slope(CASE WHEN used THEN v END, CASE WHEN used THEN tau END) END AS a FROM u GROUP BY object, stop, start),
+        m AS (SELECT *, CASE WHEN stop IS NULL THEN -a / 9.81::DOUBLE WHEN stop - start > 1e-12 THEN v0 / (9.81::DOUBLE * (stop - start)) END AS raw FROM f)
+        SELECT object, round(stop, 3) AS stops_at, round(v0, 3) + 0.0 AS v0, round(CASE WHEN raw IS NOT NULL THEN greatest(0::DOUBLE, raw) END, 3) AS mu FROM m""",
+    "ball_heights": f"WITH {TRAJ_SQL} SELECT event_id, greatest(z, object % 5 / 10.0::DOUBLE + {LEVEL}::DOUBLE) AS height FROM traj",
+    "floor_lengths": """WITH p AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS len, radians(10 + p_partkey % 3 * 10.0::DOUBLE) AS a, p_size / 100.0::DOUBLE AS mu FROM part),
+        v AS (SELECT *, sqrt(2 * greatest(0.08::DOUBLE, 9.81::DOUBLE * (sin(a) - mu * cos(a))) * len) * cos(a) AS v FROM p) SELECT p_partkey, round(greatest(6::DOUBLE, v * v / (2 * greatest(1e-6::DOUBLE, mu * 9.81::DOUBLE)) + 1.5::DOUBLE), 6) AS floor_run FROM v""",
     "tilted_restitution": f"""WITH {_K}, turned AS (SELECT object, t, (x - {PLANE[0]}) * {_COS}::DOUBLE + (z - {PLANE[1]}) * {_SIN}::DOUBLE AS s, (x - {PLANE[0]}) * {-_SIN}::DOUBLE + (z - {PLANE[1]}) * {_COS}::DOUBLE AS h FROM k),
         {_flights('turned', 'h', 10.0)}, {_ends('h', 0.0)},
         slides AS (SELECT object, flight, a AS sa, b - 2*a*m AS sb FROM (SELECT object, flight, n, m, {_A.format(least=3)} AS a, {_B} AS b FROM {_quad('SELECT object, flight, t, s AS v FROM parts', 'object, flight')})),

@@ -21,7 +21,10 @@ def params_documents(rows: DataFrame, hidden: list[str], known: list[str]) -> Da
     return rows.select("experiment_id", F.to_json(F.struct("experiment_id", "fps", "frame_end", pick(hidden).alias("hidden_params"), pick(known).alias("known_params"), "all_physics")).alias("document"))
 
 
-def write_table(rows: DataFrame, path: str) -> None:
+def write_table(rows: DataFrame, path: str, empty: bool = False) -> None:
+    """CSV with a header. Without rows nothing is written, and what is there stays; or (``empty``) a table without rows is."""
+    if not empty and rows.isEmpty():
+        return
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 

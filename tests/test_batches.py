@@ -119,3 +119,14 @@ def test_sizes_of_an_area(spark):
         got = spark.createDataFrame([(a, r) for a, r, k in rows if k == m], "a long, r double").select("a", "r", *[c.alias(n) for c, n in zip(resized(F.col("a"), F.col("r"), m), ("h", "w"), strict=True)]).collect()
         for r in got:
             assert (r["h"], r["w"]) == (round(math.sqrt(r["a"] * r["r"])) // m * m, round(math.sqrt(r["a"] / r["r"])) // m * m)
+
+
+def test_tables_without_rows(spark, tmp_path):
+    from frameline.sources.writers import write_table
+
+    rows, path = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "table")
+    write_table(rows, path)
+    write_table(rows.limit(0), path)
+    assert spark.read.csv(path, header=True).count() == 1
+    write_table(rows.limit(0), path, empty=True)
+    assert spark.read.schema("k int, v string").csv(path, header=True).count() == 0

@@ -24,8 +24,9 @@ def one(df):
 
 
 def test_vectors(spark):
-    r = spark.range(1).select(dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(-1.0))).alias("d"), above_floor(F.lit(0.1), 1.0, F.lit(0.5)).alias("y"), floor_run(F.lit(4.0), F.lit(6.0), F.lit(0.3)).alias("long"), floor_run(F.lit(40.0), F.lit(6.0), F.lit(0.3)).alias("set")).first()
-    assert (r["d"], r["y"], r["set"]) == (1.0, 1.5, 40.0) and r["long"] == pytest.approx(36 / (2 * 0.3 * 9.81) + 1.5)
+    r = spark.range(1).select(dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(-1.0))).alias("d"), above_floor(F.lit(0.1), 1.0, F.lit(0.5)).alias("y"), floor_run(F.lit(4.0), F.lit(3.0), F.lit(20.0), F.lit(0.1)).alias("long"), floor_run(F.lit(40.0), F.lit(3.0), F.lit(20.0), F.lit(0.1)).alias("set")).first()
+    down = 9.81 * (math.sin(math.radians(20)) - 0.1 * math.cos(math.radians(20)))
+    assert (r["d"], r["y"], r["set"]) == (1.0, 1.5, 40.0) and r["long"] == pytest.approx(2 * down * 3 * math.cos(math.radians(20)) ** 2 / (2 * 0.981) + 1.5)
 
 
 def test_breaks_equal_every_break_tried_anew(spark):
@@ -67,6 +68,18 @@ def test_friction_of_ramp_and_floor(spark):
         assert got[k]["mu"] == pytest.approx(mu, abs=2e-3) and got[k]["ramp_error"] < 0.02
 
 
+def test_friction_of_slides_that_stop_and_that_do_not(spark):
+    rows = []
+    for k, mu, v0 in ((1, 0.3, 5.0), (2, 0.04, 5.0), (3, 0.0, 2.0)):
+        end = v0 / (mu * 9.81) if mu else math.inf
+        rows += [(k, i / FPS, v0 * min(i / FPS, end) - 0.5 * mu * 9.81 * min(i / FPS, end) ** 2, 0.0) for i in range(400)]
+    rows += [(4, i / FPS, 1.0, 0.0) for i in range(9)] + [(5, 0.0, 1.0, 0.0)]
+    got = one(phases.slide_friction(track(spark, rows), ["k"], "t", "x"))
+    assert got[1]["mu"] == pytest.approx(0.3, rel=1e-2) and got[1]["v0"] == pytest.approx(5.0, rel=1e-6) and got[1]["stops_at"] == pytest.approx(5 / (0.3 * 9.81), abs=2 / FPS)
+    assert got[2]["mu"] == pytest.approx(0.04, abs=1e-9) and got[2]["stops_at"] is None and got[3]["mu"] == pytest.approx(0.0, abs=1e-9)
+    assert got[4]["mu"] is None and 5 not in got
+
+
 def bounces(e, g=9.81, v=6.0, seconds=6.0):
     t0 = 0.0
     while t0 < seconds and v > 0.3:
