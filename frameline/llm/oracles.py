@@ -105,6 +105,19 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN rejected_id IS NOT NULL THEN coalesce(string_agg(CASE WHEN part = 'rejected' THEN span END, ',' ORDER BY turn, k), '') END AS rejected_spans
         FROM spans GROUP BY chosen_id, rejected_id
     """,
+    # Every two different sets that share a shingle are compared, and links are followed until nothing new is reached.
+    "op5_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM d
+        ), n AS (SELECT doc_id, count(*) AS n_shingles, md5(string_agg(g, chr(10) ORDER BY g)) AS body FROM s GROUP BY doc_id
+        ), b AS (SELECT body, min(doc_id) AS a, any_value(n_shingles) AS n FROM n GROUP BY body
+        ), h AS (SELECT b.a, b.n, s.g FROM b JOIN s ON s.doc_id = b.a
+        ), l AS (SELECT x.a, y.a AS z FROM h x JOIN h y ON x.g = y.g AND x.a <> y.a GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+        ), r AS (SELECT a, a AS z FROM b UNION SELECT r.a, l.z FROM r JOIN l ON r.z = l.a
+        ), c AS (SELECT a, min(z) AS component_id FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN b ON b.body = n.body LEFT JOIN c ON c.a = b.a
+    """,
     "op6_warc": """
         WITH r AS (
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
