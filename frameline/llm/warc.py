@@ -9,7 +9,7 @@ own, and list them in a manifest that Spark commits; what a lost or repeated tas
 and is not read. Archives are read back with Spark's binary file reader.
 
 Edge cases: a null payload is the empty payload; equal rows with the same largest id are all responses; null ids and
-urls are kept as null; records of under 1,000 bytes in all give an archive without a dictionary; a payload of any size is one record;
+urls are kept as null; a url that is no URI is escaped in the target and kept whole in a header of its own; records of under 1,000 bytes in all give an archive without a dictionary; a payload of any size is one record;
 other columns, of any name, play no part; an empty table gives no archive and an empty result.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPABLE = 0x184D2A5D  # magic number of the frame that holds the dictionary
+URI_MARKS = ":/?#[]@!$&'()*+,;=~-._"  # what a URI may hold besides letters, digits and escapes
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -61,12 +63,19 @@ def classify_records(pages: DataFrame, key: str, url: str, payload: str, revisit
     )
 
 
+def target_uri(url: str) -> str:
+    """``url`` as a URI: its escapes stay as they are, and what no URI may hold is escaped."""
+    return re.sub("%(?![0-9A-Fa-f]{2})", "%25", quote(url, safe=URI_MARKS + "%"))
+
+
 def record_bytes(row: dict, date: str) -> bytes:
     """One WARC 1.1 record."""
     digest = base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
     head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{'' if row['page_id'] is None else row['page_id']}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if row["url"] is not None:
-        head.append(f"WARC-Target-URI: {quote(row['url'], safe=':/?#[]@!$&()*+,;=~-._' + chr(39))}")
+        head.append(f"WARC-Target-URI: {target_uri(row['url'])}")
+        if target_uri(row["url"]) != row["url"]:
+            head.append(f"X-Source-URL: {quote(row['url'], safe=URI_MARKS)}")
     if row["record_type"] == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {row['payload_bytes']}"]
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -173,7 +182,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     else:
                         size, digest = int(head["X-Payload-Length"]), base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     own = head["WARC-Record-ID"]
-                    rows.append((path.rsplit("/", 1)[-1], None if own == "<urn:page:>" else page(own), unquote(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None, size, digest, kind, page(head.get("WARC-Refers-To")), payload if with_payload else None))
+                    rows.append((path.rsplit("/", 1)[-1], None if own == "<urn:page:>" else page(own), unquote(head["X-Source-URL"]) if "X-Source-URL" in head else head.get("WARC-Target-URI"), size, digest, kind, page(head.get("WARC-Refers-To")), payload if with_payload else None))
                 names = ["archive", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
