@@ -45,7 +45,7 @@ from __future__ import annotations
 
 import heapq
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -57,9 +57,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameline.llm.common import arrow_rows, kept, release_memory, written
+from frameline.llm.text_classes import fit_classes, text_shares, unit_classes
 
 ORDERS = (1, 2, 3, 4, 6, 64)  # bytes of context; the last has all bytes since the unit's start
-BITS = (16, 19, 21, 22, 23, 23)  # of each predictor's table
+BY_CLASS = (True, True, True, True, False, True)  # whether a context holds the class of what came before the unit
+BITS = (18, 20, 21, 22, 23, 23)  # of each predictor's table
 SLOTS = tuple(1 << b for b in BITS)
 K = len(ORDERS)
 END = 0xFF  # the byte that ends a text, which UTF-8 never uses
@@ -148,8 +150,12 @@ class Names:
         back = np.zeros(256, np.uint8)
         for byte, letter in TERMINATORS.items():
             back[ord(letter)] = byte
+        self.by_class = np.zeros(len(units), np.uint64)
         if len(units):
             self.buf[self.last - 1] = back[self.buf[self.last - 1]]
+            start = self.buf[self.first] - np.uint8(ord("0"))
+            self.by_class = (start >> 2).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+            self.buf[self.first] = (start & 3) + np.uint8(ord("0"))
         coded = np.ones(self.buf.size, bool)
         coded[self.first] = False
         self.places = np.flatnonzero(coded)
@@ -159,7 +165,8 @@ class Names:
         """For each depth of the tree: the places still coded there, their bits and their slots in each table."""
         places, start = self.places, self.first[self.owner[self.places]]
         symbols = self.buf[places]
-        hashes = [prefix_hashes(self.buf, np.maximum(start, places - k), places) + np.uint64(k) for k in ORDERS]
+        by_class = self.by_class[self.owner[places]]
+        hashes = [prefix_hashes(self.buf, np.maximum(start, places - k), places) + np.uint64(k) + (by_class if own else np.uint64(0)) for k, own in zip(ORDERS, BY_CLASS, strict=True)]
         for d in range(TREE.depth):
             if d:
                 keep = np.flatnonzero(TREE.length[symbols] > d)
@@ -290,7 +297,7 @@ def phrases_of(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     return last - start, text[start], scrambled(context * _ODD + np.uint64(3)), scrambled((context ^ np.uint64(5)) * _INVERSE + own)
 
 
-def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray, classes: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Distinct unit names from frequent to rare, their counts in training texts, the unit numbers, sizes and coded bytes of texts, and
     the phrases: units, texts, and two keys of each."""
     hashes, seen, total, spans, bodies, numbers, per_text, coded, phrases, base, at = [], [], [], [], [], [], [], [], [], 0, 0
@@ -299,6 +306,7 @@ def block_units(data: np.ndarray, ends: np.ndarray, train: np.ndarray) -> tuple[
         n = max(1, int(np.searchsorted(ends[at:], begins[at] + STRETCH, side="right")))
         buf, first, last, kind, text = units_of(data[begins[at] : begins[at + n]], ends[at : at + n] - begins[at])
         words = prefix_hashes(buf, first, last)
+        kind += (4 * unit_classes(buf, first, text, classes)).astype(np.uint8)
         phrases.append(phrases_of(words, text))
         phrases[-1][1][:] += at
         coded.append(np.bincount(text, last - first + 1, n).astype(np.int64))
@@ -391,7 +399,7 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
 
 
-def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray, phrases: tuple[np.ndarray, ...], rates: np.ndarray) -> np.ndarray:
+def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray, phrases: tuple[np.ndarray, ...], rates: np.ndarray, refine: Sequence[float]) -> np.ndarray:
     """log10 probability of each text: units refined by the text's own earlier ones, and phrases by what followed elsewhere."""
     text = np.repeat(np.arange(per_text.size), per_text)
     key = text * (int(sequence.max(initial=0)) + 1) + sequence
@@ -414,13 +422,13 @@ def refined_scores(sequence: np.ndarray, per_text: np.ndarray, log_p: np.ndarray
         return np.bincount(owner, np.where(known & (n_both > 0), np.logaddexp(spelled / LOG_E, copied / LOG_E) * LOG_E, spelled), per_text.size)
 
     ways = [total(plain)]
-    for t in REFINE:
+    for t in refine:
         ways.append(total(np.where(before > 0, np.log10((before + t * p) / t), plain) + np.log10(t / (so_far + t))))
     best = np.max(ways, axis=0)
     return best + np.log10(np.mean([10.0 ** (w - best) for w in ways], axis=0))
 
 
-def gather(docs: DataFrame, keys: list[str]) -> DataFrame:
+def gather(docs: DataFrame, keys: list[str], classes: np.ndarray) -> DataFrame:
     """Blocks of ``docs(keys..., __text, __train)`` with their distinct units and phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +441,7 @@ def gather(docs: DataFrame, keys: list[str]) -> DataFrame:
             offsets = _offsets(text)
             data, ends = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
             train = np.array(rows.column("__train").to_pylist(), bool)
-            units, seen, sequence, per_text, coded, phrases = block_units(data, ends, train)
+            units, seen, sequence, per_text, coded, phrases = block_units(data, ends, train, classes)
             body = _pack(rows.select([*keys, "__train"]), sequence, per_text, coded)
             packed, own, own_seen = pack_phrases(phrases, train)
             number += 1
@@ -658,18 +666,19 @@ def _shares(bodies: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return n_word, log_p
 
 
-def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> DataFrame:
+def score_texts(docs: DataFrame, text: str, train: str, keys: list[str], refine: Sequence[float] = REFINE, by_phrase: bool = True) -> DataFrame:
     """``keys``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``n_bytes``, ``bits_per_byte``.
 
     Tokens are lower-cased words and one end for each text. The base score is the unigram log10 probability with 0.5
-    added to every count.
+    added to every count. Without ``refine`` and ``by_phrase``, the score is the mixed bit predictors' alone.
     """
     spark = docs.sparkSession
     made = ["train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
     rows = docs.select(*kept(keys, [*made, "__text", "__train"]), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"), F.coalesce(F.col(f"`{train}`"), F.lit(False)).alias("__train"))
     keys = rows.columns[:-2]
     with arrow_rows(spark, 512):
-        gathered = written(gather(rows, keys), "lm-blocks")
+        classes = fit_classes(written(text_shares(rows.filter("__train"), "__text", LOWER), "lm-shares"))
+        gathered = written(gather(rows, keys, classes), "lm-blocks")
     counted = written(unit_counts(gathered), "lm-units")
     sums = counted.filter("new_word").agg(F.coalesce(F.sum("n_word"), F.lit(0)).alias("n"), F.count_if(F.col("n_word") > 0).alias("v")).first()
     total, distinct = sums["n"], sums["v"]
@@ -679,7 +688,7 @@ def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> Data
     weights, refined = learn(units, shared)
     model = spark.sparkContext.broadcast((weights, refined))
     totals = written(phrase_totals(gathered), "lm-phrases")
-    rates = phrase_rates(gathered, totals)
+    rates = phrase_rates(gathered, totals) if by_phrase else np.zeros(PHRASE_GATES)
     schema = T.StructType(
         [*(rows.schema[k] for k in keys), T.StructField("train", T.BooleanType())]
         + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")]
@@ -697,7 +706,7 @@ def score_texts(docs: DataFrame, text: str, train: str, keys: list[str]) -> Data
             phrases = phrase_state(packed.as_py(), per_text.size, _key_totals(own.filter(pa.array(of_phrase)).column("body"), size))
             text = np.repeat(np.arange(per_text.size), per_text)
             add = lambda v: np.bincount(text, v[sequence], per_text.size)
-            coded, base = refined_scores(sequence, per_text, log_p, phrases, rates), add(np.log10(n_word + 0.5)) - per_text * denominator
+            coded, base = refined_scores(sequence, per_text, log_p, phrases, rates, refine), add(np.log10(n_word + 0.5)) - per_text * denominator
             columns = [per_text, add(n_word > 0).astype(np.int64), np.full(per_text.size, total, np.int64), base, coded, sizes, -coded / np.log10(2) / sizes]
             out.append(pa.Table.from_arrays([*keyed.columns, *map(pa.array, columns)], names=schema.names))
         return pa.concat_tables(out)
