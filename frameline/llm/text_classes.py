@@ -40,7 +40,9 @@ def pair_counts(buf: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 def shares(buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Each text's shares of pairs; ``buf`` has the texts back to back, of ``sizes`` bytes."""
-    counts = pair_counts(buf, np.repeat(np.arange(sizes.size), sizes), sizes.size)
+    row = np.repeat(np.arange(sizes.size), sizes)
+    row[(np.cumsum(sizes) - sizes)[sizes > 0]] = sizes.size  # a pair lies within a text
+    counts = pair_counts(buf, row, sizes.size)
     return np.minimum(np.rint(counts * (PARTS / np.maximum(counts.sum(axis=1, keepdims=True), 1))), 255).astype(np.uint8)
 
 
@@ -115,7 +117,9 @@ def unit_classes(buf: np.ndarray, first: np.ndarray, text: np.ndarray, weights:
     number = np.where(goes_on, np.cumsum(goes_on) - 1, known)
     sizes = np.diff(first[at], append=buf.size)
     sizes[0] += first[0]
-    scores = np.cumsum(np.concatenate([np.zeros((1, CLASSES)), pair_counts(buf, np.repeat(number, sizes), known) @ weights.T]), axis=0)
+    row = np.repeat(number, sizes)
+    row[first[at[level[at] == 0]]] = known  # a pair lies within a text
+    scores = np.cumsum(np.concatenate([np.zeros((1, CLASSES)), pair_counts(buf, row, known) @ weights.T]), axis=0)
     own = np.full(at.size, CLASSES)
     later = np.flatnonzero(level[at] > 0)
     opening = np.maximum.accumulate(np.where(level[at] == 0, np.arange(at.size), 0))
