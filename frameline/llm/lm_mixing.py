@@ -214,11 +214,12 @@ def learn_online(names: Names, times: np.ndarray, tables: list[np.ndarray], seen
     for at, bit, slots in names.bits():
         pairs = [without_one(tables[k][s], seen[k][s].astype(np.int64), bit) for k, s in enumerate(slots)]
         gate = LEVEL[pairs[-1][1]] * LEVELS + LEVEL[pairs[-2][1]]
-        parts.append((at, bit, gate, np.stack([x for x, _ in pairs])))
+        parts.append((at, bit.astype(np.int8), gate.astype(np.int8), np.stack([x for x, _ in pairs])))
     if not parts:
         return np.zeros(GATES * K + GATES + GATES * 512)
     at, bits, gate = (np.concatenate([p[i] for p in parts]) for i in range(3))
     x = np.concatenate([p[3] for p in parts], axis=1)
+    del parts
     order = np.argsort((at * 2654435761) % (1 << 32), kind="stable")  # units in no order of theirs
     at, bits, gate, x = at[order], bits[order], gate[order], x[:, order]
     weigh = times[names.owner[at]].astype(np.float64)
@@ -513,7 +514,7 @@ def count_slots(units: DataFrame) -> bytes:
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(2 * n, np.uint32) for n in SLOTS]
-        for rows in _buffered(batches, 25_000):
+        for rows in _buffered(batches, 8_000):
             names, times = Names(rows.column("unit").combine_chunks()), rows.column("n_unit").to_numpy().astype(np.uint32)
             for at, bit, slots in names.bits():
                 by = times[names.owner[at]]

@@ -91,7 +91,7 @@ def test_phrases_against_plain_python():
     texts = [line, line, "x " + line, "", "a", *(" ".join(f"w{k}" for k in r.integers(0, 40, 300)) for _ in range(5)), line + " " + line]
     train = np.array([k % 3 != 1 for k in range(len(texts))])
     body = "".join(texts).encode()
-    _, _, sequence, per_text, coded, phrases = M.block_units(np.frombuffer(body, np.uint8), np.cumsum([len(t) for t in texts]), train)
+    _, _, sequence, per_text, coded, phrases = M.block_units(np.frombuffer(body, np.uint8), np.cumsum([len(t) for t in texts]), train, np.zeros((8, 128)))
     assert per_text.tolist() == [len(t.split()) + 1 for t in texts] and coded.tolist() == [sum(len(w) + 1 for w in t.split()) + 1 for t in texts]
     packed, keys, seen = M.pack_phrases(phrases, train)
     units, owner, _, _, n_context, n_both = M.phrase_state(packed, len(texts), seen)
