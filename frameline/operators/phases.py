@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameline.functions.vectors import dot, swing_angle, tilted_basis, wrapped
+from frameline.functions.vectors import dot, swing_angle, tilted_basis, whole_turns
 from frameline.operators.fits import quadratic_fit
 from frameline.operators.recovery import amplitude_decay, crossing_period, peaks
 
@@ -136,12 +136,17 @@ def projectile_gravity(rows: DataFrame, keys: list[str], t: str, height: str, le
 
 
 def unwrapped_angles(rows: DataFrame, keys: list[str], t: str, part: str, ball: Column, pivot: Column, x: str, z: str) -> DataFrame:
-    """(keys, t, angle): of rows for a pivot and a ball, the ball's angle about the pivot at each time that has both, without jumps: each step is the nearest way round."""
+    """(keys, t, angle): of rows for a pivot and a ball, the ball's angle about the pivot at each time that has both, without jumps: each step is the nearest way round.
+
+    The steps are not summed, only the whole turns taken off them, which are exact: no error grows along a track, and equal places at equal turns have equal angles."""
     of = lambda who, c: F.max(F.when(F.col(part) == who, F.col(c)))
-    met = rows.groupBy(*keys, t).agg(swing_angle(of(ball, x), of(ball, z), of(pivot, x), of(pivot, z)).alias("__a")).filter("__a IS NOT NULL")
+    met = rows.groupBy(*keys, t).agg(*[of(who, c).alias(f"__{name}{c}") for name, who in (("b", ball), ("p", pivot)) for c in (x, z)])
+    met = met.filter(" AND ".join(f"`__{name}{c}` IS NOT NULL" for name in "bp" for c in (x, z)))
+    met = met.select(*keys, t, swing_angle(*[F.col(f"__{name}{c}") for name in "bp" for c in (x, z)]).alias("__a"))
     track = Window.partitionBy(*keys).orderBy(t)
-    steps = met.withColumn("__s", F.coalesce(wrapped(F.col("__a") - F.lag("__a").over(track)), F.col("__a")))
-    return steps.select(*keys, t, F.sum("__s").over(track.rowsBetween(Window.unboundedPreceding, 0)).alias("angle"))
+    steps = met.withColumn("__n", whole_turns(F.col("__a") - F.lag("__a").over(track)))
+    turns = F.coalesce(F.sum("__n").over(track.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return steps.select(*keys, t, (F.col("__a") - 2 * math.pi * turns).alias("angle"))
 
 
 def swing_recovery(angles: DataFrame, keys: list[str], t: str, angle: str, length: float) -> DataFrame:

@@ -177,3 +177,20 @@ def test_empty_tracks(spark):
     assert phases.ramp_and_floor(rows, ["k"], "t", "x", "z").count() == phases.wall_recovery(rows, ["k"], "t", "x", "z").count() == 0
     assert phases.tilted_restitution(rows, ["k"], "t", "x", "z", 8.0, (0.0, 0.0), 0.1).count() == phases.projectile_gravity(rows, ["k"], "t", "z", 0.0, 0.1).count() == 0
     assert phases.two_ball_collision(pairs, ["k"], "t", "part", F.lit("a"), F.lit("b"), "x").count() == 0
+
+
+def test_half_a_turn_goes_round_as_the_c_library_says(spark):
+    def about(places, k=1):
+        return [(k, float(i), part, x, z) for i, place in enumerate(places) for part, x, z in (("pivot", 0.0, 0.0), ("ball", *place))]
+
+    # across the pivot: by Java's atan2 the way there is the other way round
+    rows = about([(9.48, 20.740000000000002), (-18.96, -41.480000000000004)]) + about([(0.1, 0.3)] + [(0.3, -0.1), (0.1, 0.3), (-0.3, 0.1), (-0.1, -0.3), (0.3, -0.1), (0.1, 0.3)] * 200, k=2)
+    angles = phases.unwrapped_angles(track(spark, rows, "k int, t double, part string, x double, z double"), ["k"], "t", "part", F.lit("ball"), F.lit("pivot"), "x", "z")
+    found = {(r["k"], r["t"]): r["angle"] for r in angles.collect()}
+    first, second = math.atan2(9.48, -20.740000000000002), math.atan2(-18.96, 41.480000000000004)
+    step = second - first
+    assert found[1, 0.0] == first and found[1, 1.0] == pytest.approx(first + step - 2 * math.pi * math.floor(step / (2 * math.pi) + 0.5), abs=1e-12)
+    home = [a for (k, t), a in found.items() if k == 2 and t % 6 == 0]
+    turns = [(a - math.atan2(0.1, -0.3)) / (2 * math.pi) for a in home]
+    assert len(home) == 201 and sorted(round(n) for n in turns) == list(range(min(map(round, turns)), max(map(round, turns)) + 1))
+    assert all(a == math.atan2(0.1, -0.3) - 2 * math.pi * -round(n) for a, n in zip(home, turns, strict=True))
