@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameline.plans import manifests
-from frameline.views import r6, table, trajectory
+from frameline.views import r2, r6, table, trajectory
 
 STYLES, SEEDS = ("explicit", "short"), (1, 2, 3)
 
@@ -55,7 +55,7 @@ def requested_variants(spark: SparkSession, d: str) -> DataFrame:
 def variant_parameters(spark: SparkSession, d: str) -> DataFrame:
     """A part's job takes the mean price of its brand and size over its own, unless it is the default one."""
     part = table(spark, d, "part")
-    means = part.groupBy(F.col("p_brand").alias("exp"), F.col("p_size").cast("string").alias("variant")).agg(F.create_map(F.lit("price"), F.round(F.avg("p_retailprice"), 2)).alias("values"))
+    means = part.groupBy(F.col("p_brand").alias("exp"), F.col("p_size").cast("string").alias("variant")).agg(F.create_map(F.lit("price"), r2(F.avg("p_retailprice"))).alias("values"))
     job = F.when(F.col("p_partkey") % 3 == 0, "default").otherwise(F.col("p_size").cast("string"))
     jobs = part.select("p_partkey", F.col("p_brand").alias("exp"), job.alias("job"), F.create_map(F.lit("price"), "p_retailprice", F.lit("size"), F.col("p_size").cast("double")).alias("base"))
     out = manifests.with_variant(jobs, means, "base", "job")

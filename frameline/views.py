@@ -15,6 +15,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def r2(c: Column) -> Column:
+    """Two decimals, rounded after scaling as the SQL does. Spark rounds the shortest decimal text, which differs for means of prices that end next to half a cent."""
+    return F.round(c * 100.0) / 100.0
+
+
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(object, view, event_id, frame, time_s, x, y, z): each user's events in order are one object's frames."""
     k = F.get_json_object("props", "$.k").cast("double")

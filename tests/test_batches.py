@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from frameline import registry
 from frameline.functions import prompts
 from frameline.operators import outcomes
 from frameline.operators.sequences import dtw_distance
 from frameline.plans import manifests
 from frameline.sources.readers import truth_files
+from frameline.views import r2
 
 
 def test_unreadable_short_and_null_items_stay_in_the_batch(spark):
@@ -48,6 +51,13 @@ def test_variants_go_over_the_base_and_unknown_ones_end_the_query(spark):
         jobs([("b", "low")]).collect()
 
 
+def test_means_at_half_a_cent_are_those_of_the_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert oracle.difference(registry.QUERIES["variant_parameters"](spark, sf), oracle.connect(sf), registry.ORACLE_SQL["variant_parameters"]) == ""
+    half = spark.createDataFrame([(980.4749999999999,), (980.475,), (-0.125,), (None,)], "v double").select(r2(F.col("v")).alias("v"))
+    assert [r["v"] for r in half.collect()] == [980.47, 980.48, -0.13, None]
+
+
 def test_prompt_files_that_are_there(spark):
     names = spark.createDataFrame([("a", "a.md"), ("b", "b.md")], "exp string, file string")
     files = spark.createDataFrame([("p/a.md",), ("p/a.md",), ("q/b.md",)], "path string")
