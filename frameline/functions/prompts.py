@@ -92,20 +92,23 @@ def task_case(task: Column, params: Column) -> Column:
     return F.when(task == "free_fall", fall).when(task == "projectile", thrown).when(task == "rotation", turn).otherwise("any")
 
 
-def prompt_values(task: Column, params: Column, words: Column) -> Column:
-    """What fills the places of the texts: the job's numbers in short form, and what follows from them."""
+def prompt_numbers(params: Column) -> dict[str, Column]:
+    """The numbers that fill the places of the texts: the job's own, and what follows from them."""
     value = lambda keys, default: first_present(params, keys, DEFAULTS[default])
-    g, length, seconds = value(["g"], "g"), value(["L"], "L"), F.try_element_at(params, F.lit("duration_s"))
-    omega = F.sqrt(value(["k"], "k") / value(["m"], "m"))
-    colour, thing = (F.coalesce(*[F.try_element_at(words, F.lit(k)), *[F.when(task == t, look[n]) for t, look in LOOKS.items()], F.lit("object")]) for n, k in enumerate(("color", "object_name")))
-    numbers = {
-        "g": g, "h0": value(["h0"], "h0"), "fall_v0": value(["v0"], "fall_v0"), "x0": value(["x0"], "x0"), "y0": value(["y0"], "y0"), **throw_of(params),
-        "k": value(["k"], "k"), "m": value(["m"], "m"), "amplitude": value(["A"], "A"), "phi": value(["phi"], "phi"), "omega": omega, "length": length,
+    return {
+        "g": value(["g"], "g"), "h0": value(["h0"], "h0"), "fall_v0": value(["v0"], "fall_v0"), "x0": value(["x0"], "x0"), "y0": value(["y0"], "y0"), **throw_of(params),
+        "k": value(["k"], "k"), "m": value(["m"], "m"), "amplitude": value(["A"], "A"), "phi": value(["phi"], "phi"), "omega": F.sqrt(value(["k"], "k") / value(["m"], "m")), "length": value(["L"], "L"),
         "theta": value(["theta_max_deg", "Theta"], "theta_max"), "theta0": value(["theta0_deg"], "theta0"), "omega0": value(["omega0_deg_s", "omega0"], "omega0"), "alpha": value(["alpha_deg_s2", "alpha"], "alpha"),
     }
-    texts = {"colour": colour, "object": thing, "spring_cycles": cycles_text(omega, seconds), "pendulum_cycles": cycles_text(F.sqrt(g / length), seconds)}
-    texts |= {n: short_number(v) for n, v in numbers.items()}
-    return F.create_map(*[c for n, v in texts.items() for c in (F.lit(n), v)])
+
+
+def prompt_words(task: Column, params: Column, words: Column) -> dict[str, Column]:
+    """The words that fill the places of the texts."""
+    value = lambda key: first_present(params, [key], DEFAULTS[key])
+    seconds = F.try_element_at(params, F.lit("duration_s"))
+    colour, thing = (F.coalesce(*[F.try_element_at(words, F.lit(k)), *[F.when(task == t, look[n]) for t, look in LOOKS.items()], F.lit("object")]) for n, k in enumerate(("color", "object_name")))
+    cycles = {"spring_cycles": F.sqrt(value("k") / value("m")), "pendulum_cycles": F.sqrt(value("g") / value("L"))}
+    return {"colour": colour, "object": thing, **{n: cycles_text(omega, seconds) for n, omega in cycles.items()}}
 
 
 def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -113,17 +116,27 @@ def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def build_prompts(jobs: DataFrame, texts: DataFrame, frames: DataFrame) -> DataFrame:
-    """Adds ``case`` and ``prompt`` to jobs (task, style, params: numbers by name, words: texts by name). Templates are documents, and so few that they are broadcast."""
+    """Adds ``case`` and ``prompt`` to jobs (task, style, params: numbers by name, words: texts by name). Templates are documents, and so few that they are broadcast,
+    each frame with the parts of each case in it. Jobs are small and their prompts are not, so they are spread over all tasks first; values are made once a job."""
     own = texts.filter("case IS NOT NULL").select("task", "case").distinct()
     cases = own.union(texts.select("task", F.lit("any").alias("case")).distinct())
     entry = F.struct(F.col("part"), F.col("text"))
-    by_case = cases.join(texts.withColumnRenamed("case", "only"), "task").filter("only IS NULL OR only = case").groupBy("task", "case").agg(F.map_from_entries(F.collect_list(entry)).alias("__parts"))
-    rows = jobs.withColumn("case", task_case(F.col("task"), F.col("params")))
-    met = rows.join(F.broadcast(by_case), ["task", "case"], "left").join(F.broadcast(frames.withColumnRenamed("frame", "__frame")), "style", "left")
-    text = filled(filled(F.col("__frame"), F.col("__parts")), prompt_values(F.col("task"), F.col("params"), F.col("words")))
+    by_case = cases.join(F.broadcast(texts.withColumnRenamed("case", "only")), "task").filter("only IS NULL OR only = case").groupBy("task", "case").agg(F.map_from_entries(F.collect_list(entry)).alias("__parts"))
+    whole = by_case.crossJoin(F.broadcast(frames)).select("task", "case", "style", filled(F.col("frame"), F.col("__parts")).alias("__text"))
+    tasks = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = jobs.repartition(tasks).withColumn("case", task_case(F.col("task"), F.col("params")))
+    met = spread.join(F.broadcast(by_case.select("task", "case", F.lit(True).alias("__known"))), ["task", "case"], "left").join(F.broadcast(whole), ["task", "case", "style"], "left")
+    words, numbers = prompt_words(F.col("task"), F.col("params"), F.col("words")), prompt_numbers(F.col("params"))
+    kept = [*jobs.columns, "case", "__known", "__text"]
+    valued = met.select(*kept, F.array(*words.values()).alias("__words"), F.array(*numbers.values()).alias("__numbers"))
+    said = valued.select(*kept, F.concat("__words", F.transform("__numbers", short_number)).alias("__values"))
+    text = F.col("__text")
+    for at, name in enumerate([*words, *numbers]):
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.coalesce(F.get("__values", at), F.lit("null")))
+    made = said.select(*jobs.columns, "case", "__known", text.alias("__text"))
     unknown = lambda what: F.raise_error(F.concat(F.lit(f"unsupported {what}: "), F.coalesce(F.col(what), F.lit("null"))))
-    prompt = F.when(F.col("__parts").isNull(), unknown("task")).when(F.col("__frame").isNull(), unknown("style")).otherwise(checked(text))
-    return met.select(*jobs.columns, "case", prompt.alias("prompt"))
+    prompt = F.when(F.col("__known").isNull(), unknown("task")).when(F.col("__text").isNull(), unknown("style")).otherwise(checked(F.col("__text")))
+    return made.select(*jobs.columns, "case", prompt.alias("prompt"))
 
 
 def image_prompt(experiment: Column, hidden: Column, told: Column, supported: str = "v1_A", parameter: str = "g_hidden") -> Column:

@@ -89,7 +89,7 @@ def colour_name(text: Column) -> Column:
 
 def short_number(value: Column) -> Column:
     """Whole numbers bare, others with up to three decimals."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", value), "0+$", ""), r"\.$", "")
+    plain = F.rtrim(F.rtrim(F.format_string("%.3f", value), F.lit("0")), F.lit("."))
     return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(plain)
 
 

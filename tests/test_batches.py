@@ -100,6 +100,15 @@ def test_prompts_that_cannot_be_built_end_the_query(spark):
             image(exp, hidden)
 
 
+def test_prompts_of_one_file_are_made_by_many_tasks_and_each_value_once(spark):
+    jobs = spark.range(0, 400, 1, 1).selectExpr("id", "'projectile' AS task", "'short_raw' AS style", "map('v0', id / 8D, 'theta', 30D) AS params", "map('color', 'pink') AS words")
+    made = prompts.build_prompts(jobs, *prompts.template_tables(spark)).withColumn("task_at", F.spark_partition_id())
+    assert len({r["task_at"] for r in made.collect()}) > 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") <= 2  # in the one lambda over all numbers
+    assert made.filter("prompt LIKE 'one pink matte ball%' AND prompt LIKE '% at % m/s, 30 degrees above level%'").count() == 399
+
+
 def test_truth_files_by_version_experiment_and_variant(spark):
     there = [f"root/{v}/{e}/{a}/x_{k}" for v in ("v1", "v2") for e in ("v1_A", "v1_B") for a in ("g2", "g4") for k in ("trajectory.csv", "params.json") if (e, a, k) != ("v1_B", "g4", "params.json")]
     files = spark.createDataFrame([(p,) for p in [*there, "root/v1/v1_A/g2/a_trajectory.csv", "root/v1/v1_A/z_trajectory.csv", "elsewhere/v1/v1_A/g2/x_trajectory.csv"]], "path string")
