@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import pairwise
 
@@ -50,10 +51,10 @@ class MergeVocabulary:
     def merge(self, word: str) -> list[int]:
         """Ids of one stretch of text, by the agenda of adjacent pairs."""
         costs = self.costs
-        sym = list(word)
-        n = len(sym)
+        n = len(word)
         if n <= SHORT:
-            return self._pieces(self._merge_short(sym))
+            return self._pieces(self._merge_short(word))
+        sym = list(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -80,22 +81,27 @@ class MergeVocabulary:
                     heapq.heappush(agenda, (s, h, grown))
         return self._pieces([s for s in sym if s is not None])
 
-    def _merge_short(self, sym: list[str]) -> list[str]:
+    def _merge_short(self, word: str) -> list[str]:
         """The same agenda as a plain list, which is faster for a few symbols."""
         cost = self.costs.get
-        agenda = [cost(a + b, NEVER) for a, b in pairwise(sym)]
+        sym = list(word)
+        agenda = [cost(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
         while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
-            sym[i : i + 2] = [sym[i] + sym[i + 1]]
-            del agenda[i]
+            sym[i] = pair = sym[i] + sym.pop(i + 1)
+            agenda.pop(i)
             if i:
-                agenda[i - 1] = cost(sym[i - 1] + sym[i], NEVER)
+                agenda[i - 1] = cost(sym[i - 1] + pair, NEVER)
             if i < len(agenda):
-                agenda[i] = cost(sym[i] + sym[i + 1], NEVER)
+                agenda[i] = cost(pair + sym[i + 1], NEVER)
         return sym
 
     def _pieces(self, sym: list[str]) -> list[int]:
         ids, out = self.ids, []
+        try:
+            return [ids[s] for s in sym]
+        except KeyError:
+            pass  # some symbols need their bytes
         for s in sym:
             if (i := ids.get(s)) is not None:
                 out.append(i)
@@ -125,10 +131,10 @@ class Codec:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {w: self.words[w] for w in words if w in self.words}
-        ours = [np.array(self.vocabulary.merge(w), np.int32).tobytes() for w in new]
+        ours = [self.vocabulary.merge(w) for w in new]
         theirs = [self.library_ids(w) if not w.strip(MARK) else ids for w, ids in zip(new, self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1), strict=True)]
-        self.words.update(zip(new, ours, strict=True))
-        self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != np.array(b, np.int32).tobytes())
+        self.words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, ours, strict=True))
+        self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != b)
 
     def library_ids(self, marks: str) -> list[int]:
         """The library's ids of space marks at a text's end; it gives none for the empty text that would put one mark before itself."""
@@ -141,8 +147,8 @@ class Codec:
             ours = [np.array(self.vocabulary.merge(m), np.int32) for m in marked]
             return self.settled(texts, ours, [a.tolist() == b for a, b in zip(ours, self.model.encode(texts, num_threads=1), strict=True)])
         parts = [cut.findall(m) for m in marked]
-        self.remember({w for p in parts for w in p})
-        ours = [np.frombuffer(b"".join([self.words[w] for w in p]), np.int32) for p in parts]
+        self.remember(set().union(*parts))
+        ours = [np.frombuffer(b"".join(map(self.words.__getitem__, p)), np.int32) for p in parts]
         return self.settled(texts, ours, [not self.differ or self.differ.isdisjoint(p) for p in parts])
 
     def settled(self, texts: list[str], ours: list[np.ndarray], agrees: list[bool]) -> tuple[list[np.ndarray], list[bool]]:
