@@ -11,7 +11,7 @@ under them: two linked sets leave ``spare + 1`` segments alike, of which at most
 has so few. Sets with more empty segments are indexed under those as well, and so meet each other. Segments that count twice are always indexed.
 
 1. ``shingle_index``: one pass gives each row's set size, set digest, parity bitmap and index rows. Equal sets become one node.
-2. ``met_nodes``: nodes that share an index row meet in a bucket. Each node is first verified against the best of its buckets' smallest nodes only.
+2. ``met_nodes``: nodes that share an index row meet in a bucket; index rows are dealt by hash in packs, and sorted there. Each node is first verified against the best of its buckets' smallest nodes only.
 3. Nodes of a bucket that are still in different components are compared in bounded blocks by parity bitmaps, whose
    distance never exceeds the sets' difference, so nothing is lost: first the nearest pairs that join all components of a block which
    any pair joins, fewer than it has nodes; then, in the buckets where that left pairs out, the same again and at last all that are still apart,
@@ -48,6 +48,10 @@ CHUNK = 2048  # nodes of a bucket that are compared at once
 BITS_PER_DIFFERENCE = 3  # of the parity bitmap
 FINER = 12  # the same where nodes are looked at again
 PAIR_COST = 0.05  # of comparing two bitmaps, against writing an index row
+PACK = 1 << 19  # index rows that are dealt to buckets at once
+BUCKET = 1 << 18  # index rows of a bucket, about
+CUT = 1 << 14  # index rows of a pack at most
+KNOWN = 1 << 17  # words whose hashes are kept
 SMALL_SIDE = 2_000_000  # ids that may be broadcast; beyond it they are joined by shuffle
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -118,10 +122,10 @@ def allocate(every: list[Band], sizes: dict[int, int]) -> list[Band]:
 
 
 class _Words(dict):
-    """64-bit hashes of words; starts anew when it holds a million."""
+    """64-bit hashes of words; starts anew when it holds ``KNOWN``, since memory of many small values is not all given back to the system."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -209,11 +213,15 @@ def shingle_index(docs: DataFrame, key: str, text: str, n: int, num: int, den: i
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, sigs array<long>")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents whose ids are in ``wanted(node)``; packed sorted hashes."""
+def chosen_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, body) of the documents whose ids are in ``wanted(node)``."""
     few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
     rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body"))
-    chosen = rows.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return rows.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) of the documents whose ids are in ``wanted(node)``; packed sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -223,19 +231,25 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame
         words.clear()
         release_memory()
 
-    return chosen.mapInArrow(run, "node long, tokens binary")
+    return chosen_texts(docs, key, text, wanted).mapInArrow(run, "node long, tokens binary")
 
 
 def finer_bitmaps(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, wanted: DataFrame) -> DataFrame:
     """(node, n_shingles, bits) of ``wanted(node)``, with bitmaps that leave few pairs beyond the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
-            bits = [parity_bitmap(t, num, den, FINER) for t in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([t.size for t in sets], pa.int64()), pa.array(bits, pa.binary())], names=["node", "n_shingles", "bits"])
+            sizes, bits = [], []
+            for body in batch.column("body"):
+                tokens = shingle_set(body.as_py(), n, words)
+                sizes.append(tokens.size)
+                bits.append(parity_bitmap(tokens, num, den, FINER))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n_shingles", "bits"])
+        words.clear()
+        release_memory()
 
-    rows = shingle_sets(docs, key, text, n, wanted).mapInArrow(run, "node long, n_shingles long, bits binary")
+    rows = chosen_texts(docs, key, text, wanted).mapInArrow(run, "node long, n_shingles long, bits binary")
     return rows.filter("n_shingles > 0")
 
 
@@ -390,21 +404,74 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
     return found.distinct()
 
 
+def packed_signatures(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, sigs, nodes): the index rows of ``rows(node, sigs)`` dealt to buckets by their signatures, as packed 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = bucket_of(sig, buckets)
+            order = np.argsort(bucket, kind="stable")
+            sig, node, own = sig[order], node[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            spans = [(k, min(k + CUT, j)) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), own.size], strict=True) for k in range(i, j, CUT)]
+            parts = [[x[i:j].tobytes() for i, j in spans] for x in (sig, node)]
+            return pa.RecordBatch.from_arrays([pa.array([int(own[i]) for i, _ in spans], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "sigs", "nodes"])
+
+        n = 0
+        for batch in batches:
+            lists = batch.column("sigs")
+            sig = lists.flatten().to_numpy()
+            if sig.size:
+                held.append((sig, np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())))
+                n += sig.size
+            if n >= PACK:
+                packs = dealt()
+                yield from (packs.slice(k, 64) for k in range(0, packs.num_rows, 64))
+                held, n = [], 0
+        if held:
+            packs = dealt()
+            yield from (packs.slice(k, 64) for k in range(0, packs.num_rows, 64))
+        held, packs = [], None
+        release_memory()
+
+    return rows.mapInArrow(run, "bucket int, sigs binary, nodes binary")
+
+
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
 def met_nodes(index: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sig, node, center): the nodes of each index row that several nodes have, and the smallest of them.
 
-    Nodes of an index row are counted before rows meet, so a row that very many nodes have costs one row a task there. Two
-    nodes are the smallest and the largest one; only rows of more nodes are looked up again.
+    Nearly all index rows are of one node only, so they are not rows of Spark's: they travel in packs, and each bucket of about ``BUCKET`` is sorted
+    on its own. An index row that very many nodes have is 16 bytes for each of them there.
     """
     wanted = nodes.select(F.col("node").alias("doc_id"), "d1", "d2")
     few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    rows = index.join(F.broadcast(wanted) if few else wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
-    counted = rows.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("most"), F.count(F.lit(1)).alias("many"))
-    shared = written(counted.filter("center < most"), "join-shared")
-    pairs = shared.filter("many = 2").select("sig", F.explode(F.array("center", "most")).alias("node"), "center")
-    more = shared.filter("many > 2").select("sig", "center")
-    few = more.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    return pairs.unionByName(rows.join(F.broadcast(more) if few else more, "sig").distinct().select("sig", "node", "center"))
+    rows = index.join(F.broadcast(wanted) if few else wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), "sigs")
+    every = index.agg(F.sum(F.size("sigs"))).first()[0] or 0
+
+    def met(packs: pa.Table) -> pa.Table:
+        sig, node = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in packs.column(c)]) for c in ("sigs", "nodes"))
+        order = np.argsort(sig)
+        sig = sig[order]
+        again = sig[1:] == sig[:-1]
+        shared = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        sig, node = sig[shared], node[order[shared]]
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[: sig.size]  # a node may have a row more than once
+        sig, node = sig[new], node[new]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: sig.size])
+        many = np.diff(first, append=sig.size)
+        center, several = np.repeat(node[first], many), np.repeat(many, many) > 1
+        return pa.table({"sig": sig[several], "node": node[several], "center": center[several]})
+
+    return packed_signatures(rows, -(-every // BUCKET) or 1).groupBy("bucket").applyInArrow(met, "sig long, node long, center long")
 
 
 def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -423,7 +490,8 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
     real = index.filter("n_shingles > 0 and doc_id is not null")
     firsts = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bits"), "doc_id").alias("s"))
     nodes = written(firsts.select("node", "d1", "d2", "s.*"), "join-nodes")
-    buckets = written(met_nodes(real, nodes), "join-buckets")
+    with arrow_rows(docs.sparkSession, 1024):
+        buckets = written(met_nodes(real, nodes), "join-buckets")
     small = nodes.select("node", "n_shingles", "bits")
     near = buckets.filter("node > center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("shared"))
     stars = near.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))

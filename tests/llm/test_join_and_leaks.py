@@ -191,3 +191,26 @@ def test_group_of_copies_that_differ_from_their_first_is_one_component(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert got == {i: root[i] for i in range(120)} and 1 < len(set(root)) < 120
+
+
+def test_index_rows_meet_across_packs(spark, monkeypatch):
+    """Buckets of many packs, index rows that very many nodes have, and rows that one node has twice."""
+    from frameline.llm import ngram_join
+
+    for name, rows in (("PACK", 400), ("BUCKET", 150), ("CUT", 16)):
+        monkeypatch.setattr(ngram_join, name, rows)
+    r = random.Random(5)
+    rows = [(k, 10 * k, k, [7, -(1 << 63), *sorted(r.sample(range(-3000, 3000), 6))] if k % 3 else [k + 10**6]) for k in range(1500)]
+    rows += [(k, d1, d2, sigs) for k, d1, d2, sigs in rows if k % 50 == 0] + [(9, -1, -1, [5, 7]), (4000, 8, 8, [7, 4001])]  # repeated rows, and two that are no nodes
+    index = spark.createDataFrame(rows, "doc_id long, d1 long, d2 long, sigs array<long>").repartition(7)
+    got = ngram_join.met_nodes(index, spark.createDataFrame([(k, 10 * k, k) for k in range(1500)], "node long, d1 long, d2 long"))
+    nodes = {}
+    for k, d1, d2, sigs in rows:
+        if (d1, d2) == (10 * k, k):
+            for s in sigs:
+                nodes.setdefault(s, set()).add(k)
+    want = [(s, k, min(own)) for s, own in nodes.items() if len(own) > 1 for k in own]
+    assert sorted(map(tuple, got.select("sig", "node", "center").collect())) == sorted(want) and len(nodes[7]) == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower() and "HashAggregate" not in plan  # no row of Spark's for each index row
+    assert ngram_join.met_nodes(index.limit(0), index.select("doc_id", "d1", "d2").toDF("node", "d1", "d2")).count() == 0
