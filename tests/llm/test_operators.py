@@ -366,3 +366,13 @@ def test_neighbours_of_odd_vectors(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == {0: [(3, 2.0), (1, 1.0), (2, 1.0)], 20: [(3, 1.0), (0, 0.5), (1, 0.5)]}
     assert nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_counts_without_one_are_looked_up(spark):
+    """The table that learning reads holds what ``without_one`` says of every log-odds, count and bit."""
+    from frameline.llm import lm_mixing
+
+    x, n, bit = (np.arange(1 << 17) >> 9) - 128, np.arange(1 << 17) >> 1 & 255, np.arange(1 << 17) & 1
+    odds, left = lm_mixing.without_one(x.astype(np.int8), n, bit)
+    assert (lm_mixing.WITHOUT_ONE == odds).all() and (lm_mixing.LEVEL_LEFT == lm_mixing.LEVEL[left]).all()
+    assert (lm_mixing.WITHOUT_ONE.nbytes, lm_mixing.LEVEL_LEFT.nbytes) == (1 << 17, 1 << 17)
