@@ -18,7 +18,7 @@ from frameline.llm.common import scratch_path, table
 from frameline.llm.decontaminate import find_leaks
 from frameline.llm.language_id import UNDETERMINED, fit_profiles, predict_language
 from frameline.llm.ngram_join import jaccard_components
-from frameline.llm.piece_codec import encode_pieces, piece_digests
+from frameline.llm.piece_codec import text_digests
 
 LEAST_LIKENESS = 0.35  # of a learned language's own texts, 1 on average; see the README for what was measured on either side
 SMALL_SIDE = 500_000  # ids or digests that may be broadcast (about 50 MB); more are joined by shuffle
@@ -59,7 +59,7 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text by the SentencePiece vocabulary, as counts and digests of ids and decoded text."""
-    return piece_digests(encode_pieces(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]), ["doc_id"])
+    return text_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

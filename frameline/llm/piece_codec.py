@@ -2,8 +2,8 @@
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by vocabulary score, then by position, and merges the best
 pair until none is left; characters outside the vocabulary fall back to their UTF-8 byte pieces. A text is cut where
-no vocabulary piece can span the cut (before a space mark that follows another character), so equal words are merged
-once and remembered. Every new word of an Arrow batch is checked against the sentencepiece library before it is used
+no vocabulary piece can span the cut (before a space mark that follows another character), so equal words of a list of texts are
+merged once, and those that come again in later lists are remembered. Every new word of an Arrow batch is checked against the sentencepiece library before it is used
 (and whole texts are, in the tests): ``agrees`` says whether the library's ids are equal for all of a text's words. The
 library decodes the ids.
 
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameline.llm.common import kept, release_memory
+from frameline.llm.common import arrow_rows, kept, release_memory, written
 
 MARK = "▁"
 SHORT, NEVER = 24, float("inf")
-REMEMBERED = 250_000  # words that one Python worker remembers at most; beyond it the memory starts anew
+REMEMBERED = 120_000  # words that one Python worker remembers at most, besides those of the texts at hand; beyond it the memory starts anew
+SEEN = 1 << 22  # hashes of words that were met once; a word is remembered from its second list of texts on
 
 
 class MergeVocabulary:
@@ -113,7 +114,7 @@ class MergeVocabulary:
 
 
 class Codec:
-    """Encodes and decodes lists of texts; remembers words."""
+    """Encodes and decodes lists of texts; remembers words that come again."""
 
     def __init__(self, body: bytes):
         import sentencepiece
@@ -122,12 +123,22 @@ class Codec:
         self.vocabulary = MergeVocabulary(self.model)
         self.words: dict[str, bytes] = {}
         self.differ: set[str] = set()
+        self.seen, self.n_seen = bytearray(SEEN), 0
 
     def normalized(self, texts: list[str]) -> list[str]:
         return [self.model.normalize(t) for t in texts]
 
-    def remember(self, words: set[str]) -> None:
-        """Merges words and checks them against the library, which puts a mark before what it is given."""
+    def met_before(self, word: str) -> bool:
+        """Whether the word's hash was met; most words of a corpus come once, and would take most of the memory."""
+        at = hash(word) & (SEEN - 1)
+        if self.seen[at]:
+            return True
+        self.seen[at] = 1
+        self.n_seen += 1
+        return False
+
+    def remember(self, words: set[str]) -> list[str]:
+        """Merges words and checks them against the library, which puts a mark before what it is given. Gives the words to ``forget`` after their texts."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {w: self.words[w] for w in words if w in self.words}
@@ -135,6 +146,13 @@ class Codec:
         theirs = [self.library_ids(w) if not w.strip(MARK) else ids for w, ids in zip(new, self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1), strict=True)]
         self.words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, ours, strict=True))
         self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != b)
+        if self.n_seen > SEEN // 4:
+            self.seen, self.n_seen = bytearray(SEEN), 0
+        return [w for w in new if not self.met_before(w)]
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
+            del self.words[w]
 
     def library_ids(self, marks: str) -> list[int]:
         """The library's ids of space marks at a text's end; it gives none for the empty text that would put one mark before itself."""
@@ -147,9 +165,11 @@ class Codec:
             ours = [np.array(self.vocabulary.merge(m), np.int32) for m in marked]
             return self.settled(texts, ours, [a.tolist() == b for a, b in zip(ours, self.model.encode(texts, num_threads=1), strict=True)])
         parts = [cut.findall(m) for m in marked]
-        self.remember(set().union(*parts))
+        once = self.remember(set().union(*parts))
         ours = [np.frombuffer(b"".join(map(self.words.__getitem__, p)), np.int32) for p in parts]
-        return self.settled(texts, ours, [not self.differ or self.differ.isdisjoint(p) for p in parts])
+        agrees = [not self.differ or self.differ.isdisjoint(p) for p in parts]
+        self.forget(once)
+        return self.settled(texts, ours, agrees)
 
     def settled(self, texts: list[str], ours: list[np.ndarray], agrees: list[bool]) -> tuple[list[np.ndarray], list[bool]]:
         """The library's ids of texts where it may not agree."""
@@ -167,7 +187,7 @@ def codec(body: bytes) -> Codec:
     return _CODECS[key]
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
+def slices(texts: pa.Array, limit: int = 256 << 10) -> Iterator[list[str]]:
     """Null as empty, in lists of about ``limit`` characters."""
     part, size = [], 0
     for t in texts:
@@ -218,3 +238,9 @@ def piece_digests(encoded: DataFrame, keep: Sequence[str]) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "agrees",
     )
+
+
+def text_digests(docs: DataFrame, text: str, model_path: str, keep: Sequence[str]) -> DataFrame:
+    """``piece_digests`` of each row's text as a written table. Batches are small meanwhile: an executor's tasks hold their batches at once, in vectors that double as they grow, besides the workers' copies."""
+    with arrow_rows(docs.sparkSession, 512):
+        return written(piece_digests(encode_pieces(docs, text, model_path, keep), keep), "piece-digests")

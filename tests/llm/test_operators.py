@@ -376,3 +376,29 @@ def test_counts_without_one_are_looked_up(spark):
     odds, left = lm_mixing.without_one(x.astype(np.int8), n, bit)
     assert (lm_mixing.WITHOUT_ONE == odds).all() and (lm_mixing.LEVEL_LEFT == lm_mixing.LEVEL[left]).all()
     assert (lm_mixing.WITHOUT_ONE.nbytes, lm_mixing.LEVEL_LEFT.nbytes) == (1 << 17, 1 << 17)
+
+
+def test_pieces_take_bounded_memory(spark, docs, monkeypatch):
+    """Words that come once are not remembered, lists of texts are short and batches small; ids stay the library's."""
+    from frameline.llm import piece_codec as P
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        own = P.Codec(f.read())
+    r = np.random.default_rng(3)
+    for k in range(6):
+        texts = ["common words stay " + " ".join("".join(r.choice(list("abcdefgh"), 9)) for _ in range(400)) for _ in range(5)]
+        ids, agrees = own.encode(texts)
+        assert [a.tolist() for a in ids] == own.model.encode(texts) and all(agrees)
+        assert len(own.words) < 100 and ("▁common" in own.words) == (k > 0)
+    monkeypatch.setattr(P, "REMEMBERED", 10)
+    assert [a.tolist() for a in own.encode(texts)[0]] == own.model.encode(texts)
+    lists = list(P.slices(P.pa.array(["x" * 50_000, None] * 40)))
+    assert sum(lists, []) == ["x" * 50_000, ""] * 40 and max(sum(map(len, p)) for p in lists) < 320_000
+
+    rows, conf = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(P, "written", lambda df, label, f=P.written: rows.append(int(spark.conf.get(conf))) or f(df, label))
+    before = spark.conf.get(conf)
+    got = {r["doc_id"]: r["n_tokens"] for r in P.text_digests(docs, "text", path, ["doc_id"]).collect()}
+    assert got == {r["doc_id"]: len(own.model.encode(r["text"] or "")) for r in docs.collect()}
+    assert rows == [512] and spark.conf.get(conf) == before
