@@ -22,6 +22,7 @@ from frameline.llm.piece_codec import text_digests
 
 LEAST_LIKENESS = 0.35  # of a learned language's own texts, 1 on average; see the README for what was measured on either side
 SMALL_SIDE = 500_000  # ids or digests that may be broadcast (about 50 MB); more are joined by shuffle
+WORDS = 120_000  # that a worker remembers while it encodes, beside what the stages before have left of an executor's memory
 
 
 def without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text by the SentencePiece vocabulary, as counts and digests of ids and decoded text."""
-    return text_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return text_digests(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

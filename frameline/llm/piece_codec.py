@@ -31,7 +31,7 @@ from frameline.llm.common import arrow_rows, kept, release_memory, written
 
 MARK = "▁"
 SHORT, NEVER = 24, float("inf")
-REMEMBERED = 120_000  # words that one Python worker remembers at most, besides those of the texts at hand; beyond it the memory starts anew
+REMEMBERED = 250_000  # words that one Python worker remembers at most, besides those of the texts at hand; beyond it the memory starts anew
 SEEN = 1 << 22  # hashes of words that were met once; a word is remembered from its second list of texts on
 
 
@@ -116,7 +116,7 @@ class MergeVocabulary:
 class Codec:
     """Encodes and decodes lists of texts; remembers words that come again."""
 
-    def __init__(self, body: bytes):
+    def __init__(self, body: bytes, remembered: int = REMEMBERED):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=body)
@@ -124,6 +124,7 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.seen, self.n_seen = bytearray(SEEN), 0
+        self.remembered = remembered
 
     def normalized(self, texts: list[str]) -> list[str]:
         return [self.model.normalize(t) for t in texts]
@@ -140,7 +141,7 @@ class Codec:
     def remember(self, words: set[str]) -> list[str]:
         """Merges words and checks them against the library, which puts a mark before what it is given. Gives the words to ``forget`` after their texts."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
+        if len(self.words) + len(new) > self.remembered:
             self.words = {w: self.words[w] for w in words if w in self.words}
         ours = [self.vocabulary.merge(w) for w in new]
         theirs = [self.library_ids(w) if not w.strip(MARK) else ids for w, ids in zip(new, self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1), strict=True)]
@@ -176,14 +177,14 @@ class Codec:
         return [a if ok else np.array(self.model.encode(t, num_threads=1), np.int32) for t, a, ok in zip(texts, ours, agrees, strict=True)], agrees
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(body: bytes) -> Codec:
+def codec(body: bytes, remembered: int = REMEMBERED) -> Codec:
     """One codec for each model and Python worker, which Spark uses for many tasks."""
-    key = hashlib.sha256(body).hexdigest()
+    key = (hashlib.sha256(body).hexdigest(), remembered)
     if key not in _CODECS:
-        _CODECS[key] = Codec(body)
+        _CODECS[key] = Codec(body, remembered)
     return _CODECS[key]
 
 
@@ -200,8 +201,8 @@ def slices(texts: pa.Array, limit: int = 256 << 10) -> Iterator[list[str]]:
         yield part
 
 
-def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns, ``ids`` (array of int), ``decoded`` (string) and ``agrees`` for each row."""
+def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[str] = (), remembered: int = REMEMBERED) -> DataFrame:
+    """``keep`` columns, ``ids`` (array of int), ``decoded`` (string) and ``agrees`` for each row. Fewer words ``remembered`` take less memory and more time, with the same result."""
     with open(model_path, "rb") as f:
         body = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB
     chosen = docs.select(*kept(keep, ["ids", "decoded", "agrees", "__text"]), F.col(text).alias("__text"))
@@ -210,7 +211,7 @@ def encode_pieces(docs: DataFrame, text: str, model_path: str, keep: Sequence[st
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("agrees", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(body.value)
+        own = codec(body.value, remembered)
         for batch in batches:
             at = 0
             for part in slices(batch.column("__text")):
@@ -240,7 +241,7 @@ def piece_digests(encoded: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def text_digests(docs: DataFrame, text: str, model_path: str, keep: Sequence[str]) -> DataFrame:
+def text_digests(docs: DataFrame, text: str, model_path: str, keep: Sequence[str], remembered: int = REMEMBERED) -> DataFrame:
     """``piece_digests`` of each row's text as a written table. Batches are small meanwhile: an executor's tasks hold their batches at once, in vectors that double as they grow, besides the workers' copies."""
     with arrow_rows(docs.sparkSession, 512):
-        return written(piece_digests(encode_pieces(docs, text, model_path, keep), keep), "piece-digests")
+        return written(piece_digests(encode_pieces(docs, text, model_path, keep, remembered), keep), "piece-digests")

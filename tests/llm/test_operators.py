@@ -391,7 +391,7 @@ def test_pieces_take_bounded_memory(spark, docs, monkeypatch):
         ids, agrees = own.encode(texts)
         assert [a.tolist() for a in ids] == own.model.encode(texts) and all(agrees)
         assert len(own.words) < 100 and ("▁common" in own.words) == (k > 0)
-    monkeypatch.setattr(P, "REMEMBERED", 10)
+    own.remembered = 10
     assert [a.tolist() for a in own.encode(texts)[0]] == own.model.encode(texts)
     lists = list(P.slices(P.pa.array(["x" * 50_000, None] * 40)))
     assert sum(lists, []) == ["x" * 50_000, ""] * 40 and max(sum(map(len, p)) for p in lists) < 320_000
