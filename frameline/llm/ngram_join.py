@@ -10,8 +10,9 @@ Empty segments agree by chance, so with ``spare`` more segments than needed a se
 under them: two linked sets leave ``spare + 1`` segments alike, of which at most ``spare`` are empty in either of them if one
 has so few. Sets with more empty segments are indexed under those as well, and so meet each other. Segments that count twice are always indexed.
 
-1. ``shingle_index``: one pass gives each row's set size, set digest, parity bitmap and index rows. Equal sets become one node.
-2. ``met_nodes``: nodes that share an index row meet in a bucket; index rows are dealt by hash in packs, and sorted there. Each node is first verified against the best of its buckets' smallest nodes only.
+1. ``shingle_index``: one pass gives each row's set size, set digest and parity bitmap. Equal sets become one node.
+2. ``packed_signatures_of`` and ``met_in_buckets``: a second pass over the nodes' texts gives their index rows, which are dealt by hash in packs and never written as a table; nodes that share
+   one meet in a bucket, which is sorted. Each node is first verified against the best of its buckets' smallest nodes only.
 3. Nodes of a bucket that are still in different components are compared in bounded blocks by parity bitmaps, whose
    distance never exceeds the sets' difference, so nothing is lost: first the nearest pairs that join all components of a block which
    any pair joins, fewer than it has nodes; then, in the buckets where that left pairs out, the same again and at last all that are still apart,
@@ -48,6 +49,9 @@ CHUNK = 2048  # nodes of a bucket that are compared at once
 BITS_PER_DIFFERENCE = 3  # of the parity bitmap
 FINER = 12  # the same where nodes are looked at again
 PAIR_COST = 0.05  # of comparing two bitmaps, against writing an index row
+MEETING_COST = 16  # of an index row by which sets meet by chance: it is written, joined and dealt again with its bitmap
+SPARE = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+SIGNATURE = (1 << 48) - 1  # bits of an index row that are kept; two of ten billion are equal by chance about once in 3 * 10 ** 14 pairs
 PACK = 1 << 19  # index rows that are dealt to buckets at once
 BUCKET = 1 << 18  # index rows of a bucket, about
 CUT = 1 << 14  # index rows of a pack at most
@@ -95,32 +99,58 @@ def index_rows(band: Band) -> float:
 
 def _at_least(x: int, n: int, q: float) -> float:
     """Probability of x or more successes of n."""
-    return max(0.0, 1 - sum(comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(x)))
+    term, fewer = (1 - q) ** n, 0.0
+    for k in range(min(x, n + 1)):
+        fewer += term
+        term *= (n - k) / (k + 1) * q / (1 - q)
+    return max(0.0, 1 - fewer)
 
 
-def chance_meetings(band: Band) -> float:
-    """Share of all pairs of the band's smallest sets that meet without a common shingle, in segments that hold nothing (or one shingle)."""
+def _by_chance(band: Band) -> tuple[float, float, float]:
+    """Probabilities that one of the smallest sets is indexed under a segment that holds nothing, that a segment holds nothing, and that it holds one shingle."""
     m = band.parts
-    if m == 1:
-        return 0.0
     none = (1 - 1 / m) ** band.low
     single = band.low / m * (1 - 1 / m) ** (band.low - 1)
-    plain = m - band.twice
-    indexed = none * _at_least(band.spare, max(0, plain - 1), none)  # empty, in a set that has more empty ones than are spare
-    return plain * indexed**2 + band.twice * (none**2 + 2 * none * single)
+    return none * _at_least(band.spare, max(0, m - band.twice - 1), none), none, single  # empty, in a set that has more empty ones than are spare
+
+
+def chance_meetings(band: Band) -> float:
+    """Share of all pairs of the band's smallest sets that meet without a common shingle, in segments that hold nothing (or one shingle)."""
+    if band.parts == 1:
+        return 0.0
+    indexed, none, single = _by_chance(band)
+    return (band.parts - band.twice) * indexed**2 + band.twice * (none**2 + 2 * none * single)
+
+
+def chance_rows(band: Band) -> float:
+    """Index rows of one of the band's smallest sets by which it can meet others without a common shingle."""
+    if band.parts == 1:
+        return 0.0
+    indexed, none, single = _by_chance(band)
+    return (band.parts - band.twice) * indexed + band.twice * (none + single)
 
 
 def allocate(every: list[Band], sizes: dict[int, int]) -> list[Band]:
-    """The bands with ``twice`` and ``spare`` of least cost, given how many documents each band (by its place) has."""
+    """The bands with ``twice`` and ``spare`` of least cost, given how many documents each band (by its place) has.
+
+    Rows that meet by chance cost by themselves, not only by the pairs that they make: so a small corpus has about as many index rows a document as a large one."""
     out = []
     for k, band in enumerate(every):
         n = sizes.get(k, 0)
         steps = sorted({(band.differ + 1) // 2 * i // 16 for i in range(17)})
-        tried = [replace(band, twice=t, spare=x) for t in steps for x in (0, 1, 2, 3, 4, 6, 8, 12) if x <= (band.differ + 1) // 4] if n else [band]
-        out.append(min(tried, key=lambda b: (n * index_rows(b) + n * n / 2 * chance_meetings(b) * PAIR_COST, b.twice, b.spare)))
+        tried = [replace(band, twice=t, spare=x) for t in steps for x in SPARE if x <= (band.differ + 1) // 4] if n else [band]
+        out.append(min(tried, key=lambda b: (n * (index_rows(b) + MEETING_COST * chance_rows(b)) + n * n / 2 * chance_meetings(b) * PAIR_COST, b.twice, b.spare)))
     return out
 
 
+def rows_to_index(plan: list[Band], sizes: dict[int, int], num: int, den: int) -> float:
+    """Index rows of all documents, about: each is indexed in its own band and in those above in which it can link."""
+    total = 0.0
+    for k, n in sizes.items():
+        total += n * sum(index_rows(b) for j, b in enumerate(plan[k:]) if j == 0 or plan[k].high * den >= num * b.low)
+    return total
+
+
 class _Words(dict):
     """64-bit hashes of words; starts anew when it holds ``KNOWN``, since memory of many small values is not all given back to the system."""
 
@@ -171,7 +201,12 @@ def signatures(tokens: np.ndarray, plan: list[Band], starts: np.ndarray, num: in
                 inside = segment < band.twice
                 out.append(mixed(total[segment[inside]] - tokens[inside]))
         k += 1
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out) & np.uint64(SIGNATURE))
+
+
+def set_digest(tokens: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(mixed(tokens ^ _A).sum().astype(np.int64)), int(mixed(tokens ^ _C).sum().astype(np.int64))
 
 
 def parity_bitmap(tokens: np.ndarray, num: int, den: int, per_difference: int = BITS_PER_DIFFERENCE) -> bytes:
@@ -182,35 +217,32 @@ def parity_bitmap(tokens: np.ndarray, num: int, den: int, per_difference: int =
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def shingle_index(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, plan: list[Band]) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bits, sigs) for each row; the last four are null for empty sets."""
-    starts = np.array([b.low for b in plan])
+def shingle_index(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, bits) for each row; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sizes, d1, d2, bits, sigs = [], [], [], [], []
+            sizes, d1, d2, bits = [], [], [], []
             for body in batch.column("body"):
                 tokens = shingle_set(body.as_py(), n, words)
                 sizes.append(tokens.size)
                 if not tokens.size:
-                    for out in (d1, d2, bits, sigs):
+                    for out in (d1, d2, bits):
                         out.append(None)
                     continue
-                with np.errstate(over="ignore"):
-                    d1.append(int(mixed(tokens ^ _A).sum().astype(np.int64)))
-                    d2.append(int(mixed(tokens ^ _C).sum().astype(np.int64)))
+                for out, digest in zip((d1, d2), set_digest(tokens), strict=True):
+                    out.append(digest)
                 bits.append(parity_bitmap(tokens, num, den))
-                sigs.append(signatures(tokens, plan, starts, num, den).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "d1", "d2", "bits", "sigs"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "bits"],
             )
         words.clear()
         release_memory()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, sigs array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary")
 
 
 def chosen_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -404,59 +436,91 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, num: int
     return found.distinct()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as all their first bytes, all their second bytes and so on, so that what they have in common compresses."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _packs(rows: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, sigs, nodes) of index rows (signatures, nodes): dealt to buckets by signature, ``PACK`` at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = bucket_of(sig, buckets)
+        order = np.argsort(bucket, kind="stable")
+        sig, node, own = sig[order], node[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(own)) + 1
+        spans = [(k, min(k + CUT, j)) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), own.size], strict=True) for k in range(i, j, CUT)]
+        parts = [[_planes(x[i:j]) for i, j in spans] for x in (sig, node)]
+        packs = pa.RecordBatch.from_arrays([pa.array([int(own[i]) for i, _ in spans], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "sigs", "nodes"])
+        return (packs.slice(k, 64) for k in range(0, packs.num_rows, 64))
+
+    n = 0
+    for sig, node in rows:
+        if sig.size:
+            held.append((sig, node))
+            n += sig.size
+        if n >= PACK:
+            yield from dealt()
+            held, n = [], 0
+    if held:
+        yield from dealt()
+    held = []
+    release_memory()
+
+
 def packed_signatures(rows: DataFrame, buckets: int) -> DataFrame:
     """(bucket, sigs, nodes): the index rows of ``rows(node, sigs)`` dealt to buckets by their signatures, as packed 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def dealt() -> pa.RecordBatch:
-            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = bucket_of(sig, buckets)
-            order = np.argsort(bucket, kind="stable")
-            sig, node, own = sig[order], node[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            spans = [(k, min(k + CUT, j)) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), own.size], strict=True) for k in range(i, j, CUT)]
-            parts = [[x[i:j].tobytes() for i, j in spans] for x in (sig, node)]
-            return pa.RecordBatch.from_arrays([pa.array([int(own[i]) for i, _ in spans], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "sigs", "nodes"])
-
-        n = 0
-        for batch in batches:
-            lists = batch.column("sigs")
-            sig = lists.flatten().to_numpy()
-            if sig.size:
-                held.append((sig, np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy())))
-                n += sig.size
-            if n >= PACK:
-                packs = dealt()
-                yield from (packs.slice(k, 64) for k in range(0, packs.num_rows, 64))
-                held, n = [], 0
-        if held:
-            packs = dealt()
-            yield from (packs.slice(k, 64) for k in range(0, packs.num_rows, 64))
-        held, packs = [], None
-        release_memory()
+        lists = ((b.column("sigs"), b.column("node").to_numpy()) for b in batches)
+        return _packs(((sigs.flatten().to_numpy(), np.repeat(node, sigs.value_lengths().to_numpy())) for sigs, node in lists), buckets)
 
     return rows.mapInArrow(run, "bucket int, sigs binary, nodes binary")
 
 
+def packed_signatures_of(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, plan: list[Band], nodes: DataFrame, buckets: int) -> DataFrame:
+    """``packed_signatures`` of ``nodes(node, d1, d2)``, made from their texts and dealt by the same worker, so that index rows are on disk once, on their way to a bucket."""
+    starts = np.array([b.low for b in plan])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+
+        def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for node, d1, d2, body in zip(*(batch.column(c) for c in ("node", "d1", "d2", "body")), strict=True):
+                    tokens = shingle_set(body.as_py(), n, words)
+                    if tokens.size and set_digest(tokens) == (d1.as_py(), d2.as_py()):  # an id may have other texts
+                        sig = signatures(tokens, plan, starts, num, den).view(np.int64)
+                        yield sig, np.full(sig.size, node.as_py(), np.int64)
+            words.clear()
+
+        return _packs(rows(), buckets)
+
+    wanted = nodes.select("node", "d1", "d2")
+    few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("body")).join(F.broadcast(wanted) if few else wanted, "node")
+    return rows.select("node", "d1", "d2", "body").mapInArrow(run, "bucket int, sigs binary, nodes binary")
+
+
 def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def met_nodes(index: DataFrame, nodes: DataFrame) -> DataFrame:
+def met_in_buckets(packs: DataFrame) -> DataFrame:
     """(sig, node, center): the nodes of each index row that several nodes have, and the smallest of them.
 
     Nearly all index rows are of one node only, so they are not rows of Spark's: they travel in packs, and each bucket of about ``BUCKET`` is sorted
     on its own. An index row that very many nodes have is 16 bytes for each of them there.
     """
-    wanted = nodes.select(F.col("node").alias("doc_id"), "d1", "d2")
-    few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    rows = index.join(F.broadcast(wanted) if few else wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), "sigs")
-    every = index.agg(F.sum(F.size("sigs"))).first()[0] or 0
 
     def met(packs: pa.Table) -> pa.Table:
-        sig, node = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in packs.column(c)]) for c in ("sigs", "nodes"))
+        sig, node = (np.concatenate([_numbers(x) for x in packs.column(c)]) for c in ("sigs", "nodes"))
         order = np.argsort(sig)
         sig = sig[order]
         again = sig[1:] == sig[:-1]
@@ -471,7 +535,16 @@ def met_nodes(index: DataFrame, nodes: DataFrame) -> DataFrame:
         center, several = np.repeat(node[first], many), np.repeat(many, many) > 1
         return pa.table({"sig": sig[several], "node": node[several], "center": center[several]})
 
-    return packed_signatures(rows, -(-every // BUCKET) or 1).groupBy("bucket").applyInArrow(met, "sig long, node long, center long")
+    return packs.groupBy("bucket").applyInArrow(met, "sig long, node long, center long")
+
+
+def met_nodes(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``met_in_buckets`` of the nodes of an index ``(doc_id, d1, d2, sigs)`` that is at hand as a table."""
+    wanted = nodes.select(F.col("node").alias("doc_id"), "d1", "d2")
+    few = wanted.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    rows = index.join(F.broadcast(wanted) if few else wanted, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("node"), "sigs")
+    every = index.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    return met_in_buckets(packed_signatures(rows, -(-every // BUCKET) or 1))
 
 
 def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -486,12 +559,13 @@ def jaccard_components(docs: DataFrame, key: str, text: str, n: int = 3, num: in
         sizes[bisect_right(starts, 2 ** (r["eighth"] / 8 + 0.01)) - 1] += r["count"]
     plan = allocate(every, sizes)
     with arrow_rows(docs.sparkSession, 1024):
-        index = written(shingle_index(docs, key, text, n, num, den, plan), "join-index")
+        index = written(shingle_index(docs, key, text, n, num, den), "join-index")
     real = index.filter("n_shingles > 0 and doc_id is not null")
     firsts = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "bits"), "doc_id").alias("s"))
     nodes = written(firsts.select("node", "d1", "d2", "s.*"), "join-nodes")
     with arrow_rows(docs.sparkSession, 1024):
-        buckets = written(met_nodes(real, nodes), "join-buckets")
+        packs = packed_signatures_of(docs, key, text, n, num, den, plan, nodes, int(rows_to_index(plan, sizes, num, den) // BUCKET) + 1)
+        buckets = written(met_in_buckets(packs), "join-buckets")
     small = nodes.select("node", "n_shingles", "bits")
     near = buckets.filter("node > center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("shared"))
     stars = near.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center")).select(F.col("center").alias("a"), F.col("node").alias("b"))

@@ -214,3 +214,39 @@ def test_index_rows_meet_across_packs(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan.lower() and "HashAggregate" not in plan  # no row of Spark's for each index row
     assert ngram_join.met_nodes(index.limit(0), index.select("doc_id", "d1", "d2").toDF("node", "d1", "d2")).count() == 0
+
+
+def test_index_rows_of_a_document_do_not_grow_with_the_corpus():
+    """Sixty times the documents take as many index rows each, and hardly any of these meet by chance."""
+    from frameline.llm.ngram_join import _at_least, chance_rows, index_rows
+
+    every, few = bands(80, 100), {k: 1000 for k in range(5, 30)}
+    many = {k: 60 * n for k, n in few.items()}
+    rows = [sum(n * index_rows(allocate(every, sizes)[k]) for k, n in sizes.items()) / sum(sizes.values()) for sizes in (few, many)]
+    assert rows[0] <= rows[1] < 1.03 * rows[0]
+    assert all(chance_rows(allocate(every, sizes)[k]) < 2 for sizes in (few, many) for k in sizes)
+    assert abs(_at_least(2, 10, 0.1) - 0.2639010709) < 1e-9 and _at_least(11, 10, 0.1) < 1e-9 and _at_least(0, 10, 0.1) == 1
+
+
+def test_index_rows_are_not_written_as_a_table(spark, monkeypatch):
+    from frameline.llm import ngram_join
+
+    kinds = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, label, f=ngram_join.written: kinds.extend(t for _, t in df.dtypes) or f(df, label))
+    rows = [*near_copies(40, 4), (7, "one text of several words"), (7, "another text under the same id"), (8, "another text under the same id"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.jaccard_components(docs, "doc_id", "text").collect()}
+    assert {i: c for (i, _), c in got.items() if i >= 1000} == brute.components(rows[:40], 3, 90, 100)
+    assert got[7, 3] == got[7, 4] == got[8, 4] == 7 and got[9, 0] == 9
+    assert kinds and not [k for k in kinds if k.startswith("array")]
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    from frameline.llm.ngram_join import _numbers, _planes
+
+    x = np.array([0, -1, 1 << 62, -(1 << 63), 77], np.int64)
+    for part in (x, x[1:3], x[:0]):
+        assert _numbers(pa.scalar(_planes(part), pa.binary())).tolist() == part.tolist()
