@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by vocabulary score, then by position, and merges the best
-pair until none is left; characters outside the vocabulary fall back to their UTF-8 byte pieces. A text is cut where
+pair until none is left; characters outside the vocabulary fall back to their UTF-8 byte pieces. Short words take their turns together: each row of an
+array is the agenda of one word, and each turn merges every word's best pair. A text is cut where
 no vocabulary piece can span the cut (before a space mark that follows another character), so equal words of a list of texts are
 merged once, and those that come again in later lists are remembered. Every new word of an Arrow batch is checked against the sentencepiece library before it is used
 (and whole texts are, in the tests): ``agrees`` says whether the library's ids are equal for all of a text's words. The
@@ -48,6 +49,90 @@ class MergeVocabulary:
         self.unknown = model.unk_id()
         spans = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cut = None if spans else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._number_pairs()
+
+    def _number_pairs(self) -> None:
+        """Numbers for pieces and their characters, and the pairs of these that are pieces, by sorted keys. A pair's rank is that of the piece's score."""
+        single = sorted(set("".join(self.ids)))
+        symbols = list(dict.fromkeys([*self.ids, *single]))
+        number = {s: k for k, s in enumerate(symbols)}
+        self.none = len(symbols)  # past a word's end; a character in no piece has the numbers behind
+        self.id_of = np.array([*(self.ids.get(s, -1) for s in symbols), -1], np.int32)
+        self.points = np.array([*map(ord, single), 1 << 31], np.int64)
+        self.of_point = np.array([*(number[c] for c in single), self.none])
+        scores = sorted({self.costs[p] for p in self.ids})
+        self.no_pair, rank = len(scores), {c: k for k, c in enumerate(scores)}
+        pairs = sorted(((left << 32) + right, rank[self.costs[p]], number[p]) for p in self.ids for i in range(1, len(p)) if (left := number.get(p[:i])) is not None and (right := number.get(p[i:])) is not None)
+        self.pair_keys = np.array([*(k for k, _, _ in pairs), np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([*(r for _, r, _ in pairs), self.no_pair], np.int32)
+        self.pair_made = np.array([*(m for _, _, m in pairs), self.none])
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``no_pair`` where they are no piece."""
+        keys = (left << 32) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.no_pair)
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many words, as ``merge`` gives them one by one."""
+        out: list[bytes | None] = [None] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        for low, high in pairwise((0, 6, 9, 12, 16, SHORT)):  # few symbols are padded
+            chosen = order[np.searchsorted(sizes[order], low, "right") : np.searchsorted(sizes[order], high, "right")].tolist()
+            for k, ids in zip(chosen, self._merge_block([words[k] for k in chosen]) if chosen else [], strict=True):
+                out[k] = ids
+        return [array("i", self.merge(w)).tobytes() if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _merge_block(self, words: list[str]) -> list[bytes | None]:
+        """The agendas of words of up to ``SHORT`` symbols, turn by turn; None for words that keep a character which is in pieces but none itself."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.searchsorted(self.points, points)
+        sym = np.full((len(words), int(sizes.max())), self.none)
+        sym[np.arange(sym.shape[1]) < sizes[:, None]] = np.where(self.points[at] == points, self.of_point[at], self.none + 1 + points)
+        ended, rows = np.full_like(sym, self.none), np.arange(len(words))
+        rank = self._ranks(sym[:, :-1], sym[:, 1:])
+        while rank.size:
+            best = rank.argmin(axis=1)  # the leftmost of equal ones
+            live = rank[np.arange(rows.size), best] < self.no_pair
+            ended[rows[~live], : sym.shape[1]] = sym[~live]
+            rows, best, sym, rank = rows[live], best[live], sym[live], rank[live]
+            each, places = np.arange(rows.size), np.arange(sym.shape[1] - 1)
+            made = self.pair_made[np.searchsorted(self.pair_keys, (sym[each, best] << 32) + sym[each, best + 1])]
+            sym = np.take_along_axis(sym, places + (places > best[:, None]), axis=1)
+            sym[each, best] = made
+            places = places[:-1]
+            rank = np.take_along_axis(rank, places + (places >= best[:, None]), axis=1)
+            for k in (best - 1, best):  # the pairs on both sides of what was made
+                own = np.flatnonzero((k >= 0) & (k < places.size))
+                rank[own, k[own]] = self._ranks(sym[own, k[own]], sym[own, k[own] + 1])
+        ended[rows, : sym.shape[1]] = sym  # one symbol is left
+        ids = self.id_of[np.minimum(ended, self.none)]
+        there = ended != self.none
+        packed, ends = ids[there].tobytes(), np.cumsum([0, *there.sum(axis=1) * 4]).tolist()
+        out = [packed[i:j] for i, j in pairwise(ends)]
+        for k in np.flatnonzero((there & (ids < 0)).any(axis=1)).tolist():
+            row = ended[k][there[k]].tolist()
+            known = all(s > self.none or self.id_of[s] >= 0 for s in row)
+            out[k] = array("i", self._pieces_of(row)).tobytes() if known else None
+        return out
+
+    def _pieces_of(self, row: list[int]) -> list[int]:
+        """Ids of numbered symbols; characters in no piece by their bytes."""
+        out = []
+        for s in row:
+            if s < self.none:
+                out.append(int(self.id_of[s]))
+            else:
+                self._spell(chr(s - self.none - 1), out)
+        return out
+
+    def _spell(self, symbol: str, out: list[int]) -> None:
+        if self.bytes:
+            out += [self.bytes[b] for b in symbol.encode("utf-8")]
+        elif not out or out[-1] != self.unknown:
+            out.append(self.unknown)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one stretch of text, by the agenda of adjacent pairs."""
@@ -106,10 +191,8 @@ class MergeVocabulary:
         for s in sym:
             if (i := ids.get(s)) is not None:
                 out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in s.encode("utf-8")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            else:
+                self._spell(s, out)
         return out
 
 
@@ -143,10 +226,10 @@ class Codec:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > self.remembered:
             self.words = {w: self.words[w] for w in words if w in self.words}
-        ours = [self.vocabulary.merge(w) for w in new]
+        ours = self.vocabulary.merge_all(new)
         theirs = [self.library_ids(w) if not w.strip(MARK) else ids for w, ids in zip(new, self.model.encode([w.removeprefix(MARK) for w in new], num_threads=1), strict=True)]
-        self.words.update((w, array("i", ids).tobytes()) for w, ids in zip(new, ours, strict=True))
-        self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != b)
+        self.words.update(zip(new, ours, strict=True))
+        self.differ.update(w for w, a, b in zip(new, ours, theirs, strict=True) if a != array("i", b).tobytes())
         if self.n_seen > SEEN // 4:
             self.seen, self.n_seen = bytearray(SEEN), 0
         return [w for w in new if not self.met_before(w)]

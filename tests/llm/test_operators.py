@@ -402,3 +402,35 @@ def test_pieces_take_bounded_memory(spark, docs, monkeypatch):
     got = {r["doc_id"]: r["n_tokens"] for r in P.text_digests(docs, "text", path, ["doc_id"]).collect()}
     assert got == {r["doc_id"]: len(own.model.encode(r["text"] or "")) for r in docs.collect()}
     assert rows == [512] and spark.conf.get(conf) == before
+
+
+def test_words_merge_together_as_one_by_one():
+    """Agendas of many words at once: ties, characters in no piece, characters in pieces that are none themselves, marks and long words."""
+    import random
+    from array import array
+
+    from frameline.llm import piece_codec as P
+
+    class Model:
+        pieces = ["<unk>", "a", "b", "ab", "ba", "aba", "bq", "bqa", "aa", "▁", "▁a", "▁▁", "▁▁▁"]
+        scores = [0, -9, -9, -1, -1, -2, -3, -0.5, -1, -9, -4, -5, -5]
+
+        get_piece_size = lambda self: len(self.pieces)
+        id_to_piece = lambda self, i: self.pieces[i]
+        get_score = lambda self, i: self.scores[i]
+        is_unknown = lambda self, i: i == 0
+        is_control = is_byte = is_unused = lambda self, i: False
+        unk_id = lambda self: 0
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        real = P.Codec(f.read()).vocabulary
+    r = random.Random(2)
+    for own, letters in ((P.MergeVocabulary(Model()), "aaabbbqz▁"), (real, "theinarous▁▁.é\n\U0001f9ff")):
+        words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(3000)] + ["▁" * k for k in range(1, 30)]
+        one_by_one = []
+        own.merge_all(words)
+        short = own._merge_short
+        own._merge_short = lambda w, f=short: one_by_one.append(w) or f(w)
+        assert own.merge_all(words) == [array("i", own._pieces(short(w)) if len(w) <= P.SHORT else own.merge(w)).tobytes() for w in words]
+        assert all("q" in w for w in one_by_one)  # the others are merged together
+    assert real.merge_all([]) == []
