@@ -81,7 +81,8 @@ def named_prefixes(levels: list[DataFrame], classes: DataFrame) -> DataFrame:
     last = [
         t.filter("whole AND block % 2 = 0").select("conv_id", F.shiftleft(F.col("block") + 1, k).alias("depth"), F.shiftleft("block", k).alias("before"), "name", "chars") for k, t in enumerate(levels)
     ]  # the last block of each prefix: the lowest digit of its depth
-    steps = written(lookup(reduce(DataFrame.union, last), ["conv_id"], classes.filter("length > 0")), "steps")
+    ends = written(reduce(DataFrame.union, last), "block-ends")  # lookup reads it more than once
+    steps = written(lookup(ends, ["conv_id"], classes.filter("length > 0")), "steps")
     digits = F.bit_count("depth")
     named = [steps.filter(digits == 1).withColumn("node", F.col("name")).drop("name", "before")]
     for k in range(2, (steps.agg(F.max(digits)).first()[0] or 0) + 1):

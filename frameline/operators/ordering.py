@@ -72,7 +72,7 @@ def in_order(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str
     what tells them apart; rows equal in everything are dealt to one range. An empty table stays empty. What goes through the driver is a first and a last
     row of each partition.
     """
-    group, totals, spark = list(group), list(totals), rows.sparkSession
+    group, totals = list(group), list(totals)
     key = [*group, *order]
     extra = [("__part", T.IntegerType()), *((n, T.LongType()) for n in ("__row", "__group", "__at", *(f"__{t}_before" for t in totals)))]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, kind) for n, kind in extra)])
@@ -91,10 +91,15 @@ def in_order(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str
         tail = [end["last"]["rows"], *end["last"]["sums"][: len(totals)]]
         carried = tail if end["last"]["group"] else [a + b for a, b in zip(carried, tail, strict=True)]
         number, known = number + end["last"]["group"] + 1, end["last"]["key"]
-    added = ["__part int", "__number long", "__rows long", *(f"__{t}_more long" for t in totals)]
-    shift = F.broadcast(spark.createDataFrame(offsets, ", ".join(added)))  # a row of each partition
-    begun = lambda c: F.when(F.col("__group") == 0, F.col(c)).otherwise(0)
-    return placed.join(shift, "__part").select(
-        *[placed[c] for c in rows.columns], (F.col("__group") + F.col("__number")).alias("group_at"), (F.col("__at") + begun("__rows")).alias("row_at"),
-        *[(F.col(f"__{t}_before") + begun(f"__{t}_more")).alias(f"{t}_before") for t in totals],
+    # A constant array for each number, by partition: a table of them would be a broadcast of its own for each job that reads the result.
+    by_part = {o[0]: o[1:] for o in offsets}
+
+    def shift(k: int) -> Column:
+        numbers = ",".join(str(by_part[p][k] if p in by_part else 0) for p in range(max(by_part, default=0) + 1))
+        return F.get(F.split(F.lit(numbers), ",").cast("array<bigint>"), F.col("__part"))
+
+    begun = lambda k: F.when(F.col("__group") == 0, shift(k)).otherwise(0)
+    return placed.select(
+        *[placed[c] for c in rows.columns], (F.col("__group") + shift(0)).alias("group_at"), (F.col("__at") + begun(1)).alias("row_at"),
+        *[(F.col(f"__{t}_before") + begun(2 + k)).alias(f"{t}_before") for k, t in enumerate(totals)],
     )

@@ -63,3 +63,10 @@ def test_gaps_of_a_long_track(spark):
     rows = spark.range(n).select(F.lit(1).alias("object"), F.col("id").alias("frame"), F.col("id").alias("event_id"), F.when(F.col("id") % 7 < 4, F.col("id") * 2.0).alias("v"))
     out = fill_gaps(rows, ["object"], "v", "filled", most=3)
     assert out.filter("filled IS NULL").count() == len([k for k in range(n - n % 7 + 4, n)]) and out.filter("filled <> 2 * frame").count() == 0
+
+
+def test_numbers_in_order_are_read_without_a_broadcast(spark):
+    """A query that numbers rows many times would else hold a small table in the driver for each job that reads them."""
+    out = in_order(spark.range(500).withColumn("g", F.col("id") % 7), ["g"], ["id"], ["id"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("row_at <> id div 7 OR group_at <> g").count() == 0 and out.filter("id = 20").first()["id_before"] == 6 + 13
